@@ -7,23 +7,22 @@ the occurrence tags used by the multiset Jaccard.
 
 Plan shape (one shuffle when the vocabulary is broadcastable):
 
-* questions are hash-partitioned on ``qid`` once; the explode, the
-  occurrence window and the final ``groupBy(qid)`` all reuse that
-  partitioning, and so does the later pair join on ``q1``;
+* questions are hash-partitioned on ``qid`` once; the per-question word
+  counts, the final ``groupBy(qid)`` and the join back to the word lists
+  all reuse that partitioning, and so does the later pair join on ``q1``;
 * the word-vector lookup is a left join on ``wid``.  The planner broadcasts
   the vocabulary only when its measured size is under
   ``spark.sql.autoBroadcastJoinThreshold``; beyond that it is a sort-merge
   join and adaptive execution splits hot words (``the``) into several tasks;
-* the vector sum is ``Summarizer.sum``, a partial aggregate: the shuffle
-  carries one vector per question per map task, not one per word.
+* words are counted per question first, so a word repeated in a text is
+  looked up once and added as ``count * vector``, in word-id order.
 """
 
 from __future__ import annotations
 
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairlens.functions import metrics as M
@@ -39,54 +38,77 @@ def vector_dim(word_vec: DataFrame, col: str = "features") -> int:
     return int(row["k"])
 
 
-def exploded_words(question: DataFrame, partitions: int | None = None) -> DataFrame:
-    """(qid, pos, wid, occ): one row per word occurrence, occ = k for the k-th
-    occurrence of that word in the question.  Questions without words keep
-    one row with NULL pos/wid so they are not lost."""
-    q = question.select("qid", "word_ids")
-    q = q.repartition(partitions, "qid") if partitions else q.repartition("qid")
-    tok = q.select("qid", F.posexplode_outer("word_ids").alias("pos", "wid"))
-    occ = F.row_number().over(Window.partitionBy("qid", "wid").orderBy("pos"))
-    return tok.withColumn("occ", F.when(F.col("wid").isNotNull(), occ))
+def shuffle_partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def by_question(question: DataFrame, partitions: int | None = None) -> DataFrame:
+    """(qid, word_ids) hash-partitioned on qid with an explicit count.
+
+    An explicit count keeps adaptive execution from merging these CPU-heavy
+    partitions into a few tasks; every later grouping on qid (and the pair
+    join on q1) reuses this partitioning instead of shuffling again.
+    """
+    n = partitions or shuffle_partitions(question)
+    return question.select("qid", "word_ids").repartition(n, "qid")
+
+
+def word_counts(q: DataFrame) -> DataFrame:
+    """(qid, wid, c): how often each word occurs in each question.
+
+    Runs inside the qid partitions (no shuffle) and shrinks repeated words
+    before the vocabulary join.
+    """
+    return (q.select("qid", F.explode("word_ids").alias("wid"))
+             .groupBy("qid", "wid").agg(F.count(F.lit(1)).alias("c")))
 
 
 def question_features(question: DataFrame, word_vec: DataFrame, *, missing: str = "zero",
                       dim: int | None = None, partitions: int | None = None) -> DataFrame:
     """One row per question:
-    qid, word_ids, tags, features (array<double>), norm, n_words, n_missing.
+    qid, word_ids, tags, features (array<double>), n_words, n_missing, norm.
 
     ``missing='zero'``: a word without a vector adds nothing; a question with
     no such word (or no word) gets the zero vector.
     ``missing='truncate'``: reproduce the reference, where one missing word
     truncates the whole sum to its first component.
+    ``tags`` holds 'w:1'..'w:c' for a word occurring c times (see
+    ``metrics.multiset_intersection_size``).
+
+    The vector is summed over the question's distinct words in word-id
+    order (count * vector), so equal word multisets give bit-identical
+    vectors whatever the partitioning; the reference's "euclidean" of two
+    identical questions is then Infinity, as there.  The list summed is
+    bounded by the question's distinct words.
     """
     if missing not in MISSING_MODES:
         raise ValueError(f"missing must be one of {MISSING_MODES}")
     k = dim if dim is not None else vector_dim(word_vec)
     zero = F.array_repeat(F.lit(0.0), k)
-    tok = exploded_words(question, partitions)
-    vecs = word_vec.select("wid", F.col("features").alias("_vec"))
-    joined = tok.join(vecs, "wid", "left")
-    has_word = F.col("wid").isNotNull()
-    agg = joined.groupBy("qid").agg(
-        Summarizer.sum(array_to_vector(F.coalesce(F.col("_vec"), zero))).alias("_sum"),
-        F.collect_list(F.when(has_word, F.struct("pos", "wid", "occ"))).alias("_toks"),
-        F.count("wid").alias("n_words"),
-        F.count(F.when(has_word & F.col("_vec").isNull(), 1)).alias("n_missing"),
+    q = by_question(question, partitions)
+    counts = word_counts(q)
+    vecs = word_vec.select("wid", F.col("features").alias("v"))
+    agg = (counts.join(vecs, "wid", "left")
+                 .groupBy("qid")
+                 .agg(F.array_sort(F.collect_list(F.struct("wid", "c", "v"))).alias("_wcv"),
+                      F.sum("c").alias("_n_words"),
+                      F.sum(F.when(F.col("v").isNull(), F.col("c")).otherwise(0)).alias("_n_missing")))
+    summed = F.aggregate("_wcv", zero, lambda acc, s: F.when(s["v"].isNull(), acc).otherwise(
+        F.zip_with(acc, s["v"], lambda a, x: a + x * s["c"])))
+    tags = F.flatten(F.transform("_wcv", lambda s: F.transform(
+        F.sequence(F.lit(1).cast("bigint"), s["c"]),
+        lambda j: F.concat(s["wid"].cast("string"), F.lit(":"), j.cast("string")))))
+    per_q = agg.select("qid", summed.alias("_features"), tags.alias("_tags"), "_n_words", "_n_missing")
+    out = q.join(per_q, "qid", "left").select(
+        "qid", "word_ids",
+        F.coalesce("_tags", F.array().cast("array<string>")).alias("tags"),
+        F.coalesce("_features", zero).alias("features"),
+        F.coalesce("_n_words", F.lit(0)).cast("bigint").alias("n_words"),
+        F.coalesce("_n_missing", F.lit(0)).cast("bigint").alias("n_missing"),
     )
-    toks = F.array_sort(F.col("_toks"))
-    summed = vector_to_array(F.col("_sum"))
     if missing == "truncate":
-        summed = F.when(F.col("n_missing") > 0, F.slice(summed, 1, 1)).otherwise(summed)
-    out = agg.select(
-        "qid",
-        F.transform(toks, lambda t: t["wid"]).alias("word_ids"),
-        M.occurrence_tags(F.transform(F.col("_toks"), lambda t: t["wid"]),
-                          F.transform(F.col("_toks"), lambda t: t["occ"])).alias("tags"),
-        summed.alias("features"),
-        "n_words",
-        "n_missing",
-    )
+        out = out.withColumn("features", F.when(F.col("n_missing") > 0, F.slice("features", 1, 1))
+                             .otherwise(F.col("features")))
     return out.withColumn("norm", M.norm("features"))
 
 

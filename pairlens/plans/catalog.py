@@ -19,7 +19,7 @@ from pairlens.operators.vectors import question_features, question_vector_rows
 from pairlens.plans.oracle_sql import kind as sql_kind
 from pairlens.plans.oracle_sql import r6 as sql_r6
 from pairlens.plans.oracle_sql import with_ctes
-from pairlens.sources.testdata import Fixture
+from pairlens.sources.testdata import Fixture, prepare
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -53,7 +53,7 @@ class Context:
 
     def __init__(self, spark: SparkSession, sf_dir: str, missing: str = "zero"):
         self.spark = spark
-        self.fx = Fixture(spark, sf_dir)
+        self.fx = prepare(spark, sf_dir)
         self.missing = missing
 
     @cached_property
