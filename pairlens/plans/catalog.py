@@ -232,3 +232,8 @@ for _set, _names in P.FEATURE_SETS.items():
 def entry_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: the reference's default feature set for every train pair."""
     return QUERIES["pair_features_all"](spark, sf_dir)
+
+
+# Second half of the registry (files, evaluation, models, profile, dates,
+# streaming); imported last because it registers through this module.
+from pairlens.plans import catalog_more  # noqa: E402,F401

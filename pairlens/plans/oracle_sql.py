@@ -104,6 +104,25 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT q1, q2, label, p1, 1.0 - p1 AS p0,
                CASE WHEN p1 > 0.5 THEN 1 ELSE 0 END AS prediction
         FROM scored"""),
+    "test_scored": (("test_pair", "question"), """
+        SELECT q1, q2, row_no, p1, 1.0 - p1 AS p0, CASE WHEN p1 > 0.5 THEN 1 ELSE 0 END AS prediction
+        FROM (
+            SELECT t.q1, t.q2, t.row_no,
+                   1.0 / (1.0 + exp(-(10.0 * CASE
+                       WHEN len(list_distinct(list_concat(a.word_ids, b.word_ids))) = 0 THEN 0.0
+                       ELSE len(list_intersect(a.word_ids, b.word_ids))
+                            / len(list_distinct(list_concat(a.word_ids, b.word_ids))) END - 5.0))) AS p1
+            FROM test_pair t JOIN question a ON a.qid = t.q1 JOIN question b ON b.qid = t.q2) s"""),
+    "auc_counts": (("scored",), """
+        SELECT p1, sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS pos,
+               sum(CASE WHEN label = 0 THEN 1 ELSE 0 END) AS neg
+        FROM scored GROUP BY p1"""),
+    "auc_value": (("auc_counts",), """
+        SELECT sum(pos * (below + 0.5 * neg)) / (sum(pos) * sum(neg)) AS auc,
+               sum(pos) AS n_pos, sum(neg) AS n_neg
+        FROM (SELECT p1, pos, neg,
+                     sum(neg) OVER (ORDER BY p1 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - neg AS below
+              FROM auc_counts) c"""),
 }
 
 
