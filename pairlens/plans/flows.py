@@ -65,6 +65,26 @@ def with_probabilities(scored: DataFrame) -> DataFrame:
     return scored.withColumn("score", vector_to_array("rawPrediction")[1])
 
 
+# Rows per partition of a training frame.  Each optimiser iteration is one
+# job over every partition, so tiny partitions make a small frame pay task
+# overhead on every iteration; a large frame keeps its full parallelism.
+TRAIN_ROWS_PER_PARTITION = 250_000
+
+
+def persisted_training_frame(df: DataFrame):
+    """Persist ``df`` with partitions sized to its row count -> (frame, rows)."""
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    n = kept.count()
+    current = kept.rdd.getNumPartitions()
+    target = max(1, min(current, -(-n // TRAIN_ROWS_PER_PARTITION)))
+    if target < current:
+        resized = kept.coalesce(target).persist(StorageLevel.MEMORY_AND_DISK)
+        resized.count()
+        kept.unpersist()
+        kept = resized
+    return kept, n
+
+
 @dataclass
 class TrainResult:
     model: CrossValidatorModel
@@ -83,9 +103,8 @@ def train_evaluate(question: DataFrame, word_vec: DataFrame, train_pair: DataFra
     usable = finite_rows(pf, names)
     train, test = split(usable, train_percent, seed)
     # Iterative fits read the training frame many times: keep it.
-    train = train.persist(StorageLevel.MEMORY_AND_DISK)
+    train, n_train = persisted_training_frame(train)
     try:
-        n_train = train.count()
         cv_model = cross_validator(model, names, seed).fit(train)
     finally:
         train.unpersist()
@@ -108,7 +127,7 @@ def predict(question: DataFrame, word_vec: DataFrame, train_pair: DataFrame, tes
     wv = reduce_word_vectors(word_vec, k)[0] if k else word_vec
     qf = question_features(question, wv)
     train = finite_rows(pair_features(dedupe_pairs(train_pair), qf, names), names)
-    train = train.persist(StorageLevel.MEMORY_AND_DISK)
+    train, _ = persisted_training_frame(train)
     try:
         cv_model = cross_validator(model, names, seed).fit(train)
     finally:

@@ -43,15 +43,19 @@ def words_of(text_col: str = "text"):
     return F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(WORD_PATTERN), 0)
 
 
-def tokens(documents: DataFrame) -> DataFrame:
-    """(qid, pos, w) for every word of every document, whole text."""
-    return documents.select(F.col("doc_id").alias("qid"),
-                            F.posexplode(words_of()).alias("pos", "w"))
+def doc_words(documents: DataFrame) -> DataFrame:
+    """(doc_id, words): the word sequence of every whole text."""
+    return documents.select("doc_id", words_of().alias("words"))
 
 
-def vocabulary(documents: DataFrame) -> DataFrame:
+def tokens(words: DataFrame) -> DataFrame:
+    """(qid, pos, w) for every word of every document."""
+    return words.select(F.col("doc_id").alias("qid"), F.posexplode("words").alias("pos", "w"))
+
+
+def vocabulary(words: DataFrame) -> DataFrame:
     """(w, n, wid): word frequency and its rank (0 = most frequent)."""
-    counts = tokens(documents).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    counts = tokens(words).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     return with_dense_index(counts, [F.col("n").desc(), F.col("w").asc()], "wid")
 
 
@@ -64,35 +68,28 @@ def char_ids(text_col: str = "text"):
     return F.transform(F.split(F.col(text_col), ""), lambda c: F.ascii(c).cast("bigint"))
 
 
-def questions(documents: DataFrame, vocab: DataFrame, with_chars: bool = False) -> DataFrame:
-    """(qid, word_ids[, char_ids]); a document without words has [].
+def questions(words: DataFrame, vocab: DataFrame) -> DataFrame:
+    """(qid, word_ids); a document without words has [].
 
     Tokens are joined to the vocabulary on the word (hot words are handled by
     broadcast or by adaptive skew splitting) and regrouped per document.
     """
-    tok = documents.select(F.col("doc_id").alias("qid"),
-                           F.posexplode_outer(words_of()).alias("pos", "w"))
+    tok = words.select(F.col("doc_id").alias("qid"), F.posexplode_outer("words").alias("pos", "w"))
     joined = tok.join(vocab.select("w", "wid"), "w", "left")
     grouped = joined.groupBy("qid").agg(
         F.array_sort(F.collect_list(F.when(F.col("wid").isNotNull(),
                                            F.struct("pos", "wid")))).alias("_t"))
-    out = grouped.select("qid", F.transform("_t", lambda t: t["wid"]).alias("word_ids"))
-    if with_chars:
-        chars = documents.select(F.col("doc_id").alias("qid"), char_ids().alias("char_ids"))
-        out = out.join(chars, "qid")
-    return out
+    return grouped.select("qid", F.transform("_t", lambda t: t["wid"]).alias("word_ids"))
 
 
-def doc_keys(documents: DataFrame) -> DataFrame:
+def doc_keys(words: DataFrame) -> DataFrame:
     """(doc_id, key, n_words): key = md5 of the whole normalised word sequence."""
-    w = words_of()
-    return documents.select("doc_id", F.md5(F.array_join(w, " ")).alias("key"),
-                            F.size(w).alias("n_words"))
+    return words.select("doc_id", F.md5(F.array_join("words", " ")).alias("key"),
+                        F.size("words").alias("n_words"))
 
 
-def train_pairs(documents: DataFrame) -> DataFrame:
-    """(label, q1, q2)."""
-    keys = doc_keys(documents)
+def train_pairs(keys: DataFrame) -> DataFrame:
+    """(label, q1, q2) from ``doc_keys``."""
     with_words = keys.filter(F.col("n_words") > 0)
     first = with_words.groupBy("key").agg(F.min("doc_id").alias("q1"))
     positives = (with_words.join(first, "key")
@@ -106,10 +103,10 @@ def train_pairs(documents: DataFrame) -> DataFrame:
     return positives.unionByName(negatives)
 
 
-def test_pairs(documents: DataFrame) -> DataFrame:
+def test_pairs(ids: DataFrame) -> DataFrame:
     """(q1, q2, row_no): unlabelled pairs two ids apart, in q1 order."""
-    a = documents.select(F.col("doc_id").alias("q1"))
-    b = documents.select(F.col("doc_id").alias("q2"))
+    a = ids.select(F.col("doc_id").alias("q1"))
+    b = ids.select(F.col("doc_id").alias("q2"))
     return (a.join(b, F.col("q2") == F.col("q1") + 2)
             .select("q1", "q2", F.col("q1").alias("row_no")))
 
@@ -147,10 +144,14 @@ class Fixture:
     def documents(self) -> DataFrame:
         return documents_by_id(self.table("documents"))
 
+    @property
+    def words(self) -> DataFrame:
+        return doc_words(self.documents)
+
     @property
     def vocab(self) -> DataFrame:
         if self._vocab is None:
-            self._vocab = vocabulary(self.documents)
+            self._vocab = vocabulary(self.words)
         return self._vocab
 
     @property
@@ -158,15 +159,19 @@ class Fixture:
         return word_vectors(self.table("embeddings"))
 
     def question(self, with_chars: bool = False) -> DataFrame:
-        return questions(self.documents, self.vocab, with_chars=with_chars)
+        q = questions(self.words, self.vocab)
+        if with_chars:
+            chars = self.documents.select(F.col("doc_id").alias("qid"), char_ids().alias("char_ids"))
+            q = q.join(chars, "qid")
+        return q
 
     @property
     def train_pair(self) -> DataFrame:
-        return train_pairs(self.documents)
+        return train_pairs(doc_keys(self.words))
 
     @property
     def test_pair(self) -> DataFrame:
-        return test_pairs(self.documents)
+        return test_pairs(self.words.select("doc_id"))
 
 
 class Prepared(Fixture):
@@ -187,6 +192,10 @@ class Prepared(Fixture):
     def _read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.base}/{name}")
 
+    @property
+    def words(self) -> DataFrame:
+        return self._read("words")
+
     @property
     def vocab(self) -> DataFrame:
         return self._read("vocab")
@@ -211,15 +220,22 @@ _PREPARED: dict[tuple[str, str], str] = {}
 
 
 def prepare(spark: SparkSession, sf_dir: str) -> Prepared:
-    """Derive and write the fixture tables of ``sf_dir`` (once per application)."""
+    """Derive and write the fixture tables of ``sf_dir`` (once per application).
+
+    The texts are tokenised once (``words``); vocabulary, questions and
+    pair keys are all derived from that written table.
+    """
     key = (spark.conf.get("spark.app.id", ""), os.path.abspath(sf_dir))
     base = _PREPARED.get(key)
     if base is None:
         base = scratch_path(spark, "prepared")
         fx = Fixture(spark, sf_dir)
-        fx.vocab.write.parquet(f"{base}/vocab")
-        fx.question().write.parquet(f"{base}/question")
-        fx.train_pair.write.parquet(f"{base}/train_pair")
-        fx.test_pair.write.parquet(f"{base}/test_pair")
+        fx.words.write.parquet(f"{base}/words")
+        words = spark.read.parquet(f"{base}/words")
+        vocab = vocabulary(words)
+        vocab.write.parquet(f"{base}/vocab")
+        questions(words, spark.read.parquet(f"{base}/vocab")).write.parquet(f"{base}/question")
+        train_pairs(doc_keys(words)).write.parquet(f"{base}/train_pair")
+        test_pairs(words.select("doc_id")).write.parquet(f"{base}/test_pair")
         _PREPARED[key] = base
     return Prepared(spark, sf_dir, base)
