@@ -97,7 +97,7 @@ def multiset_intersection_size(tags_a, tags_b) -> Column:
 
 
 def union_size(a, b) -> Column:
-    """Number of distinct ids in the concatenation of two lists."""
+    """Number of distinct ids in the concatenation of two lists (hash-based)."""
     return F.size(F.array_union(_c(a), _c(b)))
 
 

@@ -21,13 +21,20 @@ METRICS = {
     "euclidean": lambda: M.euclidean("a_features", "b_features"),
     "euclidean_l2": lambda: M.euclidean_l2("a_features", "b_features"),
     "dot": lambda: M.dot("a_features", "b_features"),
-    "jaccard": lambda: M.jaccard("a_word_ids", "b_word_ids", "a_tags", "b_tags"),
-    "jaccard_set": lambda: M.jaccard_set("a_word_ids", "b_word_ids"),
+    "jaccard": lambda: M.jaccard("a_words", "b_words", "a_tags", "b_tags"),
+    "jaccard_set": lambda: M.jaccard_set("a_words", "b_words"),
     "edit_distance": lambda: edit_distance("a_word_ids", "b_word_ids"),
-    "q1_length": lambda: M.length("a_word_ids"),
-    "q2_length": lambda: M.length("b_word_ids"),
+    "q1_length": lambda: F.col("a_n_words"),
+    "q2_length": lambda: F.col("b_n_words"),
 }
 
+# Metrics that need the ordered word sequence (question_features(sequence=True)).
+SEQUENCE_METRICS = {"edit_distance"}
+
+
+def needs_sequence(feature_set) -> bool:
+    return bool(SEQUENCE_METRICS & set(metric_names(feature_set)))
+
 # The feature sets of the reference and the order of the
 # metrics inside the assembled vector.
 FEATURE_SETS = {
@@ -104,6 +111,8 @@ def pair_features(pairs: DataFrame, qf: DataFrame, feature_set="all", how: str =
                   keep: list[str] | None = None) -> DataFrame:
     """(q1, q2[, label], <metric columns>) for every pair."""
     names = metric_names(feature_set)
+    if needs_sequence(names) and "word_ids" not in qf.columns:
+        raise ValueError("edit distance needs question_features(..., sequence=True)")
     base = [c for c in ("q1", "q2", "label") if c in pairs.columns] + list(keep or [])
     joined = join_questions(pairs, qf, how)
     return joined.select(*base, *metric_columns(names))

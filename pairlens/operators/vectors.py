@@ -8,8 +8,8 @@ the occurrence tags used by the multiset Jaccard.
 Plan shape (one shuffle when the vocabulary is broadcastable):
 
 * questions are hash-partitioned on ``qid`` once; the per-question word
-  counts, the final ``groupBy(qid)`` and the join back to the word lists
-  all reuse that partitioning, and so does the later pair join on ``q1``;
+  counts and the final ``groupBy(qid)`` reuse that partitioning, and so does
+  the later pair join on ``q1``;
 * the word-vector lookup is a left join on ``wid``.  The planner broadcasts
   the vocabulary only when its measured size is under
   ``spark.sql.autoBroadcastJoinThreshold``; beyond that it is a sort-merge
@@ -57,23 +57,30 @@ def word_counts(q: DataFrame) -> DataFrame:
     """(qid, wid, c): how often each word occurs in each question.
 
     Runs inside the qid partitions (no shuffle) and shrinks repeated words
-    before the vocabulary join.
+    before the vocabulary join.  A question without words keeps one row with
+    NULL wid and c = 0, so it is not lost.
     """
-    return (q.select("qid", F.explode("word_ids").alias("wid"))
-             .groupBy("qid", "wid").agg(F.count(F.lit(1)).alias("c")))
+    return (q.select("qid", F.explode_outer("word_ids").alias("wid"))
+             .groupBy("qid", "wid").agg(F.count("wid").alias("c")))
 
 
 def question_features(question: DataFrame, word_vec: DataFrame, *, missing: str = "zero",
-                      dim: int | None = None, partitions: int | None = None) -> DataFrame:
+                      dim: int | None = None, partitions: int | None = None,
+                      sequence: bool = False) -> DataFrame:
     """One row per question:
-    qid, word_ids, tags, features (array<double>), n_words, n_missing, norm.
+    qid, words, tags, features (array<double>), n_words, n_missing, norm
+    [, word_ids when ``sequence``].
+
+    ``words`` is the sorted list of distinct word ids and ``tags`` holds
+    'w:1'..'w:c' for a word occurring c times (see
+    ``metrics.multiset_intersection_size``); both Jaccard variants need only
+    these.  The ordered ``word_ids`` (edit distance) are joined back only on
+    request.
 
     ``missing='zero'``: a word without a vector adds nothing; a question with
     no such word (or no word) gets the zero vector.
     ``missing='truncate'``: reproduce the reference, where one missing word
     truncates the whole sum to its first component.
-    ``tags`` holds 'w:1'..'w:c' for a word occurring c times (see
-    ``metrics.multiset_intersection_size``).
 
     The vector is summed over the question's distinct words in word-id
     order (count * vector), so equal word multisets give bit-identical
@@ -90,26 +97,25 @@ def question_features(question: DataFrame, word_vec: DataFrame, *, missing: str
     vecs = word_vec.select("wid", F.col("features").alias("v"))
     agg = (counts.join(vecs, "wid", "left")
                  .groupBy("qid")
-                 .agg(F.array_sort(F.collect_list(F.struct("wid", "c", "v"))).alias("_wcv"),
-                      F.sum("c").alias("_n_words"),
-                      F.sum(F.when(F.col("v").isNull(), F.col("c")).otherwise(0)).alias("_n_missing")))
+                 .agg(F.array_sort(F.collect_list(F.when(F.col("wid").isNotNull(),
+                                                         F.struct("wid", "c", "v")))).alias("_wcv"),
+                      F.sum("c").cast("bigint").alias("n_words"),
+                      F.sum(F.when(F.col("wid").isNotNull() & F.col("v").isNull(), F.col("c"))
+                             .otherwise(0)).cast("bigint").alias("n_missing")))
     summed = F.aggregate("_wcv", zero, lambda acc, s: F.when(s["v"].isNull(), acc).otherwise(
         F.zip_with(acc, s["v"], lambda a, x: a + x * s["c"])))
     tags = F.flatten(F.transform("_wcv", lambda s: F.transform(
         F.sequence(F.lit(1).cast("bigint"), s["c"]),
         lambda j: F.concat(s["wid"].cast("string"), F.lit(":"), j.cast("string")))))
-    per_q = agg.select("qid", summed.alias("_features"), tags.alias("_tags"), "_n_words", "_n_missing")
-    out = q.join(per_q, "qid", "left").select(
-        "qid", "word_ids",
-        F.coalesce("_tags", F.array().cast("array<string>")).alias("tags"),
-        F.coalesce("_features", zero).alias("features"),
-        F.coalesce("_n_words", F.lit(0)).cast("bigint").alias("n_words"),
-        F.coalesce("_n_missing", F.lit(0)).cast("bigint").alias("n_missing"),
-    )
+    features = summed
     if missing == "truncate":
-        out = out.withColumn("features", F.when(F.col("n_missing") > 0, F.slice("features", 1, 1))
-                             .otherwise(F.col("features")))
-    return out.withColumn("norm", M.norm("features"))
+        features = F.when(F.col("n_missing") > 0, F.slice(summed, 1, 1)).otherwise(summed)
+    out = agg.select("qid", F.transform("_wcv", lambda s: s["wid"]).alias("words"), tags.alias("tags"),
+                     features.alias("features"), "n_words", "n_missing")
+    out = out.withColumn("norm", M.norm("features"))
+    if sequence:
+        out = q.join(out, "qid")
+    return out
 
 
 def reduce_word_vectors(word_vec: DataFrame, k: int):

@@ -19,6 +19,7 @@ from pairlens.operators.vectors import question_features, question_vector_rows
 from pairlens.plans.oracle_sql import kind as sql_kind
 from pairlens.plans.oracle_sql import r6 as sql_r6
 from pairlens.plans.oracle_sql import with_ctes
+from pairlens.session import reliable_checkpoint
 from pairlens.sources.testdata import Fixture, prepare
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +56,7 @@ class Context:
         self.spark = spark
         self.fx = prepare(spark, sf_dir)
         self.missing = missing
+        self._cache: dict = {}
 
     @cached_property
     def question(self) -> DataFrame:
@@ -66,14 +68,25 @@ class Context:
 
     @cached_property
     def qf(self) -> DataFrame:
+        """Per-question features for a single use (no materialisation)."""
         return question_features(self.question, self.word_vec, missing=self.missing)
 
+    def pair_qf(self, sequence: bool = False) -> DataFrame:
+        """Per-question features joined to both pair sides: computed once and
+        written to the shared checkpoint folder, keeping the qid partitioning,
+        so each pair join shuffles only the pairs."""
+        key = ("pair_qf", sequence)
+        if key not in self._cache:
+            self._cache[key] = reliable_checkpoint(question_features(
+                self.question, self.word_vec, missing=self.missing, sequence=sequence))
+        return self._cache[key]
+
     @cached_property
     def pairs(self) -> DataFrame:
         return P.dedupe_pairs(self.fx.train_pair)
 
     def features(self, names) -> DataFrame:
-        return P.pair_features(self.pairs, self.qf, names)
+        return P.pair_features(self.pairs, self.pair_qf(P.needs_sequence(names)), names)
 
 
 def _metric_query(names: list[str], with_kind: tuple[str, ...] = ()) -> QueryFn:
@@ -156,7 +169,7 @@ register("pair_euclidean_l2", _metric_sql(["euclidean_l2"], "pmetric"))(
     "pmetric"))
 def q_pair_norm(spark, sf_dir):
     ctx = Context(spark, sf_dir)
-    j = P.join_questions(ctx.pairs, ctx.qf)
+    j = P.join_questions(ctx.pairs, ctx.pair_qf())
     return j.select("q1", "q2", "label", r6("a_norm").alias("norm1"), r6("b_norm").alias("norm2"))
 
 
@@ -166,7 +179,7 @@ def q_pair_norm(spark, sf_dir):
     "pmetric"))
 def q_pair_euclidean(spark, sf_dir):
     ctx = Context(spark, sf_dir)
-    j = P.join_questions(ctx.pairs, ctx.qf)
+    j = P.join_questions(ctx.pairs, ctx.pair_qf())
     e = P.METRICS["euclidean"]()
     return j.select("q1", "q2", "label", r6(e).alias("euclidean"), kind(e).alias("euclidean_kind"),
                     r6(F.log10(e)).alias("euclidean_log10"),

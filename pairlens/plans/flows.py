@@ -21,10 +21,11 @@ from pyspark.ml.tuning import CrossValidatorModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairlens.operators.pairs import dedupe_pairs, metric_names, pair_features
+from pairlens.operators.pairs import dedupe_pairs, metric_names, needs_sequence, pair_features
 from pairlens.operators.split import split
 from pairlens.operators.vectors import question_features, reduce_word_vectors
 from pairlens.plans.models import PCA_K, cross_validator
+from pairlens.session import reliable_checkpoint
 from pairlens.sinks.files import write_predictions, write_scored
 
 
@@ -45,11 +46,20 @@ def impute(pf: DataFrame, names: list[str]) -> DataFrame:
     return pf
 
 
+def pair_side_features(question: DataFrame, word_vec: DataFrame, names: list[str],
+                       pca_k: int | None = None, missing: str = "zero") -> DataFrame:
+    """Per-question features (after optional PCA of the word vectors),
+    written once to the shared checkpoint folder: every pair side reads
+    them instead of recomputing, and the qid partitioning is kept."""
+    wv = reduce_word_vectors(word_vec, pca_k)[0] if pca_k else word_vec
+    qf = question_features(question, wv, missing=missing, sequence=needs_sequence(names))
+    return reliable_checkpoint(qf)
+
+
 def feature_frame(question: DataFrame, word_vec: DataFrame, pairs: DataFrame,
                   feature_set="all", pca_k: int | None = None, missing: str = "zero"):
     names = metric_names(feature_set)
-    wv = reduce_word_vectors(word_vec, pca_k)[0] if pca_k else word_vec
-    qf = question_features(question, wv, missing=missing)
+    qf = pair_side_features(question, word_vec, names, pca_k, missing)
     return pair_features(pairs, qf, names), names
 
 
@@ -124,8 +134,7 @@ def predict(question: DataFrame, word_vec: DataFrame, train_pair: DataFrame, tes
     """
     k = pca_k if pca_k is not None else PCA_K[model]
     names = metric_names(feature_set)
-    wv = reduce_word_vectors(word_vec, k)[0] if k else word_vec
-    qf = question_features(question, wv)
+    qf = pair_side_features(question, word_vec, names, k)
     train = finite_rows(pair_features(dedupe_pairs(train_pair), qf, names), names)
     train, _ = persisted_training_frame(train)
     try:

@@ -3,7 +3,7 @@
 The batch ``predict`` step as a stream: new files in the test-pair text
 format are parsed with the same column expressions as the batch reader,
 joined to the (static) per-question features -- a stream-static join, so
-no state is kept -- scored by any fitted model (or a column scorer) and
+no state is kept; the static side is materialised once -- scored by any fitted model (or a column scorer) and
 appended as prediction JSON lines.  Progress lives in the checkpoint
 location, so a restarted query resumes after the last committed file and
 a lost executor only replays the current micro-batch.
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pairlens.functions.ids import decode_id
 from pairlens.operators.pairs import pair_features
 from pairlens.plans.flows import impute, with_probabilities
+from pairlens.session import reliable_checkpoint
 from pairlens.sinks.files import prediction_frame
 
 
@@ -45,6 +46,9 @@ def score_stream(spark: SparkSession, source_dir: str, qf: DataFrame, feature_co
     """
     if (model is None) == (scorer is None):
         raise ValueError("give exactly one of model or scorer")
+    # The static side is joined in every micro-batch: materialise it once in
+    # the shared checkpoint folder instead of recomputing it per batch.
+    qf = reliable_checkpoint(qf)
     lines = spark.readStream.format("text").load(source_dir)
     pairs = parse_test_pair_lines(lines).withColumn("label", F.lit(-1))
     pf = impute(pair_features(pairs, qf, feature_cols), feature_cols)

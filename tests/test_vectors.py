@@ -22,8 +22,10 @@ def test_sum_and_missing_zero(spark, tables):
     rows = by_qid(question_features(*tables))
     assert rows[1].features == [2.5, 3.0]          # 2 * [1,2] + [0.5,-1]
     assert rows[1].n_words == 3 and rows[1].n_missing == 0
-    assert list(rows[1].word_ids) == [10, 11, 10]   # order kept
+    assert list(rows[1].words) == [10, 11]
     assert sorted(rows[1].tags) == ["10:1", "10:2", "11:1"]
+    seq = by_qid(question_features(*tables, sequence=True))
+    assert list(seq[1].word_ids) == [10, 11, 10]    # order kept
     assert rows[2].features == [1.0, 2.0] and rows[2].n_missing == 1
     assert rows[3].features == [0.0, 0.0]           # no word with a vector
     assert rows[4].features == [0.0, 0.0] and rows[4].n_words == 0 and rows[4].tags == []
