@@ -28,6 +28,14 @@ METRICS = {
     "q2_length": lambda: F.col("b_n_words"),
 }
 
+# Per-question columns each metric reads (both sides).
+METRIC_INPUTS = {
+    "cosine": ("features", "norm"), "chebyshev": ("features",), "manhattan": ("features",),
+    "euclidean": ("features",), "euclidean_l2": ("features",), "dot": ("features",),
+    "jaccard": ("words", "tags"), "jaccard_set": ("words",), "edit_distance": ("word_ids",),
+    "q1_length": ("n_words",), "q2_length": ("n_words",),
+}
+
 # Metrics that need the ordered word sequence (question_features(sequence=True)).
 SEQUENCE_METRICS = {"edit_distance"}
 
@@ -35,6 +43,15 @@ SEQUENCE_METRICS = {"edit_distance"}
 def needs_sequence(feature_set) -> bool:
     return bool(SEQUENCE_METRICS & set(metric_names(feature_set)))
 
+
+def question_columns(feature_set) -> list[str]:
+    """qid plus the per-question columns the selected metrics read; used to
+    prune question features before they are materialised."""
+    cols = ["qid"]
+    for n in metric_names(feature_set):
+        cols += [c for c in METRIC_INPUTS[n] if c not in cols]
+    return cols
+
 # The feature sets of the reference and the order of the
 # metrics inside the assembled vector.
 FEATURE_SETS = {

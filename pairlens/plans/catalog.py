@@ -71,22 +71,24 @@ class Context:
         """Per-question features for a single use (no materialisation)."""
         return question_features(self.question, self.word_vec, missing=self.missing)
 
-    def pair_qf(self, sequence: bool = False) -> DataFrame:
-        """Per-question features joined to both pair sides: computed once and
-        written to the shared checkpoint folder, keeping the qid partitioning,
-        so each pair join shuffles only the pairs."""
-        key = ("pair_qf", sequence)
-        if key not in self._cache:
-            self._cache[key] = reliable_checkpoint(question_features(
-                self.question, self.word_vec, missing=self.missing, sequence=sequence))
-        return self._cache[key]
+    def pair_qf(self, names) -> DataFrame:
+        """Per-question features joined to both pair sides: pruned to the
+        columns ``names`` read, computed once and written to the shared
+        checkpoint folder (keeping the qid partitioning), so each pair join
+        shuffles only the pairs."""
+        cols = tuple(P.question_columns(names))
+        if cols not in self._cache:
+            qf = question_features(self.question, self.word_vec, missing=self.missing,
+                                   sequence=P.needs_sequence(names))
+            self._cache[cols] = reliable_checkpoint(qf.select(*cols))
+        return self._cache[cols]
 
     @cached_property
     def pairs(self) -> DataFrame:
         return P.dedupe_pairs(self.fx.train_pair)
 
     def features(self, names) -> DataFrame:
-        return P.pair_features(self.pairs, self.pair_qf(P.needs_sequence(names)), names)
+        return P.pair_features(self.pairs, self.pair_qf(names), names)
 
 
 def _metric_query(names: list[str], with_kind: tuple[str, ...] = ()) -> QueryFn:
@@ -169,7 +171,7 @@ register("pair_euclidean_l2", _metric_sql(["euclidean_l2"], "pmetric"))(
     "pmetric"))
 def q_pair_norm(spark, sf_dir):
     ctx = Context(spark, sf_dir)
-    j = P.join_questions(ctx.pairs, ctx.pair_qf())
+    j = P.join_questions(ctx.pairs, ctx.pair_qf(["cosine"]))
     return j.select("q1", "q2", "label", r6("a_norm").alias("norm1"), r6("b_norm").alias("norm2"))
 
 
@@ -179,7 +181,7 @@ def q_pair_norm(spark, sf_dir):
     "pmetric"))
 def q_pair_euclidean(spark, sf_dir):
     ctx = Context(spark, sf_dir)
-    j = P.join_questions(ctx.pairs, ctx.pair_qf())
+    j = P.join_questions(ctx.pairs, ctx.pair_qf(["euclidean"]))
     e = P.METRICS["euclidean"]()
     return j.select("q1", "q2", "label", r6(e).alias("euclidean"), kind(e).alias("euclidean_kind"),
                     r6(F.log10(e)).alias("euclidean_log10"),

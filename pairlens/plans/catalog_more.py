@@ -91,7 +91,7 @@ def _rule_scored_train(spark, sf_dir):
 def _rule_scored_test(spark, sf_dir, test_pair=None):
     ctx = Context(spark, sf_dir)
     tp = test_pair if test_pair is not None else ctx.fx.test_pair
-    pf = P.pair_features(tp, ctx.pair_qf(), ["jaccard_set"], keep=["row_no"])
+    pf = P.pair_features(tp, ctx.pair_qf(["jaccard_set"]), ["jaccard_set"], keep=["row_no"])
     return EV.rule_scorer(pf)
 
 
@@ -125,7 +125,7 @@ def q_stream_score_pairs(spark, sf_dir):
     src, sink, ckpt = (scratch_path(spark, n) for n in ("stream_in", "stream_out", "stream_ckpt"))
     ctx = Context(spark, sf_dir)
     K.write_test_pairs(ctx.fx.test_pair, src)
-    query = score_stream(spark, src, ctx.pair_qf(), ["jaccard_set"], sink, ckpt, scorer=EV.rule_scorer)
+    query = score_stream(spark, src, ctx.pair_qf(["jaccard_set"]), ["jaccard_set"], sink, ckpt, scorer=EV.rule_scorer)
     query.awaitTermination()
     back = S.read_predictions(spark, sink)
     return back.select("q1", "q2", "prediction", r6("p0").alias("p0"), r6("p1").alias("p1"))

@@ -21,7 +21,8 @@ from pyspark.ml.tuning import CrossValidatorModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairlens.operators.pairs import dedupe_pairs, metric_names, needs_sequence, pair_features
+from pairlens.operators.pairs import (dedupe_pairs, metric_names, needs_sequence, pair_features,
+                                      question_columns)
 from pairlens.operators.split import split
 from pairlens.operators.vectors import question_features, reduce_word_vectors
 from pairlens.plans.models import PCA_K, cross_validator
@@ -53,7 +54,7 @@ def pair_side_features(question: DataFrame, word_vec: DataFrame, names: list[str
     them instead of recomputing, and the qid partitioning is kept."""
     wv = reduce_word_vectors(word_vec, pca_k)[0] if pca_k else word_vec
     qf = question_features(question, wv, missing=missing, sequence=needs_sequence(names))
-    return reliable_checkpoint(qf)
+    return reliable_checkpoint(qf.select(*question_columns(names)))
 
 
 def feature_frame(question: DataFrame, word_vec: DataFrame, pairs: DataFrame,
