@@ -134,4 +134,5 @@ def reduce_word_vectors(word_vec: DataFrame, k: int):
 
 def question_vector_rows(qf: DataFrame) -> DataFrame:
     """Flatten to (qid, dim, value): one scalar row per vector component."""
-    return qf.select("qid", F.posexplode("features").alias("dim", "value"))
+    return (qf.select("qid", F.posexplode("features").alias("dim", "value"))
+              .withColumn("dim", F.col("dim").cast("bigint")))

@@ -123,7 +123,8 @@ def q_vocabulary(spark, sf_dir):
     "SELECT qid, pos, wid FROM tokv", "tokv"))
 def q_question_words(spark, sf_dir):
     q = Fixture(spark, sf_dir).question()
-    return q.select("qid", F.posexplode("word_ids").alias("pos", "wid"))
+    return q.select("qid", F.posexplode("word_ids").alias("pos", "wid")) \
+        .withColumn("pos", F.col("pos").cast("bigint"))
 
 
 @register("pair_dedupe", with_ctes("SELECT label, q1, q2 FROM pair", "pair"))

@@ -36,12 +36,12 @@ def q_embedding_text_roundtrip(spark, sf_dir):
     K.write_embeddings(prepare(spark, sf_dir).word_vec, path)
     back = S.read_embeddings(spark, path)
     return back.select("wid", F.posexplode("features").alias("dim", "value")) \
-        .select("wid", "dim", r6("value").alias("value"))
+        .select("wid", F.col("dim").cast("bigint").alias("dim"), r6("value").alias("value"))
 
 
 _QUESTION_CHECK_SQL = with_ctes("""
-SELECT q.qid, coalesce(w.n_words, 0) AS n_words, coalesce(w.word_sum, 0) AS word_sum,
-       c.n_chars, c.char_sum
+SELECT q.qid, coalesce(w.n_words, 0) AS n_words, coalesce(w.word_sum, 0)::BIGINT AS word_sum,
+       c.n_chars, c.char_sum::BIGINT AS char_sum
 FROM question q
 LEFT JOIN (SELECT qid, count(*) AS n_words, sum((pos + 1) * wid) AS word_sum FROM tokv GROUP BY qid) w
        ON w.qid = q.qid
@@ -152,7 +152,7 @@ def q_eval_logloss_standard(spark, sf_dir):
 
 @register("eval_accuracy", with_ctes(
     f"SELECT {sql_r6('avg(CASE WHEN prediction = label THEN 1.0 ELSE 0.0 END)')} AS accuracy, "
-    "sum(CASE WHEN prediction = label THEN 1 ELSE 0 END) AS n_correct, count(*) AS n_rows FROM scored_pred",
+    "sum(CASE WHEN prediction = label THEN 1 ELSE 0 END)::BIGINT AS n_correct, count(*) AS n_rows FROM scored_pred",
     "scored_pred"))
 def q_eval_accuracy(spark, sf_dir):
     out = EV.accuracy(_rule_scored_train(spark, sf_dir))
@@ -160,7 +160,7 @@ def q_eval_accuracy(spark, sf_dir):
 
 
 @register("eval_auc", with_ctes(
-    f"SELECT {sql_r6('auc')} AS auc, n_pos, n_neg FROM auc_value", "auc_value"))
+    f"SELECT {sql_r6('auc')} AS auc, n_pos::BIGINT AS n_pos, n_neg::BIGINT AS n_neg FROM auc_value", "auc_value"))
 def q_eval_auc(spark, sf_dir):
     out = EV.auc(_rule_scored_train(spark, sf_dir))
     return out.select(r6("auc").alias("auc"), "n_pos", "n_neg")
