@@ -89,18 +89,59 @@ def _side(qf: DataFrame, prefix: str, key: str) -> DataFrame:
                      *[F.col(c).alias(f"{prefix}_{c}") for c in qf.columns if c != "qid"])
 
 
-def join_questions(pairs: DataFrame, qf: DataFrame, how: str = "inner") -> DataFrame:
+# A question named by more pairs than this is a hot join key.
+HOT_KEY_PAIRS = 200_000
+# At most this many hot keys are isolated; their question rows are broadcast,
+# so the broadcast holds at most this many rows whatever the data size.
+MAX_HOT_KEYS = 64
+
+
+def hot_keys(pairs: DataFrame, key: str, threshold: int = HOT_KEY_PAIRS,
+             max_keys: int = MAX_HOT_KEYS) -> DataFrame:
+    """(key) of the most frequent join keys above ``threshold`` pairs.
+
+    A partial aggregate (one count per key per map task), filtered and cut
+    to the ``max_keys`` largest, then written to the shared checkpoint
+    folder because it is used three times below.
+    """
+    from pairlens.session import reliable_checkpoint
+    counts = pairs.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    top = counts.filter(F.col("_n") > threshold).orderBy(F.col("_n").desc()).limit(max_keys)
+    return reliable_checkpoint(top.select(key))
+
+
+def join_side(pairs: DataFrame, side: DataFrame, key: str, how: str = "inner",
+              threshold: int | None = HOT_KEY_PAIRS, max_keys: int = MAX_HOT_KEYS) -> DataFrame:
+    """``pairs.join(side, key, how)`` that survives a key held by a large
+    share of the pairs.
+
+    ``side`` has one row per key and may already be partitioned on it, in
+    which case adaptive skew splitting cannot apply (it needs both sides
+    shuffled).  Pairs on hot keys are therefore joined map-side against a
+    broadcast of the few matching side rows -- they never move -- and only
+    the remaining pairs go through the shuffled join.  ``threshold=None``
+    disables the split.
+    """
+    if threshold is None:
+        return pairs.join(side, key, how)
+    hot = F.broadcast(hot_keys(pairs, key, threshold, max_keys))
+    hot_pairs = pairs.join(hot, key, "left_semi")
+    cold_pairs = pairs.join(hot, key, "left_anti")
+    hot_side = F.broadcast(side.join(hot, key, "left_semi"))
+    return cold_pairs.join(side, key, how).unionByName(hot_pairs.join(hot_side, key, how))
+
+
+def join_questions(pairs: DataFrame, qf: DataFrame, how: str = "inner",
+                   skew_threshold: int | None = HOT_KEY_PAIRS) -> DataFrame:
     """Attach both questions' features to each pair.
 
     ``how='inner'`` drops pairs naming an unknown question, ``'left'`` keeps
     them with NULL features.  Each join shuffles the pair side on its key;
-    the question side is already partitioned on qid.  A question that
-    appears in a large share of the pairs is a skewed join key: adaptive
-    execution splits that partition of the pair side and replicates the
-    single matching question row.
+    the question side is already partitioned on qid.  Questions named by
+    more than ``skew_threshold`` pairs are joined map-side (``join_side``).
     """
-    with_a = pairs.join(_side(qf, "a", "q1"), "q1", how)
-    return with_a.join(_side(qf, "b", "q2"), "q2", how)
+    with_a = join_side(pairs, _side(qf, "a", "q1"), "q1", how, skew_threshold)
+    return join_side(with_a, _side(qf, "b", "q2"), "q2", how, skew_threshold)
 
 
 def unknown_questions(pairs: DataFrame, question: DataFrame) -> DataFrame:
@@ -125,11 +166,12 @@ def metric_columns(names) -> list[Column]:
 
 
 def pair_features(pairs: DataFrame, qf: DataFrame, feature_set="all", how: str = "inner",
-                  keep: list[str] | None = None) -> DataFrame:
+                  keep: list[str] | None = None,
+                  skew_threshold: int | None = HOT_KEY_PAIRS) -> DataFrame:
     """(q1, q2[, label], <metric columns>) for every pair."""
     names = metric_names(feature_set)
     if needs_sequence(names) and "word_ids" not in qf.columns:
         raise ValueError("edit distance needs question_features(..., sequence=True)")
     base = [c for c in ("q1", "q2", "label") if c in pairs.columns] + list(keep or [])
-    joined = join_questions(pairs, qf, how)
+    joined = join_questions(pairs, qf, how, skew_threshold)
     return joined.select(*base, *metric_columns(names))

@@ -51,7 +51,9 @@ def score_stream(spark: SparkSession, source_dir: str, qf: DataFrame, feature_co
     qf = reliable_checkpoint(qf)
     lines = spark.readStream.format("text").load(source_dir)
     pairs = parse_test_pair_lines(lines).withColumn("label", F.lit(-1))
-    pf = impute(pair_features(pairs, qf, feature_cols), feature_cols)
+    # Hot-key detection needs a job over the whole input, which a stream does
+    # not have; each micro-batch is bounded by the trigger instead.
+    pf = impute(pair_features(pairs, qf, feature_cols, skew_threshold=None), feature_cols)
     scored = scorer(pf) if scorer is not None else with_probabilities(model.transform(pf))
     writer = (prediction_frame(scored).writeStream
               .format("json").outputMode("append")
