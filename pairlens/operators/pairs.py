@@ -96,35 +96,42 @@ HOT_KEY_PAIRS = 200_000
 MAX_HOT_KEYS = 64
 
 
-def hot_keys(pairs: DataFrame, key: str, threshold: int = HOT_KEY_PAIRS,
-             max_keys: int = MAX_HOT_KEYS) -> DataFrame:
-    """(key) of the most frequent join keys above ``threshold`` pairs.
-
-    A partial aggregate (one count per key per map task), filtered and cut
-    to the ``max_keys`` largest, then written to the shared checkpoint
-    folder because it is used three times below.
+def hot_keys(pairs: DataFrame, keys=("q1", "q2"), threshold: int = HOT_KEY_PAIRS,
+             max_keys: int = MAX_HOT_KEYS) -> dict:
+    """key column -> DataFrame of its hot values (or None when there is none).
+
+    One job over the pairs for all key columns: a partial aggregate (one
+    count per key per map task), filtered to keys above ``threshold`` and cut
+    to the ``max_keys`` largest per column, written to the shared checkpoint
+    folder because each hot set is used three times.
     """
     from pairlens.session import reliable_checkpoint
-    counts = pairs.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    top = counts.filter(F.col("_n") > threshold).orderBy(F.col("_n").desc()).limit(max_keys)
-    return reliable_checkpoint(top.select(key))
+    stacked = pairs.select(F.explode(F.array(*[
+        F.struct(F.lit(k).alias("side"), F.col(k).cast("bigint").alias("key")) for k in keys])).alias("s"))
+    counts = stacked.groupBy("s.side", "s.key").agg(F.count(F.lit(1)).alias("_n"))
+    top = counts.filter(F.col("_n") > threshold).orderBy(F.col("_n").desc()).limit(max_keys * len(keys))
+    hot = reliable_checkpoint(top)
+    found = {r["side"] for r in hot.select("side").distinct().take(len(keys))}
+    return {k: (hot.filter(F.col("side") == k).select(F.col("key").alias(k)) if k in found else None)
+            for k in keys}
 
 
 def join_side(pairs: DataFrame, side: DataFrame, key: str, how: str = "inner",
-              threshold: int | None = HOT_KEY_PAIRS, max_keys: int = MAX_HOT_KEYS) -> DataFrame:
+              hot: DataFrame | None = None) -> DataFrame:
     """``pairs.join(side, key, how)`` that survives a key held by a large
     share of the pairs.
 
     ``side`` has one row per key and may already be partitioned on it, in
     which case adaptive skew splitting cannot apply (it needs both sides
-    shuffled).  Pairs on hot keys are therefore joined map-side against a
-    broadcast of the few matching side rows -- they never move -- and only
-    the remaining pairs go through the shuffled join.  ``threshold=None``
-    disables the split.
+    shuffled).  When ``hot`` lists keys, pairs on those keys are joined
+    map-side against a broadcast of the few matching side rows -- they
+    never move -- and only the remaining pairs go through the shuffled
+    join.  ``hot`` holds at most ``MAX_HOT_KEYS`` rows, which bounds both
+    broadcasts.
     """
-    if threshold is None:
+    if hot is None:
         return pairs.join(side, key, how)
-    hot = F.broadcast(hot_keys(pairs, key, threshold, max_keys))
+    hot = F.broadcast(hot)
     hot_pairs = pairs.join(hot, key, "left_semi")
     cold_pairs = pairs.join(hot, key, "left_anti")
     hot_side = F.broadcast(side.join(hot, key, "left_semi"))
@@ -138,10 +145,12 @@ def join_questions(pairs: DataFrame, qf: DataFrame, how: str = "inner",
     ``how='inner'`` drops pairs naming an unknown question, ``'left'`` keeps
     them with NULL features.  Each join shuffles the pair side on its key;
     the question side is already partitioned on qid.  Questions named by
-    more than ``skew_threshold`` pairs are joined map-side (``join_side``).
+    more than ``skew_threshold`` pairs (found in one pass over the pair ids)
+    are joined map-side (``join_side``); ``None`` skips the detection.
     """
-    with_a = join_side(pairs, _side(qf, "a", "q1"), "q1", how, skew_threshold)
-    return join_side(with_a, _side(qf, "b", "q2"), "q2", how, skew_threshold)
+    hot = hot_keys(pairs, ("q1", "q2"), skew_threshold) if skew_threshold is not None else {}
+    with_a = join_side(pairs, _side(qf, "a", "q1"), "q1", how, hot.get("q1"))
+    return join_side(with_a, _side(qf, "b", "q2"), "q2", how, hot.get("q2"))
 
 
 def unknown_questions(pairs: DataFrame, question: DataFrame) -> DataFrame:

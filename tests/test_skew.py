@@ -10,7 +10,8 @@ def test_hot_key_split_matches_plain_join(spark):
         F.when(F.col("id") % 2 == 0, F.lit(0)).otherwise(F.col("id") % 97).alias("q1"),
         (F.col("id") % 89 + 1000).alias("q2"), F.lit(1).alias("label"))
     qf = spark.range(0, 2000).select(F.col("id").alias("qid"), (F.col("id") * 2.0).alias("x"))
-    assert [r.q1 for r in hot_keys(pairs, "q1", threshold=500).collect()] == [0]
+    hot = hot_keys(pairs, ("q1", "q2"), threshold=500)
+    assert [r.q1 for r in hot["q1"].collect()] == [0] and hot["q2"] is None
     split = join_questions(pairs, qf, skew_threshold=500).select("q1", "q2", "a_x", "b_x")
     plain = join_questions(pairs, qf, skew_threshold=None).select("q1", "q2", "a_x", "b_x")
     assert sorted(map(tuple, split.collect())) == sorted(map(tuple, plain.collect()))
@@ -20,5 +21,6 @@ def test_hot_key_split_matches_plain_join(spark):
 def test_left_join_keeps_unknown_hot_key(spark):
     pairs = spark.createDataFrame([(7, i) for i in range(50)], "q1 bigint, q2 bigint")
     side = spark.createDataFrame([(1, 1.0)], "q1 bigint, v double")
-    out = join_side(pairs, side, "q1", "left", threshold=10)
+    hot = hot_keys(pairs, ("q1",), threshold=10)["q1"]
+    out = join_side(pairs, side, "q1", "left", hot)
     assert out.count() == 50 and out.filter("v is null").count() == 50
