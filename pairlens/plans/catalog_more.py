@@ -13,7 +13,7 @@ from pairlens.functions.dates import parse_time, render_time
 from pairlens.operators import evaluate as EV
 from pairlens.operators import pairs as P
 from pairlens.operators.split import with_split
-from pairlens.operators.vectors import question_features, reduce_word_vectors
+from pairlens.operators.vectors import reduce_word_vectors
 from pairlens.plans import flows
 from pairlens.plans.catalog import Context, r6, register
 from pairlens.plans.models import PCA_K
@@ -266,6 +266,3 @@ def q_date_parse(spark, sf_dir):
     text = render_time("ts", TIME_FORMAT)
     return ev.select("event_id", F.unix_seconds(parse_time(text, TIME_FORMAT)).alias("epoch_seconds"))
 
-
-# Unused names kept importable for callers composing their own plans.
-__all__ = ["question_features"]

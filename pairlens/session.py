@@ -8,7 +8,6 @@ do we create a private folder ourselves.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -46,13 +45,21 @@ def build_session(master: str | None = None, app_name: str = "pairlens",
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder; created privately only when unset."""
+    """The shared checkpoint folder.
+
+    Taken from the session (``SparkContext.setCheckpointDir`` or
+    ``spark.checkpoint.dir``).  Only a local-mode session without one gets a
+    private temporary folder; on a cluster a machine-local folder would not
+    be visible to the executors, so an unset folder is an error there.
+    """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder on shared storage")
         configured = tempfile.mkdtemp(prefix="pairlens-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
@@ -72,13 +79,3 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def local_path(path: str) -> str:
-    return path[len("file:"):] if path.startswith("file:") else path
-
-
-def ensure_parent(path: str) -> None:
-    p = local_path(path)
-    if "://" not in p:
-        os.makedirs(os.path.dirname(p) or ".", exist_ok=True)
