@@ -24,3 +24,22 @@ def test_predict_every_test_pair(spark):
     fx = prepare(spark, SMALL)
     scored = flows.predict(fx.question(), fx.word_vec, fx.train_pair, fx.test_pair, model="lr")
     assert scored.count() == fx.test_pair.count()
+
+
+def test_scored_rows_written_as_json(spark, tmp_out):
+    """K-01: held-out rows with model outputs (vectors as JSON objects)."""
+    fx = prepare(spark, SMALL)
+    res = flows.train_evaluate(fx.question(), fx.word_vec, fx.train_pair, model="lr",
+                               output=f"{tmp_out}/cv_transformed")
+    back = spark.read.json(f"{tmp_out}/cv_transformed")
+    assert back.count() == res.scored.count()
+    assert {"probability", "rawPrediction", "prediction", "label"} <= set(back.columns)
+
+
+def test_output_layout_and_report_line():
+    from pairlens.sinks.files import output_paths
+    paths = output_paths("/data", "mlp")
+    assert paths == {"cv_transformed": "/data/output/lmpc/cv_transformed",
+                     "prediction": "/data/output/lmpc/prediction"}
+    line = EV.markdown_row("lr", {"logloss": 0.5, "auc": 0.75, "precision": 0.7})
+    assert line == "lr -> logloss, areaUnderRoc, precision, | 0.5 | 0.75 | 0.7 | | |"
