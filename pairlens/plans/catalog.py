@@ -20,7 +20,7 @@ from pairlens.plans.oracle_sql import kind as sql_kind
 from pairlens.plans.oracle_sql import r6 as sql_r6
 from pairlens.plans.oracle_sql import with_ctes
 from pairlens.session import reliable_checkpoint
-from pairlens.sources.testdata import Fixture, prepare
+from pairlens.sources.testdata import prepare
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -116,20 +116,20 @@ def _metric_sql(names: list[str], source: str, with_kind: tuple[str, ...] = ())
 
 @register("vocabulary", with_ctes("SELECT w, n, wid FROM voc", "voc"))
 def q_vocabulary(spark, sf_dir):
-    return Fixture(spark, sf_dir).vocab.select("w", "n", "wid")
+    return prepare(spark, sf_dir).vocab.select("w", "n", "wid")
 
 
 @register("question_words", with_ctes(
     "SELECT qid, pos, wid FROM tokv", "tokv"))
 def q_question_words(spark, sf_dir):
-    q = Fixture(spark, sf_dir).question()
+    q = prepare(spark, sf_dir).question()
     return q.select("qid", F.posexplode("word_ids").alias("pos", "wid")) \
         .withColumn("pos", F.col("pos").cast("bigint"))
 
 
 @register("pair_dedupe", with_ctes("SELECT label, q1, q2 FROM pair", "pair"))
 def q_pair_dedupe(spark, sf_dir):
-    return P.dedupe_pairs(Fixture(spark, sf_dir).train_pair).select("label", "q1", "q2")
+    return P.dedupe_pairs(prepare(spark, sf_dir).train_pair).select("label", "q1", "q2")
 
 
 # -- step 2: per-question vectors --------------------------------------------------

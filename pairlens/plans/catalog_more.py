@@ -192,10 +192,21 @@ def q_pca_words(spark, sf_dir):
     return reduced.select("wid", F.posexplode("features").alias("dim", "value"))
 
 
+_TRAINED: dict = {}
+
+
+def _trained(spark, sf_dir, model):
+    """Fit a model once per application and folder; its queries share it."""
+    key = (spark.conf.get("spark.app.id", ""), sf_dir, model)
+    if key not in _TRAINED:
+        fx = prepare(spark, sf_dir)
+        _TRAINED[key] = flows.train_evaluate(fx.question(), fx.word_vec, fx.train_pair, model=model)
+    return _TRAINED[key]
+
+
 def _train(model):
     def run(spark, sf_dir):
-        fx = prepare(spark, sf_dir)
-        res = flows.train_evaluate(fx.question(), fx.word_vec, fx.train_pair, model=model)
+        res = _trained(spark, sf_dir, model)
         return res.scored.select("q1", "q2", "label", F.col("prediction").cast("int").alias("prediction"),
                                  "p0", "p1")
     return run
@@ -208,8 +219,7 @@ for _m in ("lr", "gbt", "svm", "mlp"):
 @register("cv_metrics")
 def q_cv_metrics(spark, sf_dir):
     """Average cross-validation AUC per grid point of the LR search."""
-    fx = prepare(spark, sf_dir)
-    res = flows.train_evaluate(fx.question(), fx.word_vec, fx.train_pair, model="lr")
+    res = _trained(spark, sf_dir, "lr")
     grid = res.model.getEstimatorParamMaps()
     rows = [("lr", i, float(list(pm.values())[0]) if pm else None, float(m))
             for i, (pm, m) in enumerate(zip(grid, res.avg_metrics))]
@@ -218,9 +228,7 @@ def q_cv_metrics(spark, sf_dir):
 
 @register("model_report_lr")
 def q_model_report_lr(spark, sf_dir):
-    fx = prepare(spark, sf_dir)
-    res = flows.train_evaluate(fx.question(), fx.word_vec, fx.train_pair, model="lr")
-    return EV.report(res.scored, "lr", score="score")
+    return EV.report(_trained(spark, sf_dir, "lr").scored, "lr", score="score")
 
 
 @register("predict_pairs")
