@@ -121,9 +121,9 @@ def join_side(pairs: DataFrame, side: DataFrame, key: str, how: str = "inner",
     """``pairs.join(side, key, how)`` that survives a key held by a large
     share of the pairs.
 
-    ``side`` has one row per key and may already be partitioned on it, in
-    which case adaptive skew splitting cannot apply (it needs both sides
-    shuffled).  When ``hot`` lists keys, pairs on those keys are joined
+    ``side`` has one row per key.  Adaptive skew splitting only acts when
+    both sides are shuffled (a side already partitioned on the key, or a
+    broadcast, escapes it), so it is not relied on: when ``hot`` lists keys, pairs on those keys are joined
     map-side against a broadcast of the few matching side rows -- they
     never move -- and only the remaining pairs go through the shuffled
     join.  ``hot`` holds at most ``MAX_HOT_KEYS`` rows, which bounds both
@@ -143,8 +143,7 @@ def join_questions(pairs: DataFrame, qf: DataFrame, how: str = "inner",
     """Attach both questions' features to each pair.
 
     ``how='inner'`` drops pairs naming an unknown question, ``'left'`` keeps
-    them with NULL features.  Each join shuffles the pair side on its key;
-    the question side is already partitioned on qid.  Questions named by
+    them with NULL features.  Questions named by
     more than ``skew_threshold`` pairs (found in one pass over the pair ids)
     are joined map-side (``join_side``); ``None`` skips the detection.
     """

@@ -74,8 +74,8 @@ class Context:
     def pair_qf(self, names) -> DataFrame:
         """Per-question features joined to both pair sides: pruned to the
         columns ``names`` read, computed once and written to the shared
-        checkpoint folder (keeping the qid partitioning), so each pair join
-        shuffles only the pairs."""
+        checkpoint folder, so the two pair joins read one copy instead of
+        recomputing it."""
         cols = tuple(P.question_columns(names))
         if cols not in self._cache:
             qf = question_features(self.question, self.word_vec, missing=self.missing,

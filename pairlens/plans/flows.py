@@ -51,7 +51,7 @@ def pair_side_features(question: DataFrame, word_vec: DataFrame, names: list[str
                        pca_k: int | None = None, missing: str = "zero") -> DataFrame:
     """Per-question features (after optional PCA of the word vectors),
     written once to the shared checkpoint folder: every pair side reads
-    them instead of recomputing, and the qid partitioning is kept."""
+    them instead of recomputing."""
     wv = reduce_word_vectors(word_vec, pca_k)[0] if pca_k else word_vec
     qf = question_features(question, wv, missing=missing, sequence=needs_sequence(names))
     return reliable_checkpoint(qf.select(*question_columns(names)))
