@@ -36,6 +36,9 @@ def build_session(master: str | None = None, app_name: str = "pairlens",
     conf = dict(DEFAULT_CONF)
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if master and master.startswith("local") and "spark.sql.warehouse.dir" not in (extra or {}):
+        # Local runs keep the catalog's folder out of the working directory.
+        conf["spark.sql.warehouse.dir"] = tempfile.mkdtemp(prefix="pairlens-warehouse-")
     conf.update(extra or {})
     for key, value in conf.items():
         builder = builder.config(key, value)
