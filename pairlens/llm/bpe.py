@@ -38,7 +38,7 @@ ROWS = 512
 #: symbols never contain.
 END = "\ue000"
 #: White space as the tokenizer's regular expressions define it.
-SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def byte_symbols() -> list[str]:

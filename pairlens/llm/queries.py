@@ -6,8 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairlens.llm import bpe, sharding
-from pairlens.llm.common import table
+from pairlens.llm import bpe, sharding, wrappers
+from pairlens.llm.common import stored, table
+
+
+def op1_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return wrappers.extract_pages(pages, stored(wrappers.infer_wrappers(pages), "wrappers"))
 
 
 def word_bpe() -> str:
@@ -26,6 +31,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_wrappers": op1_wrappers,
     "op2_bpe": op2_bpe,
     "op7_sharding": op7_sharding,
 }
