@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairlens.llm import bpe, sharding, wrappers
+from pairlens.llm import bpe, minhash, sharding, suffixes, wrappers
 from pairlens.llm.common import stored, table
 
 
@@ -26,14 +26,24 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(table(spark, sf_dir, "documents"), word_bpe())
 
 
+def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), n_shards=24)
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_wrappers": op1_wrappers,
     "op2_bpe": op2_bpe,
+    "op3_suffixes": op3_suffixes,
     "op7_sharding": op7_sharding,
+    "op10_minhash": op10_minhash,
 }
 
 ORACLE: dict[str, str] = {}
