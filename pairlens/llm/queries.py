@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairlens.llm import bpe, minhash, sharding, suffixes, wrappers
+from pairlens.llm import bpe, minhash, sharding, suffixes, toxicity, wrappers
 from pairlens.llm.common import stored, table
 
 
@@ -30,6 +30,11 @@ def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), n_shards=24)
 
@@ -42,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_wrappers": op1_wrappers,
     "op2_bpe": op2_bpe,
     "op3_suffixes": op3_suffixes,
+    "op5_toxicity": op5_toxicity,
     "op7_sharding": op7_sharding,
     "op10_minhash": op10_minhash,
 }
