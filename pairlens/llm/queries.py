@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pairlens.llm import bpe, minhash, sharding, suffixes, toxicity, wrappers
+from pairlens.llm import bpe, decontaminate, minhash, secrets, sharding, suffixes, toxicity, wrappers
 from pairlens.llm.common import stored, table
 
 
@@ -30,6 +31,10 @@ def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -39,6 +44,14 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), n_shards=24)
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document and secret; the value itself is given by its digest only."""
+    model = secrets.train(secrets.example_findings(spark))
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"), model)
+    return found.select("doc_id", "start", F.length("secret").cast("long").alias("n_chars"), "n_found",
+                        F.sha2("secret", 256).alias("secret_sha256"), "probability")
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
 
@@ -47,8 +60,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_wrappers": op1_wrappers,
     "op2_bpe": op2_bpe,
     "op3_suffixes": op3_suffixes,
+    "op4_decontaminate": op4_decontaminate,
     "op5_toxicity": op5_toxicity,
     "op7_sharding": op7_sharding,
+    "op8_secrets": op8_secrets,
     "op10_minhash": op10_minhash,
 }
 
