@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlens.llm import bpe, decontaminate, minhash, secrets, sharding, suffixes, toxicity, wrappers
+from pairlens.llm import bpe, decontaminate, minhash, neighbours, secrets, sharding, suffixes, toxicity, wrappers
 from pairlens.llm.common import stored, table
 
 
@@ -52,6 +52,10 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2("secret", 256).alias("secret_sha256"), "probability")
 
 
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
 
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op7_sharding": op7_sharding,
     "op8_secrets": op8_secrets,
+    "op9_neighbours": op9_neighbours,
     "op10_minhash": op10_minhash,
 }
 
