@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlens.llm import bpe, decontaminate, minhash, neighbours, secrets, sharding, suffixes, toxicity, wrappers
+from pairlens.llm import bpe, decontaminate, minhash, neighbours, pseudonyms, secrets, sharding, suffixes, toxicity, wrappers
 from pairlens.llm.common import stored, table
 
 
@@ -40,6 +40,14 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+#: The key that the query uses; a real corpus is given a secret one.
+DEMONSTRATION_KEY = b"demonstration key of the query op6"
+
+
+def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.pseudonymise(table(spark, sf_dir, "documents"), DEMONSTRATION_KEY)
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), n_shards=24)
 
@@ -66,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_suffixes": op3_suffixes,
     "op4_decontaminate": op4_decontaminate,
     "op5_toxicity": op5_toxicity,
+    "op6_pseudonyms": op6_pseudonyms,
     "op7_sharding": op7_sharding,
     "op8_secrets": op8_secrets,
     "op9_neighbours": op9_neighbours,
