@@ -24,7 +24,7 @@ def components(links: DataFrame) -> DataFrame:
     now = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
                  .where(F.col("u") != F.col("v")).distinct(), "links")
     before = None
-    while (state := _state(now)) != before:
+    while (state := _state(now)) != before and state[0]:
         before = state
         both = now.union(now.select("v", "u").toDF("u", "v"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))

@@ -9,10 +9,11 @@ under one in a million, for sets of a few shingles as well.
 
 Documents with equal sets are one node.  Nodes that share a band are compared
 on their full sets, but a large group of copies is not compared pair by pair:
-each node is first compared with the most central node of its bands, linked
-nodes are contracted, and only pairs of nodes that share a band and still lie
-in different components are compared afterwards.  A pair inside one component
-needs no comparison, so no link that would change a component is left out.
+each node is first compared with a central node of its largest bands and linked
+nodes are contracted.  Afterwards only nodes of different components that share
+a band are compared: pair by pair in bands of few nodes, and by blocks of nodes
+whose sets meet once where a component or a band is large.  Nodes of one component need no comparison, so no link that would
+change a component is left out.
 """
 
 from __future__ import annotations
@@ -23,15 +24,20 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from pairlens.llm.common import stored
+from pairlens.llm.common import small_side, stored
 from pairlens.llm.graph import components
 
 PERMUTATIONS = 64
 BANDS = 32
-#: Pairs left per band member up to which they are listed at once instead of
-#: contracting further; a choice of cost that changes no link.
-PAIRS_PER_MEMBER = 4
+#: Largest bands of a node that propose its central node.
+PROPOSALS = 4
+#: Nodes up to which a component counts as small; the two sides of a block, the
+#: first of which is also the most nodes of a band that are paired one by one.
+SMALL, BLOCK_OUT, BLOCK_IN = 16, 64, 512
+#: Nodes up to which their ids are broadcast to fetch their texts (40 bytes each).
+BROADCAST_NODES = 500_000
 #: Words whose hash a worker remembers (a cache only).
 WORDS_KEPT = 1_000_000
 #: Shingles hashed at a time, to bound memory on very long texts.
@@ -104,27 +110,42 @@ def _digest(shingle_set: np.ndarray) -> bytes:
 
 
 def shingled(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n_shingles, node, bands); node is a digest of the set, null for an empty one."""
+    """(doc_id, n_shingles, digest, bands); digest of the set, null for an empty one."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = Words()
         for batch in batches:
-            sizes, nodes, keys = [], [], []
+            sizes, digests, keys = [], [], []
             for text in batch["text"]:
                 s = shingles(text, words, hashes)
                 sizes.append(len(s))
-                nodes.append(_digest(s) if len(s) else None)
+                digests.append(_digest(s) if len(s) else None)
                 keys.append(bands(s) if len(s) else None)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_shingles": sizes, "node": nodes, "bands": keys})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_shingles": sizes, "digest": digests, "bands": keys})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")) \
-        .mapInPandas(run, "doc_id long, n_shingles long, node binary, bands array<long>")
+        .mapInPandas(run, "doc_id long, n_shingles long, digest binary, bands array<long>")
+
+
+def _node_texts(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(node, text) of the ``wanted`` nodes; the digest tells a node's text from others of its doc_id."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = Words()
+        for batch in batches:
+            same = [_digest(shingles(t, words, hashes)) == d for d, t in zip(batch["digest"], batch["text"])]
+            yield batch.loc[same, ["node", "text"]]
+
+    ids = stored(nodes.join(wanted, "node", "left_semi").select("node", "doc_id", "digest"), "compared-nodes")
+    few = ids.count() <= BROADCAST_NODES
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")) \
+        .join(F.broadcast(ids) if few else ids, "doc_id")
+    return found.select("node", "digest", "text").mapInPandas(run, "node long, text string")
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The (a, b) of ``pairs`` whose full sets have 100 * common >= percent * union."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = Words()
-        last: tuple[bytes | None, np.ndarray | None] = (None, None)
+        last: tuple[int | None, np.ndarray | None] = (None, None)
         for batch in batches:
             yes = []
             for a, b, ta, tb in zip(batch["a"], batch["b"], batch["ta"], batch["tb"]):
@@ -137,7 +158,49 @@ def _linked(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
 
     both = (pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
             .join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b"))
-    return both.select("a", "b", "ta", "tb").mapInPandas(run, "a binary, b binary")
+    return both.select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long")
+
+
+def _linked_blocks(sides: DataFrame, inside: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links between the nodes that ``sides`` (a, target) sends to a component and that component's nodes.
+
+    Both sides are dealt into blocks; each pair of blocks meets once, and a
+    set travels once per block of the other side instead of once per pair.
+    """
+    out_n = sides.groupBy("target").agg(F.ceil(F.count(F.lit(1)) / BLOCK_OUT).cast("int").alias("outs"))
+    in_n = inside.groupBy("target").agg(F.ceil(F.count(F.lit(1)) / BLOCK_IN).cast("int").alias("ins"))
+    blocks = out_n.join(in_n, "target")
+
+    def dealt(rows: DataFrame, own: str, other: str, *names: str) -> DataFrame:
+        return (rows.join(blocks, "target").join(texts, "node").select(
+            "target", F.pmod(F.xxhash64("node"), F.col(own)).cast("int").alias("own"),
+            F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias("other"), "node", "text").toDF(*names))
+
+    left = dealt(sides.withColumnRenamed("a", "node"), "outs", "ins", "t1", "o1", "i1", "node", "text")
+    right = dealt(inside, "ins", "outs", "t2", "i2", "o2", "node2", "text2")
+
+    def run(outs: pd.DataFrame, ins: pd.DataFrame) -> pd.DataFrame:
+        found: list[tuple[int, int]] = []
+        if len(outs) and len(ins):
+            hashes = Words()
+            sets = [shingles(t, words, hashes) for t in outs["text"]]
+            sizes = np.array([len(s) for s in sets])
+            values = np.concatenate(sets)
+            owner = np.repeat(np.arange(len(sets)), sizes)
+            order = np.argsort(values, kind="stable")
+            values, owner = values[order], owner[order]
+            nodes = outs["node"].to_numpy()
+            for b, text in zip(ins["node2"], ins["text2"]):
+                s = shingles(text, words, hashes)
+                lo, hi = np.searchsorted(values, s, "left"), np.searchsorted(values, s, "right")
+                n = hi - lo
+                at = np.arange(n.sum()) + np.repeat(lo - (np.cumsum(n) - n), n)
+                common = np.bincount(owner[at], minlength=len(sets))
+                yes = 100 * common >= percent * (sizes + len(s) - common)
+                found += [(int(a), int(b)) for a in nodes[yes] if a != b]
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return left.groupBy("t1", "o1", "i1").cogroup(right.groupBy("t2", "o2", "i2")).applyInPandas(run, "a long, b long")
 
 
 def _near_sizes(percent: int):
@@ -155,95 +218,78 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     that repeat a doc_id are compared by their own texts.  An empty table gives
     an empty result; other columns are ignored.
     """
-    base = stored(shingled(docs, words), "shingled")
-    usable = base.where("doc_id is not null and node is not null")
+    base = stored(shingled(docs, words).withColumn("row", F.monotonically_increasing_id()), "shingled")
+    usable = base.where("doc_id is not null and digest is not null")
     # One node per distinct set; copies are counted away before anything is compared.
-    nodes = stored(usable.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size"),
-                                              F.first("bands").alias("bands")), "nodes")
-    keyed = nodes.select(F.explode("bands").alias("key"), "node", "size")
+    nodes = stored(usable.groupBy("digest").agg(
+        F.min("row").alias("node"), F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size"),
+        F.first("bands").alias("bands")), "nodes")
+    keyed = nodes.select(F.explode("bands").alias("key"), "node", F.col("size").cast("int").alias("size"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = keyed.join(shared, "key")
-    scores = members.groupBy("node").agg(F.sum("n").alias("score"))
-    members = stored(members.drop("n").join(scores, "node"), "band-members")
-    scores = members.select("node").distinct()
-
-    # The text of each such node, once: its digest tells it from other rows of the same doc_id.
-    needed = nodes.join(scores.select("node"), "node", "left_semi").select("node", "doc_id")
-    wanted = needed.join(docs.select(F.col("doc_id").cast("long").alias("doc_id"),
-                                     F.col("text").cast("string").alias("text")), "doc_id")
-
-    def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = Words()
-        for batch in batches:
-            same = [_digest(shingles(t, words, hashes)) == n for n, t in zip(batch["node"], batch["text"])]
-            yield batch.loc[same, ["node", "text"]]
-
-    texts = stored(wanted.select("node", "text").mapInPandas(own, "node binary, text string"), "band-texts")
-
-    n_members = members.count()
-    links = members.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-    tried, labels, last, stuck = links, components(links), False, False
-    while n_members and not last:
-        now = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        # A band whose nodes are all in one component has nothing left to tell.
-        split = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")) \
-            .where("lo != hi").select("key")
-        open_ = stored(now.join(split, "key"), "band-open")
-        rows = open_.groupBy("key", "component").agg(F.count(F.lit(1)).alias("rows"))
-        main = rows.groupBy("key").agg(F.max_by("component", F.struct("rows", "component")).alias("main"),
-                                       F.sum("rows").alias("all"), F.max("rows").alias("most"))
-        left = main.agg(F.sum(F.expr("`all` * (`all` - most)").cast("double"))).first()[0] or 0.0
-        # Either way gives the same links; the list is only cheaper when it is short.
-        last = stuck or left <= PAIRS_PER_MEMBER * n_members
-        pairs = _remaining(open_, main, percent) if last else _with_centres(open_, main, percent, not tried.isEmpty())
-        pairs = stored(pairs.join(tried, ["a", "b"], "left_anti"), "band-pairs")
-        if not last and pairs.isEmpty():  # every centre has been tried
-            pairs = stored(_remaining(open_, main, percent).join(tried, ["a", "b"], "left_anti"), "band-pairs")
-            last = True
-        found = stored(_linked(pairs, texts, words, percent), "near-links")
-        stuck = found.isEmpty()
-        links = links.union(found)
-        tried = tried.union(pairs)
-        labels = components(links)
-
-    reach = nodes.select("node", "doc_id").join(labels, "node", "left").withColumn(
+    members = stored(keyed.join(shared, "key"), "band-members")
+    compared = members.select("node").distinct()
+    texts = stored(_node_texts(docs, nodes, compared, words), "band-texts")
+
+    # Every node against the most central node of its largest bands.
+    own = Window.partitionBy("node")
+    ranked = members.select("*", F.sum("n").over(own).alias("score"),
+                            F.row_number().over(own.orderBy(F.desc("n"), "key")).alias("nth")).where(F.col("nth") <= PROPOSALS)
+    centre = ranked.groupBy("key").agg(F.max_by(F.struct("node", "size"), F.struct("score", "node")).alias("c"))
+    proposed = ranked.join(centre, "key").where("node != c.node").select(
+        F.col("node").alias("a"), F.col("c.node").alias("b"), F.col("size").alias("size_a"),
+        F.col("c.size").alias("size_b")).where(_near_sizes(percent))
+    pairs = proposed.select("a", "b").distinct()
+    links = stored(_linked(pairs, texts, words, percent), "near-links")
+    labels = stored(components(links), "labels")
+
+    # What shares a band but lies in different components is compared next.
+    counts = labels.groupBy("component").agg(F.count(F.lit(1)).alias("of"))
+    sized = labels.join(counts, "component")
+    now = members.select("key", "node", "size").join(sized, "node", "left").withColumns(
+        {"component": F.coalesce("component", "node"), "of": F.coalesce("of", F.lit(1))})
+    split = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")) \
+        .where("lo != hi").select("key")
+    open_ = stored(now.join(split, "key"), "band-open")
+    kinds = open_.groupBy("key").agg(F.max("of").alias("most"), F.count(F.lit(1)).alias("n"),
+                                     F.max_by("component", F.struct("of", "component")).alias("main"))
+    open_ = open_.join(kinds, "key")
+    # A band of few nodes in small components: pair by pair, each once.
+    few = open_.where((F.col("most") <= SMALL) & (F.col("n") <= BLOCK_OUT))
+    small = (few.select("key", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("size").alias("size_a"))
+             .join(few.select("key", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("size").alias("size_b")), "key")
+             .where((F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & _near_sizes(percent))
+             .select("a", "b").distinct())
+    small = stored(small.join(pairs, ["a", "b"], "left_anti"), "small-pairs")
+    # A band with a large component: its other nodes against that whole component and
+    # each other.  Any other band of many nodes: all of them against each other.
+    large = F.col("most") > SMALL
+    sides = open_.where(~((F.col("most") <= SMALL) & (F.col("n") <= BLOCK_OUT))).where(
+        ~large | (F.col("component") != F.col("main"))).select(
+        F.col("node").alias("a"), F.when(large, F.col("main")).otherwise(F.col("key")).alias("target"))
+    sides = stored(sides.distinct(), "block-sides")
+    more = _linked(small, texts, words, percent)
+    if not sides.isEmpty():
+        targets = sides.select(F.col("target").alias("component")).distinct()
+        inside = labels.join(targets, "component", "left_semi").select(F.col("component").alias("target"), "node")
+        inside = stored(inside.union(sides.select("target", F.col("a").alias("node"))).distinct(), "block-nodes")
+        more = more.union(_linked_blocks(sides, inside, texts, words, percent))
+    more = stored(more, "near-links")
+    if not more.isEmpty():
+        labels = stored(components(links.union(more)), "labels")
+
+    reach = nodes.select("digest", "node", "doc_id").join(labels, "node", "left").withColumn(
         "component", F.coalesce("component", "node"))
-    least = reach.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    by_node = reach.join(least, "component").select(F.col("node").alias("n"), F.col("component_id").alias("reached"))
-    return (base.join(by_node, (base["node"] == by_node["n"]) & base["doc_id"].isNotNull(), "left")
+    least = reach.groupBy("component").agg(F.min("doc_id").alias("reached"))
+    by_digest = reach.join(least, "component").select(F.col("digest").alias("d"), "reached")
+    return (base.join(by_digest, (base["digest"] == by_digest["d"]) & base["doc_id"].isNotNull(), "left")
             .select("doc_id", "n_shingles", F.coalesce("reached", "doc_id").alias("component_id"))
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))))
 
 
-def _with_centres(open_: DataFrame, main: DataFrame, percent: int, others: bool) -> DataFrame:
-    """For each node the central node, of another component, that most of its bands name.
-
-    A band names its most central node; if ``others``, the most central one
-    outside its largest component.
-    """
-    by = open_.groupBy("key", "component").agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.max_by(F.struct("node", "component", "size"), F.struct("score", "node")).alias("c"),
-        F.max("score").alias("score"))
-    if others:
-        by = by.join(main, "key").where("component != main")
-    centre = by.groupBy("key").agg(F.max_by("c", F.struct("score", "component")).alias("c"))
-    pairs = open_.join(centre, "key").where("component != c.component").select(
-        F.col("node").alias("a"), F.col("c.node").alias("b"), F.col("size").alias("size_a"),
-        F.col("c.size").alias("size_b")).where(_near_sizes(percent))
-    votes = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("votes"))
-    return votes.groupBy("a").agg(F.max_by("b", F.struct("votes", "b")).alias("b"))
-
-
-def _remaining(open_: DataFrame, main: DataFrame, percent: int) -> DataFrame:
-    """Every pair of nodes of a band in different components, once.
+def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that stay when one document of each group is kept, with all their columns.
 
-    At least one side lies outside the band's largest component, so the many
-    members of a large group are paired with its few outsiders only.
+    The one with the smallest doc_id stays; rows without doc_id stay.
     """
-    outside = open_.join(main, "key").where("component != main").select(
-        "key", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("size").alias("size_a"))
-    pairs = outside.join(open_.select("key", F.col("node").alias("y"), F.col("component").alias("cy"),
-                                      F.col("size").alias("size_b")), "key")
-    return pairs.where((F.col("cx") != F.col("cy")) & _near_sizes(percent)).select(
-        F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+    gone = near_duplicates(docs, words, percent).where("doc_id is not null and not kept").select("doc_id").distinct()
+    return docs.join(small_side(stored(gone, "dropped-ids")), "doc_id", "left_anti").select(*docs.columns)
