@@ -30,3 +30,15 @@ def text_or_empty(col: str = "text") -> Column:
 def partitions_for(rows: int, rows_per_partition: int, at_least: int = 1) -> int:
     """How many partitions ``rows`` rows need: grows with the input, no upper end."""
     return max(at_least, -(-rows // rows_per_partition))
+
+
+#: Rows of a few numbers or short strings up to which a counted side is broadcast.
+BROADCAST_ROWS = 300_000
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """``df``, marked for broadcast if counting it (it should be stored) shows few rows.
+
+    Beyond ``BROADCAST_ROWS`` the planner joins by shuffle; the result is the same.
+    """
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df

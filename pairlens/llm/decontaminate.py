@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairlens.llm.common import stored
+from pairlens.llm.common import small_side, stored
 
 WINDOW = 5
 #: Least share of an item's windows that a document must hold.
@@ -143,4 +143,4 @@ def _consistent(unsure: DataFrame, texts: DataFrame, slotted: DataFrame, drift:
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, with all their columns."""
     leaks = stored(find_leaks(docs, benchmark).select("doc_id").distinct(), "leaking-ids")
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(small_side(leaks), "doc_id", "left_anti").select(*docs.columns)

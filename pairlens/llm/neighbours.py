@@ -174,7 +174,8 @@ def build_index(vectors: DataFrame, k: int) -> tuple[DataFrame, int]:
                     own.append(i)
                     if len(own) > k + 1:
                         own.remove(max(own))
-        yield pd.DataFrame({"dim": [d for d, _ in ids], "vector": [v for _, v in ids], "ids": list(ids.values())})
+        yield pd.DataFrame({"dim": [d for d, _ in ids], "vector": [v for _, v in ids], "ids": list(ids.values())},
+                           dtype=object)
 
     # Each partition has sent at most k + 1 ids of a vector on.
     parts = vectors.mapInPandas(first, "dim int, vector binary, ids array<long>")

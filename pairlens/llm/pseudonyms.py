@@ -106,7 +106,6 @@ class Pseudonyms:
         year, month, day = parts
         if not (1900 <= year < 2100 and 1 <= month <= 12 and 1 <= day <= calendar.monthrange(year, month)[1]):
             return None
-        # Unpadded days and months are a format of their own: a padded form must stay readable as written.
         at = datetime.date(year, month, day).toordinal() - _FIRST_DAY
         new = datetime.date.fromordinal(_FIRST_DAY + self.move(at, _LAST_DAY - _FIRST_DAY, "date"))
         fields = [new.year, new.month, new.day]
@@ -240,8 +239,10 @@ def pseudonymise(docs: DataFrame, key: bytes, back: bool = False) -> DataFrame:
     ``text`` has every validated card number, account number, social security
     number, telephone number, address, e-mail name and date replaced by its
     pseudonym; ``found`` lists kind, start and length of each in the given
-    text.  ``back`` gives pseudonyms' originals again.  What does not validate
-    (a wrong check digit, an impossible date) stays.  A null text stays null; empty
+    text.  ``back`` gives pseudonyms' originals again; days and months come out
+    with two digits, e-mail names in small letters, and a date that can be read
+    day first is.  What does not validate (a wrong check digit, an impossible
+    date) stays.  A null text stays null; empty
     texts, null ids and repeated rows are kept as they are; an empty table
     gives an empty result; other columns are ignored.
     """

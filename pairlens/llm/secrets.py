@@ -17,6 +17,8 @@ from pyspark.ml.pipeline import Pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairlens.llm.common import small_side, stored
+
 TREES, DEPTH, SEED = 40, 8, 11
 #: Example findings that are generated and learned from when none are given.
 EXAMPLES = 6_000
@@ -158,7 +160,7 @@ def redact(docs: DataFrame, secrets: DataFrame, mark: str = "[SECRET]") -> DataF
     ordered = by_doc.select("doc_id", F.expr("array_sort(__secrets, (x, y) -> case when length(x) != length(y) "
                                              "then length(y) - length(x) when x < y then -1 when x > y then 1 else 0 end)")
                             .alias("__secrets"))
-    joined = docs.join(ordered, "doc_id", "left")
+    joined = docs.join(small_side(stored(ordered, "secrets-by-doc")), "doc_id", "left")
     text = F.when(F.col("__secrets").isNull(), F.col("text")).otherwise(
         F.aggregate("__secrets", F.col("text").cast("string"), lambda t, s: F.replace(t, s, F.lit(mark))))
     out = {"text": text}

@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -427,13 +428,23 @@ def fit(docs: DataFrame, labels: DataFrame) -> bytes:
         group = group.sort_values(["doc_id", "text"])
         return pd.DataFrame({"model": [train(group["text"].fillna("").tolist(), group["toxic"].to_numpy()).dump()]})
 
-    got = training_rows(docs, labels).groupBy(F.lit(1)).applyInPandas(run, "model binary").first()
+    rows = training_rows(docs, labels).withColumn("one", F.lit("one"))
+    got = rows.groupBy("one").applyInPandas(run, "model binary").first()
     return bytes(got[0]) if got else train([], np.zeros(0)).dump()
 
 
 _LOADED: dict[int, Scorer] = {}
 
 
+def _scorer(model: bytes) -> Scorer:
+    """The scorer of ``model``, kept by the worker process."""
+    key = zlib.crc32(model)
+    if key not in _LOADED:
+        _LOADED.clear()
+        _LOADED[key] = Scorer(Model.load(model))
+    return _LOADED[key]
+
+
 def score_documents(docs: DataFrame, model: bytes) -> DataFrame:
     """doc_id, held_out, score and predicted of every row; nothing but the text is scored.
 
@@ -444,15 +455,25 @@ def score_documents(docs: DataFrame, model: bytes) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key = zlib.crc32(shared.value)
-        if key not in _LOADED:
-            _LOADED.clear()
-            _LOADED[key] = Scorer(Model.load(shared.value))
+        scorer = _scorer(shared.value)
         for batch in batches:
-            s = _LOADED[key].scores(batch["text"].tolist())
+            s = scorer.scores(batch["text"].tolist())
             yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "score": s,
                                 "predicted": (s >= 0.5).astype("int32")})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
                        held_out("doc_id").alias("held_out")) \
         .mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def drop_toxic(docs: DataFrame, model: bytes) -> DataFrame:
+    """The rows of ``docs`` that score under 0.5, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = _scorer(shared.value)
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            yield batch.filter(pa.array(scorer.scores(texts) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
