@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled rows that are learned from, by class.
-POSITIVES, NEGATIVES = 2_500, 7_500
+POSITIVES, NEGATIVES = 2_000, 6_000
 WINDOW, STRIDE = 64, 32
 HIDDEN = 8
 BUCKETS = 1 << 18
@@ -36,6 +36,8 @@ WORD_ROWS, GRAM_ROWS, SIZE = 1 << 12, 1 << 11, 4
 #: Standard errors by which the evidence is lowered.
 SURE = 3.0
 EPOCHS, BATCH, RATE = 3, 256, 0.01
+#: Least steps of each round, whatever the number of windows.
+STEPS = 150
 #: Pull of the trained vectors towards zero.
 DECAY = 1e-4
 #: Rounds of picking windows, and parts of the rows for evidence.
@@ -75,15 +77,17 @@ def hashed(tokens: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
         plain.append(t.encode("utf-8", "surrogatepass"))
     words = np.fromiter((zlib.crc32(t) for t in plain), np.int64, len(plain)) % BUCKETS
     data = np.frombuffer(b"".join(b"\x01" + t + b"\x02\0\0\0\0" for t in plain), np.uint8).astype(np.uint64)
-    sizes = np.fromiter(map(len, plain), np.int64, len(plain)) + 6
+    # A gram begins at each byte up to the end sign; none reaches into the next token.
+    counts = np.fromiter(map(len, plain), np.int64, len(plain)) + 2
+    begin = np.cumsum(counts) - counts
+    places = np.arange(counts.sum()) + np.repeat(4 * np.arange(len(plain)), counts)
     n = max(0, len(data) - 4)
     four = np.zeros(n, np.uint64)
     for j in range(4):
         four = four * np.uint64(257) + data[j:j + n] + np.uint64(1)
     five = four * np.uint64(257) + data[4:4 + n] + np.uint64(1)
-    # A gram that reaches into the padding stands for the token's end; it does no harm.
-    mix = lambda x: ((x * _FACTOR) >> np.uint64(64 - 18)).astype(np.int64)
-    return words, mix(four), mix(five ^ np.uint64(0x5BD1E995)), np.cumsum(sizes) - sizes
+    mix = lambda x: ((x[places] * _FACTOR) >> np.uint64(64 - 18)).astype(np.int64)
+    return words, mix(four), mix(five ^ np.uint64(0x5BD1E995)), begin
 
 
 class Model:
@@ -266,23 +270,47 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
                 # A toxic text's window without evidence may be clean: it counts little.
                 chosen.append((t[spans[w][0]:spans[w][1]], label, k, 1.0 if not label or sure else 0.1))
         share = max(1.0, sum(1 - c[1] for c in chosen) / max(1, sum(c[1] for c in chosen)))
-        for _ in range(max(EPOCHS, min(30, 3000 // len(chosen)))):
+        tokens_used = Tokens(list(dict.fromkeys(w for c in chosen for w in c[0])), other)
+        rows = [(tokens_used.numbers(c[0]), *c[1:]) for c in chosen]
+        batch = min(BATCH, max(16, len(chosen) // 32))
+        for _ in range(max(EPOCHS, -(-STEPS * batch // len(chosen)))):
             order = rng.permutation(len(chosen))
-            for s in range(0, len(order), BATCH):
+            for s in range(0, len(order), batch):
                 at += 1
-                _step(model, [chosen[i] for i in order[s:s + BATCH]], other, share, moments, at)
+                _step(model, tokens_used, [rows[i] for i in order[s:s + batch]], share, moments, at)
     return model
 
 
-def _step(model: Model, rows: list, other: list[np.ndarray], share: float, moments: dict, at: int) -> None:
-    """One Adam step on a batch of windows (tokens, label, part, weight)."""
+class Tokens:
+    """The tokens of the windows that are trained on: their buckets and, for each part, their evidence."""
+
+    def __init__(self, tokens: list[str], other: list[np.ndarray]):
+        self.number = {t: i for i, t in enumerate(tokens)}
+        if not tokens:
+            tokens = [""]
+        self.word, self.four, five, self.begin = hashed(tokens)
+        self.counts = np.diff(np.r_[self.begin, len(self.four)])
+        self.evidence = np.stack([np.stack([
+            e[0][self.word], np.maximum.reduceat(e[1][self.four], self.begin),
+            np.maximum.reduceat(e[2][five], self.begin)], axis=1) for e in other])
+        self.word, self.four = self.word % WORD_ROWS, self.four % GRAM_ROWS
+
+    def numbers(self, tokens: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.number.__getitem__, tokens), np.int64, len(tokens))
+
+
+def _step(model: Model, tokens: Tokens, rows: list, share: float, moments: dict, at: int) -> None:
+    """One Adam step on a batch of windows (token numbers, label, part, weight)."""
     a = model.a
-    flat = [w for r in rows for w in r[0]]
-    x = np.zeros((len(flat), a["W"].shape[1]), np.float32)
+    flat = np.concatenate([r[0] for r in rows])
     owner = np.repeat([r[2] for r in rows], [len(r[0]) for r in rows])
-    for k in range(len(other)):
-        part = np.flatnonzero(owner == k)
-        x[part] = model.inputs([flat[i] for i in part], other[k])
+    own, back = np.unique(flat, return_inverse=True)
+    n = tokens.counts[own]
+    starts = np.cumsum(n) - n
+    grams = tokens.four[np.arange(n.sum()) + np.repeat(tokens.begin[own] - starts, n)]
+    mean = np.add.reduceat(a["grams"][grams], starts) / n[:, None] if len(own) else np.zeros((0, SIZE))
+    e = tokens.evidence[owner, flat]
+    x = np.concatenate([e[:, :1], a["words"][tokens.word[flat]], e[:, 1:], mean[back]], axis=1).astype(np.float32)
     sizes = np.array([len(r[0]) for r in rows])
     b = np.repeat(np.arange(len(rows)), sizes)
     t = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -299,11 +327,11 @@ def _step(model: Model, rows: list, other: list[np.ndarray], share: float, momen
     g["W"] = np.einsum("nd,knh->kdh", x, dflat)
     dx = np.einsum("knh,kdh->nd", dflat, a["W"])
     g["words"], g["grams"] = DECAY * a["words"], DECAY * a["grams"]
-    if flat:
-        word, four, _, begin = hashed(flat)
-        np.add.at(g["words"], word % WORD_ROWS, dx[:, 1:1 + SIZE])
-        n = np.diff(np.r_[begin, len(four)])
-        np.add.at(g["grams"], four % GRAM_ROWS, np.repeat(dx[:, 3 + SIZE:] / n[:, None], n, axis=0))
+    if len(flat):
+        np.add.at(g["words"], tokens.word[flat], dx[:, 1:1 + SIZE])
+        each = np.zeros((len(own), SIZE), np.float32)
+        np.add.at(each, back, dx[:, 3 + SIZE:])
+        np.add.at(g["grams"], grams, np.repeat(each / n[:, None], n, axis=0))
     for k, grad in g.items():
         m, v = moments[k]
         m, v = moments[k] = (0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad)
