@@ -52,21 +52,34 @@ def auc(scored: DataFrame, score: str | Column = "p1", label: str = "label") ->
     ranked = with_running_sum(per_score, [F.col("_s").asc()], F.col("_neg"), "_neg_upto")
     below = F.col("_neg_upto") - F.col("_neg")
     return ranked.agg(
-        (F.sum(F.col("_pos") * (below + 0.5 * F.col("_neg")))
-         / (F.sum("_pos") * F.sum("_neg"))).alias("auc"),
-        F.sum("_pos").alias("n_pos"), F.sum("_neg").alias("n_neg"))
+        _area(below).alias("auc"), F.sum("_pos").alias("n_pos"), F.sum("_neg").alias("n_neg"))
+
+
+def _area(below: Column) -> Column:
+    """NULL when one of the classes has no row."""
+    pairs = F.sum("_pos") * F.sum("_neg")
+    return F.try_divide(F.sum(F.col("_pos") * (below + 0.5 * F.col("_neg"))), F.nullif(pairs, F.lit(0)))
 
 
 def report(scored: DataFrame, app: str, score: str | Column = "p1") -> DataFrame:
     """The reference's conclusion as rows (app, metric, value):
     logloss (reference definition), auc, precision (= accuracy)."""
-    parts = [
-        positive_logloss(scored).select(F.lit("logloss").alias("metric"), F.col("logloss").alias("value")),
-        auc(scored, score).select(F.lit("auc").alias("metric"), F.col("auc").alias("value")),
-        accuracy(scored).select(F.lit("precision").alias("metric"), F.col("accuracy").alias("value")),
-    ]
-    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return out.select(F.lit(app).alias("app"), "metric", "value")
+    s = F.col(score) if isinstance(score, str) else score
+    y, predicted = F.col("label").cast("int"), F.col("prediction").cast("int")
+    # The scored rows are read once; what follows works on one row per score.
+    per_score = scored.groupBy(s.alias("_s")).agg(
+        F.sum((y == 1).cast("long")).alias("_pos"), F.sum((y == 0).cast("long")).alias("_neg"),
+        F.count(F.lit(1)).alias("_n"), F.sum((predicted == y).cast("long")).alias("_hit"),
+        F.sum((predicted == 1).cast("long")).alias("_yes"),
+        F.sum(F.when(predicted == 1, -F.ln(F.col("p1")))).alias("_loss"))
+    ranked = with_running_sum(per_score, [F.col("_s").asc()], F.col("_neg"), "_neg_upto")
+    one = ranked.agg(
+        F.try_divide(F.sum("_loss"), F.nullif(F.sum("_yes"), F.lit(0))).alias("logloss"),
+        _area(F.col("_neg_upto") - F.col("_neg")).alias("auc"),
+        F.try_divide(F.sum("_hit"), F.nullif(F.sum("_n"), F.lit(0))).alias("precision"))
+    rows = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"))
+                     for m in ("logloss", "auc", "precision")])
+    return one.select(F.explode(rows).alias("r")).select(F.lit(app).alias("app"), "r.metric", "r.value")
 
 
 def markdown_row(app: str, values: dict[str, float]) -> str:

@@ -66,7 +66,10 @@ FEATURE_SETS = {
 
 def metric_names(feature_set) -> list[str]:
     """A feature-set name or an explicit list of metric names."""
-    names = FEATURE_SETS[feature_set] if isinstance(feature_set, str) else list(feature_set)
+    if isinstance(feature_set, str):
+        names = FEATURE_SETS.get(feature_set, [feature_set])  # a single metric is a set of its own
+    else:
+        names = list(feature_set)
     unknown = [n for n in names if n not in METRICS]
     if unknown:
         raise ValueError(f"unknown metrics: {unknown}")
@@ -89,67 +92,14 @@ def _side(qf: DataFrame, prefix: str, key: str) -> DataFrame:
                      *[F.col(c).alias(f"{prefix}_{c}") for c in qf.columns if c != "qid"])
 
 
-# A question named by more pairs than this is a hot join key.
-HOT_KEY_PAIRS = 200_000
-# At most this many hot keys are isolated; their question rows are broadcast,
-# so the broadcast holds at most this many rows whatever the data size.
-MAX_HOT_KEYS = 64
-
-
-def hot_keys(pairs: DataFrame, keys=("q1", "q2"), threshold: int = HOT_KEY_PAIRS,
-             max_keys: int = MAX_HOT_KEYS) -> dict:
-    """key column -> DataFrame of its hot values (or None when there is none).
-
-    One job over the pairs for all key columns: a partial aggregate (one
-    count per key per map task), filtered to keys above ``threshold`` and cut
-    to the ``max_keys`` largest per column, written to the shared checkpoint
-    folder because each hot set is used three times.
-    """
-    from pairlens.session import reliable_checkpoint
-    stacked = pairs.select(F.explode(F.array(*[
-        F.struct(F.lit(k).alias("side"), F.col(k).cast("bigint").alias("key")) for k in keys])).alias("s"))
-    counts = stacked.groupBy("s.side", "s.key").agg(F.count(F.lit(1)).alias("_n"))
-    top = counts.filter(F.col("_n") > threshold).orderBy(F.col("_n").desc()).limit(max_keys * len(keys))
-    hot = reliable_checkpoint(top)
-    found = {r["side"] for r in hot.select("side").distinct().take(len(keys))}
-    return {k: (hot.filter(F.col("side") == k).select(F.col("key").alias(k)) if k in found else None)
-            for k in keys}
-
-
-def join_side(pairs: DataFrame, side: DataFrame, key: str, how: str = "inner",
-              hot: DataFrame | None = None) -> DataFrame:
-    """``pairs.join(side, key, how)`` that survives a key held by a large
-    share of the pairs.
-
-    ``side`` has one row per key.  Adaptive skew splitting only acts when
-    both sides are shuffled (a side already partitioned on the key, or a
-    broadcast, escapes it), so it is not relied on: when ``hot`` lists keys, pairs on those keys are joined
-    map-side against a broadcast of the few matching side rows -- they
-    never move -- and only the remaining pairs go through the shuffled
-    join.  ``hot`` holds at most ``MAX_HOT_KEYS`` rows, which bounds both
-    broadcasts.
-    """
-    if hot is None:
-        return pairs.join(side, key, how)
-    hot = F.broadcast(hot)
-    hot_pairs = pairs.join(hot, key, "left_semi")
-    cold_pairs = pairs.join(hot, key, "left_anti")
-    hot_side = F.broadcast(side.join(hot, key, "left_semi"))
-    return cold_pairs.join(side, key, how).unionByName(hot_pairs.join(hot_side, key, how))
-
-
-def join_questions(pairs: DataFrame, qf: DataFrame, how: str = "inner",
-                   skew_threshold: int | None = HOT_KEY_PAIRS) -> DataFrame:
+def join_questions(pairs: DataFrame, qf: DataFrame, how: str = "inner") -> DataFrame:
     """Attach both questions' features to each pair.
 
     ``how='inner'`` drops pairs naming an unknown question, ``'left'`` keeps
-    them with NULL features.  Questions named by
-    more than ``skew_threshold`` pairs (found in one pass over the pair ids)
-    are joined map-side (``join_side``); ``None`` skips the detection.
+    them with NULL features.  Plain equi-joins: adaptive execution splits the
+    partitions of a question that very many pairs name, on either side.
     """
-    hot = hot_keys(pairs, ("q1", "q2"), skew_threshold) if skew_threshold is not None else {}
-    with_a = join_side(pairs, _side(qf, "a", "q1"), "q1", how, hot.get("q1"))
-    return join_side(with_a, _side(qf, "b", "q2"), "q2", how, hot.get("q2"))
+    return pairs.join(_side(qf, "a", "q1"), "q1", how).join(_side(qf, "b", "q2"), "q2", how)
 
 
 def unknown_questions(pairs: DataFrame, question: DataFrame) -> DataFrame:
@@ -174,12 +124,11 @@ def metric_columns(names) -> list[Column]:
 
 
 def pair_features(pairs: DataFrame, qf: DataFrame, feature_set="all", how: str = "inner",
-                  keep: list[str] | None = None,
-                  skew_threshold: int | None = HOT_KEY_PAIRS) -> DataFrame:
+                  keep: list[str] | None = None) -> DataFrame:
     """(q1, q2[, label], <metric columns>) for every pair."""
     names = metric_names(feature_set)
     if needs_sequence(names) and "word_ids" not in qf.columns:
         raise ValueError("edit distance needs question_features(..., sequence=True)")
     base = [c for c in ("q1", "q2", "label") if c in pairs.columns] + list(keep or [])
-    joined = join_questions(pairs, qf, how, skew_threshold)
+    joined = join_questions(pairs, qf, how)
     return joined.select(*base, *metric_columns(names))

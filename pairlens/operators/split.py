@@ -18,6 +18,11 @@ def bucket(seed: int, keys=("q1", "q2")) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint"), F.lit(100))
 
 
+def with_fold(df: DataFrame, folds: int = 3, seed: int = 42) -> DataFrame:
+    """Adds ``fold``: like the split a function of the key, so it does not depend on the partitioning."""
+    return df.withColumn("fold", F.pmod(bucket(seed + 1), F.lit(folds)).cast("int"))
+
+
 def with_split(df: DataFrame, train_percent: int = 80, seed: int = 42) -> DataFrame:
     return df.withColumn("part", F.when(bucket(seed) < train_percent, "train").otherwise("test"))
 

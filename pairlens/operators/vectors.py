@@ -31,11 +31,13 @@ MISSING_MODES = ("zero", "truncate")
 
 
 def vector_dim(word_vec: DataFrame, col: str = "features") -> int:
-    """Dimension of the word vectors, read from a single row."""
-    row = word_vec.select(F.size(col).alias("k")).head()
-    if row is None:
+    """The one length of all word vectors; fails if they differ or there are none."""
+    low, high = word_vec.agg(F.min(F.size(col)), F.max(F.size(col))).first()
+    if low is None:
         raise ValueError("word vector table is empty")
-    return int(row["k"])
+    if low != high:
+        raise ValueError(f"word vectors have {low} to {high} components")
+    return int(low)
 
 
 def shuffle_partitions(df: DataFrame) -> int:
@@ -50,7 +52,9 @@ def by_question(question: DataFrame, partitions: int | None = None) -> DataFrame
     join on q1) reuses this partitioning instead of shuffling again.
     """
     n = partitions or shuffle_partitions(question)
-    return question.select("qid", "word_ids").repartition(n, "qid")
+    # A repeated id keeps its smallest word list; the grouping reuses the partitioning.
+    return (question.select("qid", "word_ids").repartition(n, "qid")
+            .groupBy("qid").agg(F.min("word_ids").alias("word_ids")))
 
 
 def word_counts(q: DataFrame) -> DataFrame:
@@ -94,7 +98,7 @@ def question_features(question: DataFrame, word_vec: DataFrame, *, missing: str
     zero = F.array_repeat(F.lit(0.0), k)
     q = by_question(question, partitions)
     counts = word_counts(q)
-    vecs = word_vec.select("wid", F.col("features").alias("v"))
+    vecs = word_vec.groupBy("wid").agg(F.min("features").alias("v"))  # a repeated id counts once
     agg = (counts.join(vecs, "wid", "left")
                  .groupBy("qid")
                  .agg(F.array_sort(F.collect_list(F.when(F.col("wid").isNotNull(),

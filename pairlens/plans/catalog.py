@@ -91,6 +91,13 @@ class Context:
         return P.pair_features(self.pairs, self.pair_qf(names), names)
 
 
+def with_unknown(pairs: DataFrame) -> DataFrame:
+    """``pairs`` and some that name questions which do not exist (negative ids)."""
+    odd = pairs.filter("q1 % 40 = 0")
+    return (pairs.unionByName(odd.select("q1", (-1 - F.col("q2")).alias("q2")))
+            .unionByName(odd.select((-1 - F.col("q1")).alias("q1"), "q2")))
+
+
 def _metric_query(names: list[str], with_kind: tuple[str, ...] = ()) -> QueryFn:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         pf = Context(spark, sf_dir).features(names)
@@ -214,12 +221,12 @@ def q_pair_edit_distance(spark, sf_dir):
 
 
 @register("pair_unknown_questions", with_ctes(
-    "SELECT p.q1, p.q2, 'q1' AS missing_side FROM pair p WHERE p.q1 NOT IN (SELECT qid FROM question) "
-    "UNION ALL SELECT p.q1, p.q2, 'q2' AS missing_side FROM pair p "
-    "WHERE p.q2 NOT IN (SELECT qid FROM question)", "pair", "question"))
+    "SELECT p.q1, p.q2, 'q1' AS missing_side FROM asked p WHERE p.q1 NOT IN (SELECT qid FROM question) "
+    "UNION ALL SELECT p.q1, p.q2, 'q2' AS missing_side FROM asked p "
+    "WHERE p.q2 NOT IN (SELECT qid FROM question)", "asked", "question"))
 def q_pair_unknown_questions(spark, sf_dir):
     ctx = Context(spark, sf_dir)
-    return P.unknown_questions(ctx.pairs, ctx.question)
+    return P.unknown_questions(with_unknown(ctx.pairs.select("q1", "q2")), ctx.question)
 
 
 # -- step 5: feature sets --------------------------------------------------------------------

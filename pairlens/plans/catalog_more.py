@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from pairlens.functions.dates import parse_time, render_time
 from pairlens.operators import evaluate as EV
 from pairlens.operators import pairs as P
-from pairlens.operators.split import with_split
+from pairlens.operators.split import with_fold, with_split
 from pairlens.operators.vectors import reduce_word_vectors
 from pairlens.plans import flows
-from pairlens.plans.catalog import Context, r6, register
+from pairlens.plans.catalog import Context, r6, register, with_unknown
 from pairlens.plans.models import PCA_K
 from pairlens.plans.oracle_sql import r6 as sql_r6
 from pairlens.plans.oracle_sql import with_ctes
@@ -166,6 +166,46 @@ def q_eval_auc(spark, sf_dir):
     return out.select(r6("auc").alias("auc"), "n_pos", "n_neg")
 
 
+@register("eval_auc_one_class", "SELECT NULL::DOUBLE AS auc, 0::BIGINT AS n_pos, count(*) AS n_neg FROM ("
+          + with_ctes("SELECT * FROM scored WHERE label = 0", "scored") + ") s")
+def q_eval_auc_one_class(spark, sf_dir):
+    out = EV.auc(_rule_scored_train(spark, sf_dir).filter("label = 0"))
+    return out.select(r6("auc").alias("auc"), "n_pos", "n_neg")
+
+
+@register("train_row_counts", with_ctes(
+    "SELECT m.label, count(*) AS n_rows, count(*) AS n_used, sum(CASE WHEN isnan(m.cosine) OR isnan(j.jaccard) "
+    "OR greatest(abs(m.chebyshev), abs(m.manhattan), m.euclidean) > 1e6 THEN 1 ELSE 0 END)::BIGINT AS n_replaced "
+    "FROM pmetric m JOIN pjac j ON j.q1 = m.q1 AND j.q2 = m.q2 GROUP BY m.label", "pmetric", "pjac"))
+def q_train_row_counts(spark, sf_dir):
+    """Rows in, rows that a fit uses, and rows whose features the finite rule changes, per label."""
+    names = ["cosine", "chebyshev", "jaccard", "manhattan", "euclidean"]
+    ctx = Context(spark, sf_dir)
+    used = flows.make_finite(ctx.features(names), names)
+    finite = F.lit(True)
+    for n in names:
+        finite = finite & F.col(n).isNotNull() & ~F.isnan(n) & (F.abs(n) < float("inf"))
+    return used.groupBy("label").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(finite.cast("long")).alias("n_used"),
+                                     F.sum(F.col("replaced").cast("long")).alias("n_replaced"))
+
+
+@register("predict_unknown", with_ctes("SELECT q1, q2 FROM asked", "asked"))
+def q_predict_unknown(spark, sf_dir):
+    """A run that is not strict scores every pair, those with an unknown question included."""
+    ctx = Context(spark, sf_dir)
+    names = ["cosine", "jaccard"]
+    asked = with_unknown(ctx.pairs.select("q1", "q2"))
+    scored = flows.make_finite(P.pair_features(asked, ctx.pair_qf(names), names, how="left"), names)
+    return scored.filter("cosine is not null and jaccard is not null").select("q1", "q2")
+
+
+@register("cv_folds", with_ctes(
+    "SELECT q1, q2, (('0x' || substr(md5(concat_ws(':', q1::VARCHAR, q2::VARCHAR, '43')), 1, 8))::BIGINT % 100 % 3)::INTEGER "
+    "AS fold FROM pair", "pair"))
+def q_cv_folds(spark, sf_dir):
+    return with_fold(Context(spark, sf_dir).pairs, 3, seed=42).select("q1", "q2", "fold")
+
+
 @register("eval_report", with_ctes(
     f"SELECT 'rule' AS app, 'logloss' AS metric, {sql_r6('avg(-ln(p1))')} AS value "
     "FROM scored_pred WHERE prediction = 1 "

@@ -4,11 +4,13 @@
 features -> hold-out split -> cross-validated fit -> scored hold-out rows.
 ``predict``: fit on all train pairs, score the test pairs.
 
-Rows whose selected features are not finite (a zero vector gives cosine
-NaN, two empty texts give Jaccard NaN, identical texts give the reference's
-"euclidean" Infinity) cannot be fed to MLlib: training drops them (the
-count is reported), scoring replaces them with 0 so every test pair still
-gets a prediction.
+One rule for features that are not finite holds in fitting, hold-out and
+scoring, and no row is dropped: NaN and NULL (a zero vector's cosine, two empty
+texts' Jaccard) become 0, and everything beyond ``CEILING``, the Infinity of the
+reference's "euclidean" of identical texts included, becomes ``CEILING``.  The
+number of training rows this touches is reported.  Pairs that name an unknown
+question fail a strict run with their count; otherwise they are kept and
+scored by the same rule.
 """
 
 from __future__ import annotations
@@ -21,30 +23,29 @@ from pyspark.ml.tuning import CrossValidatorModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairlens.operators.pairs import (dedupe_pairs, metric_names, needs_sequence, pair_features,
+from pairlens.operators.pairs import (assert_known, dedupe_pairs, metric_names, needs_sequence, pair_features,
                                       question_columns)
-from pairlens.operators.split import split
+from pairlens.operators.split import split, with_fold
 from pairlens.operators.vectors import question_features, reduce_word_vectors
-from pairlens.plans.models import PCA_K, cross_validator
+from pairlens.plans.models import NUM_FOLDS, PCA_K, cross_validator
 from pairlens.session import reliable_checkpoint
 from pairlens.sinks.files import write_predictions, write_scored
 
 
-def _finite(c):
-    return ~(F.isnan(c) | c.isNull() | (F.abs(c) == float("inf")))
+#: The largest feature value that models see.
+CEILING = 1e6
 
 
-def finite_rows(pf: DataFrame, names: list[str]) -> DataFrame:
-    cond = F.lit(True)
+def make_finite(pf: DataFrame, names: list[str]) -> DataFrame:
+    """The rule above for the columns ``names``; ``replaced`` says whether it changed the row."""
+    odd = F.lit(False)
+    out = {}
     for n in names:
-        cond = cond & _finite(F.col(n))
-    return pf.filter(cond)
-
-
-def impute(pf: DataFrame, names: list[str]) -> DataFrame:
-    for n in names:
-        pf = pf.withColumn(n, F.when(_finite(F.col(n)), F.col(n)).otherwise(F.lit(0.0)))
-    return pf
+        c = F.col(n).cast("double")
+        none = c.isNull() | F.isnan(c)
+        odd = odd | none | (F.abs(c) > CEILING)
+        out[n] = F.when(none, F.lit(0.0)).otherwise(F.least(F.greatest(c, F.lit(-CEILING)), F.lit(CEILING)))
+    return pf.withColumns({"replaced": odd, **out})
 
 
 def pair_side_features(question: DataFrame, word_vec: DataFrame, names: list[str],
@@ -76,24 +77,11 @@ def with_probabilities(scored: DataFrame) -> DataFrame:
     return scored.withColumn("score", vector_to_array("rawPrediction")[1])
 
 
-# Rows per partition of a training frame.  Each optimiser iteration is one
-# job over every partition, so tiny partitions make a small frame pay task
-# overhead on every iteration; a large frame keeps its full parallelism.
-TRAIN_ROWS_PER_PARTITION = 250_000
-
-
 def persisted_training_frame(df: DataFrame):
-    """Persist ``df`` with partitions sized to its row count -> (frame, rows)."""
+    """Persist ``df`` (iterative fits read it many times) -> (frame, rows, rows changed by ``make_finite``)."""
     kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-    n = kept.count()
-    current = kept.rdd.getNumPartitions()
-    target = max(1, min(current, -(-n // TRAIN_ROWS_PER_PARTITION)))
-    if target < current:
-        resized = kept.coalesce(target).persist(StorageLevel.MEMORY_AND_DISK)
-        resized.count()
-        kept.unpersist()
-        kept = resized
-    return kept, n
+    n, changed = kept.agg(F.count(F.lit(1)), F.sum(F.col("replaced").cast("long"))).first()
+    return kept, n, changed or 0
 
 
 @dataclass
@@ -103,48 +91,60 @@ class TrainResult:
     feature_cols: list[str]
     avg_metrics: list[float] = field(default_factory=list)
     n_train: int = 0
-    n_dropped: int = 0
+    n_replaced: int = 0
+
+
+def _pairs_of(pairs: DataFrame, question: DataFrame, strict: bool) -> DataFrame:
+    if strict:
+        assert_known(pairs, question)
+    return pairs
 
 
 def train_evaluate(question: DataFrame, word_vec: DataFrame, train_pair: DataFrame, model: str = "lr",
                    feature_set="all", pca_k: int | None = None, seed: int = 42,
-                   train_percent: int = 80, output: str | None = None) -> TrainResult:
+                   train_percent: int = 80, output: str | None = None, strict: bool = True,
+                   params: dict | None = None) -> TrainResult:
+    """``params`` overrides settings of the classifier, such as maxIter or maxDepth."""
     k = pca_k if pca_k is not None else PCA_K[model]
-    pf, names = feature_frame(question, word_vec, dedupe_pairs(train_pair), feature_set, k)
-    usable = finite_rows(pf, names)
-    train, test = split(usable, train_percent, seed)
-    # Iterative fits read the training frame many times: keep it.
-    train, n_train = persisted_training_frame(train)
+    names = metric_names(feature_set)
+    qf = pair_side_features(question, word_vec, names, k)
+    pairs = _pairs_of(dedupe_pairs(train_pair), question, strict)
+    pf = make_finite(pair_features(pairs, qf, names, how="left"), names)
+    train, test = split(pf, train_percent, seed)
+    train, n_train, n_replaced = persisted_training_frame(with_fold(train, NUM_FOLDS, seed))
     try:
-        cv_model = cross_validator(model, names, seed).fit(train)
+        cv_model = cross_validator(model, names, seed, params).fit(train)
     finally:
         train.unpersist()
     scored = with_probabilities(cv_model.transform(test))
     if output:
         write_scored(scored, output)
-    return TrainResult(cv_model, scored, names, list(cv_model.avgMetrics), n_train)
+    return TrainResult(cv_model, scored, names, list(cv_model.avgMetrics), n_train, n_replaced)
 
 
 def predict(question: DataFrame, word_vec: DataFrame, train_pair: DataFrame, test_pair: DataFrame,
             model: str = "lr", feature_set="all", pca_k: int | None = None, seed: int = 42,
-            output: str | None = None) -> DataFrame:
+            output: str | None = None, strict: bool = True, params: dict | None = None) -> DataFrame:
     """Fit on every train pair, score every test pair -> prediction rows.
 
     Test pairs always use the same feature set as training (stored with the
     model), unlike the reference which always scores with the default set.
+    There is one prediction for each test row, also with ``strict=False``.
     """
     k = pca_k if pca_k is not None else PCA_K[model]
     names = metric_names(feature_set)
     qf = pair_side_features(question, word_vec, names, k)
-    train = finite_rows(pair_features(dedupe_pairs(train_pair), qf, names), names)
-    train, _ = persisted_training_frame(train)
+    pairs = _pairs_of(dedupe_pairs(train_pair), question, strict)
+    train = make_finite(pair_features(pairs, qf, names, how="left"), names)
+    train, _, _ = persisted_training_frame(with_fold(train, NUM_FOLDS, seed))
     try:
-        cv_model = cross_validator(model, names, seed).fit(train)
+        cv_model = cross_validator(model, names, seed, params).fit(train)
     finally:
         train.unpersist()
-    tests = impute(pair_features(test_pair.withColumn("label", F.lit(-1)), qf, names,
-                                 keep=["row_no"] if "row_no" in test_pair.columns else None), names)
-    scored = with_probabilities(cv_model.transform(tests))
+    asked = _pairs_of(test_pair, question, strict).withColumn("label", F.lit(-1))
+    keep = ["row_no"] if "row_no" in test_pair.columns else None
+    scored = with_probabilities(cv_model.transform(
+        make_finite(pair_features(asked, qf, names, how="left", keep=keep), names)))
     if output:
         write_predictions(scored, output)
     return scored

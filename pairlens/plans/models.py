@@ -50,9 +50,11 @@ def classifier(model: str, n_features: int, seed: int = 42):
     raise ValueError(f"unknown model {model!r}; one of {MODELS}")
 
 
-def cross_validator(model: str, feature_cols: list[str], seed: int = 42) -> CrossValidator:
-    """Pipeline(assembler, classifier) under 3-fold cross-validation."""
+def cross_validator(model: str, feature_cols: list[str], seed: int = 42,
+                    params: dict | None = None) -> CrossValidator:
+    """Pipeline(assembler, classifier) under 3-fold cross-validation on the rows' ``fold``."""
     est, grid, evaluator = classifier(model, len(feature_cols), seed)
+    est.setParams(**(params or {}))
     pipeline = Pipeline(stages=[VectorAssembler(inputCols=feature_cols, outputCol="features"), est])
     return CrossValidator(estimator=pipeline, estimatorParamMaps=grid, evaluator=evaluator,
-                          numFolds=NUM_FOLDS, parallelism=CV_PARALLELISM, seed=seed)
+                          numFolds=NUM_FOLDS, parallelism=CV_PARALLELISM, seed=seed, foldCol="fold")

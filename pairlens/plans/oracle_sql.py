@@ -12,7 +12,7 @@ from __future__ import annotations
 # name -> (dependencies, body)
 CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "doc_words": ((), """
-        SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS ws FROM documents"""),
+        SELECT doc_id, regexp_extract_all(lower(text), '\\p{L}+') AS ws FROM documents"""),
     "tok": (("doc_words",), """
         SELECT doc_id AS qid, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS pos FROM doc_words"""),
     "voc": (("tok",), """
@@ -52,16 +52,24 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT doc_id, md5(array_to_string(ws, ' ')) AS key, len(ws) AS n_words FROM doc_words"""),
     "firsts": (("doc_keys",), """
         SELECT key, min(doc_id) AS q1 FROM doc_keys WHERE n_words > 0 GROUP BY key"""),
-    "train_pair": (("doc_keys", "firsts"), """
-        SELECT 1 AS label, f.q1, k.doc_id AS q2
-        FROM doc_keys k JOIN firsts f ON f.key = k.key
-        WHERE k.n_words > 0 AND k.doc_id <> f.q1
-        UNION ALL
-        SELECT 0 AS label, a.doc_id AS q1, b.doc_id AS q2
+    "copies": (("doc_keys", "firsts"), """
+        SELECT f.q1, k.doc_id AS q2 FROM doc_keys k JOIN firsts f ON f.key = k.key
+        WHERE k.n_words > 0 AND k.doc_id <> f.q1"""),
+    "apart": (("doc_keys",), """
+        SELECT CASE WHEN a.doc_id % 37 = 0 THEN 1 ELSE 0 END AS label, a.doc_id AS q1, b.doc_id AS q2
         FROM doc_keys a JOIN doc_keys b ON b.doc_id = a.doc_id + 1
         WHERE a.key <> b.key"""),
+    "train_pair": (("copies", "apart", "doc_keys"), """
+        SELECT 1 AS label, q1, q2 FROM copies
+        UNION ALL SELECT 1, q2, q1 FROM copies WHERE q2 % 5 = 0
+        UNION ALL SELECT 1, doc_id, doc_id FROM doc_keys WHERE doc_id % 50 = 0
+        UNION ALL SELECT label, q1, q2 FROM apart
+        UNION ALL SELECT 1 - label, q1, q2 FROM apart WHERE q1 % 7 = 0"""),
     "pair": (("train_pair",), """
         SELECT q1, q2, min(label) AS label FROM train_pair GROUP BY q1, q2"""),
+    "asked": (("pair",), """
+        SELECT q1, q2 FROM pair UNION ALL SELECT q1, -1 - q2 FROM pair WHERE q1 % 40 = 0
+        UNION ALL SELECT -1 - q1, q2 FROM pair WHERE q1 % 40 = 0"""),
     "test_pair": ((), """
         SELECT a.doc_id AS q1, b.doc_id AS q2, a.doc_id AS row_no
         FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 2"""),
@@ -118,7 +126,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
                sum(CASE WHEN label = 0 THEN 1 ELSE 0 END) AS neg
         FROM scored GROUP BY p1"""),
     "auc_value": (("auc_counts",), """
-        SELECT sum(pos * (below + 0.5 * neg)) / (sum(pos) * sum(neg)) AS auc,
+        SELECT sum(pos * (below + 0.5 * neg)) / nullif(sum(pos) * sum(neg), 0) AS auc,
                sum(pos) AS n_pos, sum(neg) AS n_neg
         FROM (SELECT p1, pos, neg,
                      sum(neg) OVER (ORDER BY p1 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - neg AS below

@@ -81,23 +81,27 @@ def write_predictions(scored: DataFrame, path: str, fmt: str = "json") -> None:
 def submission_frame(test_pairs: DataFrame, predictions: DataFrame, strict: bool = True) -> DataFrame:
     """(row_no, y_pre): p1 of each test row, joined on (q1, q2).
 
-    A pair repeated in the test file gets a line per occurrence.  With
-    ``strict`` a test row without prediction fails the job (counted by an
-    anti join) instead of producing an empty line.
+    A pair repeated in the test file gets a line per occurrence; of repeated
+    predictions the largest p1 counts.  With ``strict`` a test row without
+    prediction fails the job that reads the result instead of giving an empty
+    line.
     """
-    pred = predictions.select("q1", "q2", "p1").dropDuplicates(["q1", "q2"])
+    pred = predictions.groupBy("q1", "q2").agg(F.max("p1").alias("p1"), F.lit(True).alias("found"))
+    joined = test_pairs.join(pred, ["q1", "q2"], "left")
+    value = F.col("p1")
     if strict:
-        missing = test_pairs.join(pred, ["q1", "q2"], "left_anti").count()
-        if missing:
-            raise ValueError(f"{missing} test rows have no prediction")
-    return test_pairs.join(pred, ["q1", "q2"], "left").select("row_no", F.col("p1").alias("y_pre"))
+        value = F.when(F.col("found").isNull(), F.raise_error(F.concat(
+            F.lit("no prediction for test row "), F.col("row_no").cast("string"))).cast("double")).otherwise(value)
+    return joined.select("row_no", value.alias("y_pre"))
 
 
 def write_submission(test_pairs: DataFrame, predictions: DataFrame, path: str,
                      strict: bool = True) -> None:
-    """CSV with header ``y_pre``; part files in name order follow test order."""
+    """CSV with one header ``y_pre``; part files in name order, joined, are the file in test order."""
     sub = submission_frame(test_pairs, predictions, strict)
-    sub.orderBy("row_no").select("y_pre").write.mode("overwrite").option("header", True).csv(path)
+    lines = sub.select("row_no", F.coalesce(F.col("y_pre").cast("string"), F.lit("")).alias("value"))
+    header = sub.sparkSession.range(1).select(F.lit(-1).cast("bigint").alias("row_no"), F.lit("y_pre").alias("value"))
+    header.unionByName(lines).orderBy("row_no").select("value").write.mode("overwrite").text(path)
 
 
 def model_home(base: str, model: str) -> str:

@@ -4,7 +4,8 @@ The reference reads anonymised questions (lists of word ids), word vectors
 and labelled pairs.  The same shapes are derived here from ``documents`` and
 ``embeddings``, with Spark doing the work so it grows with the tables:
 
-* words: every maximal run of ``[a-z]`` in the lower-cased *whole* text;
+* words: every maximal run of letters of any script in the lower-cased
+  *whole* text (digits and signs separate words);
 * vocabulary: word id = rank by descending frequency, ties by the word,
   computed with the distributed dense index (no single-task window);
 * word vectors: ``embeddings.vec_id`` is the word id, so the most frequent
@@ -14,7 +15,9 @@ and labelled pairs.  The same shapes are derived here from ``documents`` and
 * train pairs: label 1 links every document whose whole normalised text
   equals that of an earlier one to the first such document (one pair per
   copy, never all pairs of a group); label 0 links neighbouring documents
-  (``doc_id``, ``doc_id + 1``) with different texts;
+  (``doc_id``, ``doc_id + 1``) with different texts.  Some rows repeat a
+  pair with the other label, reverse it, pair a document with itself, or
+  label a pair of different texts 1, so that the rules for them are exercised;
 * test pairs: neighbours two apart, ordered by the first id.
 """
 
@@ -32,8 +35,12 @@ from pairlens.session import scratch_path
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
-# The word pattern applied to lower-cased text.
-WORD_PATTERN = "[a-z]+"
+# The word pattern applied to lower-cased text: letters of any script.
+WORD_PATTERN = r"\p{L}+"
+
+
+#: Parts in which the copies of one text meet its first copy.
+COPY_SALTS = 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,17 +98,25 @@ def doc_keys(words: DataFrame) -> DataFrame:
 
 def train_pairs(keys: DataFrame) -> DataFrame:
     """(label, q1, q2) from ``doc_keys``."""
-    with_words = keys.filter(F.col("n_words") > 0)
-    first = with_words.groupBy("key").agg(F.min("doc_id").alias("q1"))
-    positives = (with_words.join(first, "key")
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(COPY_SALTS)).cast("int")
+    with_words = keys.filter(F.col("n_words") > 0).withColumn("salt", salt)
+    # The first copy of each repeated text meets its other copies salt by salt,
+    # so a text that very many documents share is not one task's join.
+    first = (with_words.groupBy("key").agg(F.min("doc_id").alias("q1"), F.count(F.lit(1)).alias("n"))
+             .filter("n > 1").select("key", "q1", F.explode(F.sequence(F.lit(0), F.lit(COPY_SALTS - 1))).alias("salt")))
+    positives = (with_words.join(first, ["key", "salt"])
                  .filter(F.col("doc_id") != F.col("q1"))
                  .select(F.lit(1).alias("label"), "q1", F.col("doc_id").alias("q2")))
+    reversed_ = positives.filter("q2 % 5 = 0").select("label", F.col("q2").alias("q1"), F.col("q1").alias("q2"))
+    selves = keys.filter("doc_id % 50 = 0").select(F.lit(1).alias("label"), F.col("doc_id").alias("q1"),
+                                                   F.col("doc_id").alias("q2"))
     a = keys.select(F.col("doc_id").alias("q1"), F.col("key").alias("k1"))
     b = keys.select(F.col("doc_id").alias("q2"), F.col("key").alias("k2"))
     negatives = (a.join(b, F.col("q2") == F.col("q1") + 1)
                  .filter(F.col("k1") != F.col("k2"))
-                 .select(F.lit(0).alias("label"), "q1", "q2"))
-    return positives.unionByName(negatives)
+                 .select(F.when(F.expr("q1 % 37 = 0"), 1).otherwise(0).alias("label"), "q1", "q2"))
+    repeated = negatives.filter("q1 % 7 = 0").select((1 - F.col("label")).alias("label"), "q1", "q2")
+    return positives.unionByName(reversed_).unionByName(selves).unionByName(negatives).unionByName(repeated)
 
 
 def test_pairs(ids: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from pairlens.functions.ids import decode_id
 from pairlens.operators.pairs import pair_features
-from pairlens.plans.flows import impute, with_probabilities
+from pairlens.plans.flows import make_finite, with_probabilities
 from pairlens.session import reliable_checkpoint
 from pairlens.sinks.files import prediction_frame
 
@@ -37,23 +37,23 @@ def score_stream(spark: SparkSession, source_dir: str, qf: DataFrame, feature_co
                  sink_dir: str, checkpoint_location: str,
                  model: Transformer | None = None,
                  scorer: Callable[[DataFrame], DataFrame] | None = None,
-                 available_now: bool = True):
+                 available_now: bool = True, max_files: int = 1000):
     """Start the streaming query; returns the StreamingQuery.
 
     Exactly one of ``model`` (a fitted pipeline with an assembler over
     ``feature_cols``) or ``scorer`` (a function adding prediction, p0, p1)
     is used.  ``available_now`` processes what is there and stops.
+    ``max_files`` bounds the files of one micro-batch.
     """
     if (model is None) == (scorer is None):
         raise ValueError("give exactly one of model or scorer")
     # The static side is joined in every micro-batch: materialise it once in
     # the shared checkpoint folder instead of recomputing it per batch.
     qf = reliable_checkpoint(qf)
-    lines = spark.readStream.format("text").load(source_dir)
+    lines = spark.readStream.format("text").option("maxFilesPerTrigger", max_files).load(source_dir)
     pairs = parse_test_pair_lines(lines).withColumn("label", F.lit(-1))
-    # Hot-key detection needs a job over the whole input, which a stream does
-    # not have; each micro-batch is bounded by the trigger instead.
-    pf = impute(pair_features(pairs, qf, feature_cols, skew_threshold=None), feature_cols)
+    # A pair that names an unknown question keeps its row and is scored by the same rule.
+    pf = make_finite(pair_features(pairs, qf, feature_cols, how="left"), feature_cols)
     scored = scorer(pf) if scorer is not None else with_probabilities(model.transform(pf))
     writer = (prediction_frame(scored).writeStream
               .format("json").outputMode("append")

@@ -1,26 +1,46 @@
-"""A question named by a large share of the pairs is joined map-side."""
+"""Questions that very many pairs name: adaptive execution splits them, on either side."""
+import pytest
 from pyspark.sql import functions as F
 
-from pairlens.operators.pairs import hot_keys, join_questions, join_side
-
-
-def test_hot_key_split_matches_plain_join(spark):
-    # question 0 is named by half of all pairs
-    pairs = spark.range(0, 4000).select(
-        F.when(F.col("id") % 2 == 0, F.lit(0)).otherwise(F.col("id") % 97).alias("q1"),
-        (F.col("id") % 89 + 1000).alias("q2"), F.lit(1).alias("label"))
-    qf = spark.range(0, 2000).select(F.col("id").alias("qid"), (F.col("id") * 2.0).alias("x"))
-    hot = hot_keys(pairs, ("q1", "q2"), threshold=500)
-    assert [r.q1 for r in hot["q1"].collect()] == [0] and hot["q2"] is None
-    split = join_questions(pairs, qf, skew_threshold=500).select("q1", "q2", "a_x", "b_x")
-    plain = join_questions(pairs, qf, skew_threshold=None).select("q1", "q2", "a_x", "b_x")
-    assert sorted(map(tuple, split.collect())) == sorted(map(tuple, plain.collect()))
-    assert split.count() == 4000
-
-
-def test_left_join_keeps_unknown_hot_key(spark):
-    pairs = spark.createDataFrame([(7, i) for i in range(50)], "q1 bigint, q2 bigint")
-    side = spark.createDataFrame([(1, 1.0)], "q1 bigint, v double")
-    hot = hot_keys(pairs, ("q1",), threshold=10)["q1"]
-    out = join_side(pairs, side, "q1", "left", hot)
-    assert out.count() == 50 and out.filter("v is null").count() == 50
+from pairlens.operators.pairs import join_questions
+from pairlens.sources.testdata import train_pairs
+
+SPLIT = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k",
+         "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k"}
+
+
+@pytest.fixture
+def small_splits(spark):
+    before = {k: spark.conf.get(k, None) for k in SPLIT}
+    for k, v in SPLIT.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("hot,how", [("q1", "inner"), ("q2", "left")])
+def test_hot_question_is_split(spark, small_splits, hot, how):
+    other = "q2" if hot == "q1" else "q1"
+    pairs = spark.range(0, 60_000, 1, 8).select(
+        F.when(F.col("id") % 2 == 0, F.lit(0)).otherwise(F.col("id") % 997).alias(hot),
+        (F.col("id") % 1889 + 1000).alias(other))
+    qf = spark.range(0, 4000, 1, 4).select(F.col("id").alias("qid"), (F.col("id") * 2.0).alias("x"))
+    joined = join_questions(pairs, qf, how)
+    assert joined.count() == 60_000
+    run = joined.select("q1", "q2", "a_x", "b_x")
+    rows = run.filter("a_x != 2 * q1 or b_x != 2 * q2")
+    assert rows.count() == 0
+    run.write.format("noop").mode("overwrite").save()
+    run.rdd.count()
+    assert "skew=true" in run._jdf.queryExecution().executedPlan().toString()
+
+
+def test_many_copies_of_one_text(spark):
+    keys = spark.range(0, 5000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "same").otherwise(
+        F.col("id").cast("string")).alias("key"), F.lit(4).alias("n_words"))
+    got = train_pairs(keys)
+    copies = got.filter("label = 1 and q1 = 0 and q2 % 3 = 0 and q2 > 0 and q2 != 1")
+    assert copies.select("q2").distinct().count() == 1666
