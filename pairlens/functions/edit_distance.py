@@ -3,7 +3,7 @@
 Spark's ``levenshtein`` works on strings only and a higher-order-function
 dynamic programme copies its row for every cell, which is cubic on whole
 texts.  This is an Arrow-batched pandas UDF running the bit-parallel
-algorithm of Myers (1999) in Hyyro's formulation for edit distance: the
+method of Myers (1999) in Hyyro's formulation for edit distance: the
 shorter sequence is the pattern, one Python integer holds one bit per
 pattern position, so a pair costs O(len(text) * len(pattern) / 64) word
 operations with no length cap.

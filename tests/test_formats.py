@@ -53,8 +53,8 @@ def test_submission_strict_missing_prediction(spark):
     import pytest
     tests = spark.createDataFrame([(5, 6, 0), (7, 8, 1)], "q1 bigint, q2 bigint, row_no bigint")
     pred = spark.createDataFrame([(5, 6, 0.3)], "q1 bigint, q2 bigint, p1 double")
-    with pytest.raises(ValueError):
-        K.submission_frame(tests, pred, strict=True)
+    with pytest.raises(Exception, match="no prediction for test row 1"):
+        K.submission_frame(tests, pred, strict=True).collect()
     rows = K.submission_frame(tests, pred, strict=False).orderBy("row_no").collect()
     assert [r.y_pre for r in rows] == [0.3, None]
 
