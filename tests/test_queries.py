@@ -3,6 +3,7 @@ import pytest
 
 import __spark_entry__ as E
 from conftest import SMALL
+from pairlens.plans import catalog
 
 QUERIES = E.queries()
 ORACLE = E.oracle_sql()
@@ -29,7 +30,8 @@ def test_oracle(spark, con, name):
 def test_every_query_has_oracle_or_is_exempt():
     exempt = {"pair_edit_distance", "pca_words", "train_lr", "train_gbt", "train_svm", "train_mlp",
               "cv_metrics", "model_report_lr", "predict_pairs"}
-    assert set(QUERIES) - set(ORACLE) == exempt
+    assert set(catalog.QUERIES) - set(catalog.ORACLE) == exempt
+    assert set(catalog.QUERIES) <= set(QUERIES)
 
 
 def test_entry(spark):
