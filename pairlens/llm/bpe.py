@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Chunks and pairs remembered per worker (about 200 and 100 bytes each).
-CHUNKS_KEPT = 800_000
-PAIRS_KEPT = 400_000
+CHUNKS_KEPT = 500_000
+PAIRS_KEPT = 150_000
 #: Rows per output batch.
 ROWS = 512
 

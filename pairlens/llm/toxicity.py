@@ -231,7 +231,8 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
         seen.setdefault(t or "", i)
     index = np.array(sorted(seen.values()), int)
     labels = np.asarray(labels, np.float32)[index] if len(index) else np.zeros(0, np.float32)
-    tokens = [steps(texts[i]) for i in index]
+    one: dict[str, str] = {}  # each distinct token once in memory
+    tokens = [[one.setdefault(w, w) for w in steps(texts[i])] for i in index]
     if not len(labels) or labels.min() == labels.max():
         a["o"][:] = 0
         a["o0"] = np.float32(2.0 if len(labels) and labels.max() == 1 else -2.0)
@@ -239,7 +240,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
     features = []
     for t in tokens:
         word, four, five, _ = hashed(t) if t else (np.zeros(0, int),) * 4
-        features.append((np.unique(word), np.unique(four), np.unique(five)))
+        features.append(tuple(np.unique(f).astype(np.int32) for f in (word, four, five)))
     part = np.fromiter((zlib.crc32(" ".join(t[:WINDOW]).encode("utf-8", "surrogatepass")) % PARTS for t in tokens),
                        int, len(tokens))
     a["evidence"] = _evidence(features, labels)
