@@ -3,10 +3,11 @@
 Texts are reduced to templates: numbers, names and units become typed
 placeholders, all other words are lower-cased.  Windows of five template words
 are hash-joined with those of the benchmark.  A document holds an item when
-windows on nearly one diagonal cover 80 % of the item's, and the slots agree:
-inside such a stretch every value of the item must stand for one value of the
-document, which finds a question asked again with other numbers and names and
-leaves alone texts that merely share its phrases.
+windows on nearly one diagonal cover 80 % of the item's, and either the words
+are the item's own or the slots agree: along one alignment every value of the
+item must stand for one value of the document, which finds a question asked
+again with other numbers and names and leaves alone texts that merely share its
+phrases.
 """
 
 from __future__ import annotations
@@ -40,33 +41,48 @@ def _once(df: DataFrame, *exprs: str) -> DataFrame:
     return df.selectExpr(f"inline(array(struct({', '.join(exprs)})))")
 
 
-def templates(rows: DataFrame, key: str, names: bool = True) -> DataFrame:
-    """(key, words, template): a row's words and what each stands for, at equal places.
+def templates(rows: DataFrame, key: str) -> DataFrame:
+    """(key, words, literal, inside): a row's words and what each stands for, at equal places.
 
-    Names keep a mark before them in ``words``.  A text most of whose words
-    look like names is in title case, and its words are taken literally.
+    ``literal`` has placeholders for numbers and units, ``inside`` for names too.
+    A text most of whose words look like names is in title case, and its words
+    are taken literally.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     joined = F.when(text.rlike(r"\d[.,]\d"), F.regexp_replace(text, r"(?<=\d)[.,](?=\d)", "")).otherwise(text)
-    if names:
-        joined = F.regexp_replace(joined, _NAME, _MARK + "$0")
+    joined = F.regexp_replace(joined, _NAME, _MARK + "$0")
     units = ", ".join(f"'{u}'" for u in UNITS)
     out = _once(rows.select(F.col(key).cast("long").alias(key), F.lower(joined).alias("t")),
                 key, rf"array_remove(split(t, r'[^\p{{L}}\p{{N}}{_MARK}]+'), '') as raw")
-    out = _once(out, key, f"""if(2 * size(filter(raw, x -> startswith(x, '{_MARK}'))) > size(raw),
-                                 transform(raw, x -> ltrim('{_MARK}', x)), raw) as words""")
-    return _once(out, key, "words", f"""transform(words, (x, i) -> case
-        when startswith(x, '{_MARK}') then '<name>'
+    out = _once(out, key, "raw", f"transform(raw, x -> ltrim('{_MARK}', x)) as words",
+                f"2 * size(filter(raw, x -> startswith(x, '{_MARK}'))) > size(raw) as titled")
+    out = _once(out, key, "raw", "words", "titled", f"""transform(words, (x, i) -> case
         when x >= '0' and x < ':' then '<number>'
         when i > 0 and words[i - 1] >= '0' and words[i - 1] < ':' and x in ({units}) then '<unit>'
-        else x end) as template""")
+        else x end) as literal""")
+    return _once(out, key, "words", "literal", f"""if(titled, literal, transform(raw, (x, i) ->
+        if(startswith(x, '{_MARK}'), '<name>', literal[i]))) as inside""")
 
 
-def windows(templated: DataFrame, key: str) -> DataFrame:
-    """(key, place, window): the hash of every five template words."""
-    hashed = ", ".join(f"template[i + {j}]" for j in range(WINDOW))
-    return templated.where(F.size("template") >= WINDOW).selectExpr(
-        key, f"posexplode(transform(sequence(0, size(template) - {WINDOW}), i -> xxhash64({hashed}))) as (place, window)")
+#: The readings of a text whose windows are hashed, the usual one first.
+READINGS = ["inside", "literal"]
+
+
+def windows(templated: DataFrame, key: str, said: bool = False) -> DataFrame:
+    """(key, place, window): the hash of every five template words, in each reading in which they differ.
+
+    ``said`` adds the five words and what they stand for.
+    """
+    def read(reading: str, places: str) -> str:
+        hashed = ", ".join(f"{reading}[i + {j}]" for j in range(WINDOW))
+        more = f", 'said', slice(words, i + 1, {WINDOW}), 'kinds', slice({reading}, i + 1, {WINDOW})" if said else ""
+        return f"transform({places}, i -> named_struct('place', i, 'window', xxhash64({hashed}){more}))"
+
+    usual = READINGS[0]
+    parts = [read(usual, f"sequence(0, size(words) - {WINDOW})")] + [read(r, f"""if({r} = {usual}, cast(array() as array<int>),
+        array_distinct(flatten(transform(filter(sequence(0, size(words) - 1), i -> {r}[i] != {usual}[i]),
+            i -> sequence(greatest(i - {WINDOW - 1}, 0), least(i, size(words) - {WINDOW}))))))""") for r in READINGS[1:]]
+    return templated.where(F.size("words") >= WINDOW).selectExpr(key, f"inline(concat({', '.join(parts)}))")
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -80,10 +96,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     parts of one text or item; empty tables give an empty result; other columns
     are ignored.
     """
-    items = benchmark.where("item_id is not null").select("item_id", "text")
-    named, literal = templates(items, "item_id"), templates(items, "item_id", names=False)
-    known = stored(windows(named, "item_id").union(windows(literal, "item_id")).distinct()
-                   .withColumnRenamed("place", "item_place"), "item-windows")
+    items = templates(benchmark.where("item_id is not null").select("item_id", "text"), "item_id")
+    known = stored(windows(items, "item_id").distinct().withColumnRenamed("place", "item_place"), "item-windows")
     totals = known.groupBy("item_id").agg(F.countDistinct("item_place").alias("total"))
     few = known.count() <= BROADCAST_WINDOWS
     texts = docs.where("doc_id is not null").select("doc_id", "text")
@@ -91,53 +105,70 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     # Two sets of stretches, half a drift apart, so that no stretch is cut by a border of both.
     shift = F.col("place") - F.col("item_place")
     stretches = F.array(F.floor(shift / DRIFT) * 2, F.floor((shift + DRIFT // 2) / DRIFT) * 2 + 1)
-    hits = hits.select("doc_id", "item_id", "item_place", "place", F.explode(stretches).alias("stretch"))
-    places = hits.groupBy("doc_id", "item_id", "stretch", "item_place").agg(F.min("place").alias("place"))
+    places = hits.select("doc_id", "item_id", "item_place", F.explode(stretches).alias("stretch")).distinct()
     held = places.groupBy("doc_id", "item_id", "stretch").agg(F.count(F.lit(1)).alias("n_windows"))
     held = held.join(totals, "item_id").where(F.col("n_windows") >= SHARE * F.col("total"))
-    held = stored(held.withColumn("share", F.col("n_windows") / F.col("total")), "held-items")
-
-    slotted = named.selectExpr("item_id", "words", "template").where(
-        "exists(template, x -> x in ('<name>', '<number>', '<unit>'))")
-    unsure = stored(held.join(slotted.select("item_id").distinct(), "item_id", "left_semi"), "slotted-items")
-    if unsure.isEmpty():
-        good = held.withColumn("kind", F.lit("verbatim"))
-    else:
-        good = (held.join(slotted.select("item_id").distinct(), "item_id", "left_anti")
-                .withColumn("kind", F.lit("verbatim")).unionByName(_consistent(unsure, texts, slotted, DRIFT)))
-    best = good.groupBy("doc_id", "item_id").agg(F.max("n_windows").alias("n_windows"), F.max("share").alias("share"),
-                                                 F.max("kind").alias("kind"))
+    held = stored(held.select("doc_id", "item_id", "total").distinct(), "held-items")
+    best = _aligned(held, texts, items, few).groupBy("doc_id", "item_id").agg(
+        F.max("n_windows").alias("n_windows"), F.max("share").alias("share"),
+        F.max_by("kind", F.struct("n_windows", "kind")).alias("kind"))
     return best.select("doc_id", "item_id", F.col("n_windows").cast("long").alias("n_windows"), "share", "kind")
 
 
-def _consistent(unsure: DataFrame, texts: DataFrame, slotted: DataFrame, drift: int) -> DataFrame:
-    """Of ``unsure`` the stretches in which every item value stands for one document value."""
-    ids = unsure.select("doc_id").distinct()
-    read = stored(templates(texts.join(ids, "doc_id", "left_semi"), "doc_id"), "held-texts")
-    # Slot by slot: the item's value, and the document's word in the same window.
-    asked = slotted.selectExpr("item_id", "words as item_words", "template as item_template").selectExpr(
-        "item_id", "item_words", f"""posexplode(transform(sequence(0, greatest(size(item_template) - {WINDOW}, 0)),
-            i -> xxhash64({', '.join(f'item_template[i + {j}]' for j in range(WINDOW))}))) as (item_place, window)""",
-        "item_template")
-    given = read.where(F.size("template") >= WINDOW).selectExpr(
-        "doc_id", f"""posexplode(transform(sequence(0, size(template) - {WINDOW}), i -> struct(
-            xxhash64({', '.join(f'template[i + {j}]' for j in range(WINDOW))}) as window,
-            slice(words, i + 1, {WINDOW}) as said))) as (place, w)""").selectExpr(
-        "doc_id", "place", "w.window as window", "w.said as said")
-    shift = F.col("place") - F.col("item_place")
-    stretches = F.array(F.floor(shift / drift) * 2, F.floor((shift + drift // 2) / drift) * 2 + 1)
-    pairs = (given.join(asked, "window").join(unsure.select("doc_id", "item_id").distinct(), ["doc_id", "item_id"])
-             .select("doc_id", "item_id", F.explode(stretches).alias("stretch"),
-                     F.expr(f"""filter(transform(sequence(0, {WINDOW - 1}), j -> struct(
-                         item_template[item_place + j] as kind, ltrim('{_MARK}', item_words[item_place + j]) as item_value,
-                         ltrim('{_MARK}', said[j]) as value)), x -> x.kind in ('<name>', '<number>', '<unit>'))""").alias("p"))
-             .select("doc_id", "item_id", "stretch", F.explode("p").alias("p")).select(
-                 "doc_id", "item_id", "stretch", "p.kind", "p.item_value", "p.value").distinct())
-    each = pairs.groupBy("doc_id", "item_id", "stretch", F.col("kind").alias("slot"), "item_value").agg(
-        F.count(F.lit(1)).alias("values"), F.max(F.col("value") != F.col("item_value")).alias("other"))
-    fits = each.groupBy("doc_id", "item_id", "stretch").agg(F.max("values").alias("values"), F.max("other").alias("other"))
-    joined = unsure.join(fits, ["doc_id", "item_id", "stretch"], "left").where("values is null or values = 1")
-    return joined.select(*unsure.columns, F.when(F.col("other"), "reparameterised").otherwise("verbatim").alias("kind"))
+def _aligned(held: DataFrame, texts: DataFrame, items: DataFrame, few: bool) -> DataFrame:
+    """doc_id, item_id, n_windows, share and kind of each alignment that shows an item of ``held`` in its document.
+
+    Either the item's own words stand in the document in the item's order, or
+    there is an alignment on which every item value stands for one value of the
+    document: each item place has the document place on the main diagonal, or
+    the nearest to it where the diagonal has none.
+    """
+    pair = ["doc_id", "item_id"]
+    read = stored(templates(texts.join(held.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id"), "held-texts")
+    asked = windows(items, "item_id", said=True).join(held.select("item_id").distinct(), "item_id", "left_semi").select(
+        "item_id", F.col("place").alias("item_place"), "window", F.col("said").alias("asked"), "kinds")
+    hits = (windows(read, "doc_id", said=True).drop("kinds").join(F.broadcast(asked) if few else asked, "window")
+            .join(held, pair).selectExpr(*pair, "total", "item_place", "place", "place - item_place as shift", "said = asked as same",
+                                         f"""filter(transform(sequence(0, {WINDOW - 1}), j -> named_struct('slot', kinds[j],
+                'item_value', asked[j], 'value', said[j])), x -> x.slot in ('<name>', '<number>', '<unit>')) as slots"""))
+    hits = stored(hits, "held-windows")
+    enough = F.col("n_windows") >= SHARE * F.col("total")
+    # The longest row of literal windows that rises in both texts: of each length the least end.
+    literal = hits.where("same").groupBy(*pair, "total").agg(F.sort_array(F.collect_set(
+        F.expr("struct(item_place, -place as back)"))).alias("h"))
+    literal = literal.select(*pair, "total", F.expr("""size(aggregate(h, cast(array() as array<int>), (t, x) -> concat(
+        filter(t, y -> y < -x.back), array(-x.back), slice(filter(t, y -> y >= -x.back), 2, size(t) + 1)))) as n_windows"""))
+    literal = stored(literal.where(enough), "literal-items")
+
+    rest = hits.join(literal.where("n_windows = total").select(*pair), pair, "left_anti")
+    main = rest.groupBy(*pair, "total", F.col("shift").alias("main")).agg(F.countDistinct("item_place").alias("n_windows"))
+    # Each break costs windows, so a copy with 80 % of them has few breaks and one long diagonal; half of it
+    # is asked for, as chance can save windows at a break.
+    least = SHARE * F.col("total") / ((1 - SHARE) * F.col("total") / (WINDOW - 1) + 1) / 2
+    main = stored(main.where(F.col("n_windows") >= least), "main-diagonals")
+    whole = main.where(enough).drop("total", "n_windows").join(rest.withColumn("main", F.col("shift")), [*pair, "main"])
+    near = main.where(~enough).drop("total", "n_windows").join(rest, pair).groupBy(*pair, "total", "main", "item_place").agg(
+        F.min_by("place", F.struct(F.abs(F.col("shift") - F.col("main")), "place")).alias("place"))
+    near = near.groupBy(*pair, "total", "main").agg(F.sort_array(F.collect_list(F.struct("item_place", "place"))).alias("h"))
+    near = near.select(*pair, "total", "main", F.expr("""aggregate(h,
+        cast(array() as array<struct<place: int, row: array<struct<item_place: int, place: int>>>>),
+        (t, x) -> concat(filter(t, y -> y.place < x.place), array(named_struct('place', x.place, 'row', concat(
+            coalesce(get(filter(t, y -> y.place < x.place), size(filter(t, y -> y.place < x.place)) - 1).row,
+                     cast(array() as array<struct<item_place: int, place: int>>)), array(x)))),
+            slice(filter(t, y -> y.place >= x.place), 2, size(t) + 1)),
+        t -> get(t, size(t) - 1).row) as row"""))
+    near = near.where(F.size("row") >= SHARE * F.col("total")).selectExpr(*pair, "main", "inline(row)")
+    near = near.join(rest, [*pair, "item_place", "place"])
+    columns = [*pair, "total", "main", "item_place", "slots"]
+    rows = stored(whole.select(columns).union(near.select(columns)), "alignments")
+    counted = rows.groupBy(*pair, "total", "main").agg(F.countDistinct("item_place").alias("n_windows"))
+    each = rows.selectExpr(*pair, "main", "inline(slots)").groupBy(*pair, "main", "slot", "item_value").agg(
+        F.countDistinct("value").alias("values"), F.max(F.col("value") != F.col("item_value")).alias("other"))
+    fits = each.groupBy(*pair, "main").agg(F.max("values").alias("values"), F.max("other").alias("other"))
+    again = counted.join(fits, [*pair, "main"], "left").where("values is null or values = 1").select(
+        *pair, "total", "n_windows", F.when(F.col("other"), "reparameterised").otherwise("verbatim").alias("kind"))
+    return literal.withColumn("kind", F.lit("verbatim")).unionByName(again).withColumn(
+        "share", F.col("n_windows") / F.col("total"))
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

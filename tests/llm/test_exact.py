@@ -211,6 +211,25 @@ def test_leaks_equal_a_scan(spark):
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, items).collect()} == held
 
 
+def leaks_of(spark, item, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    return {r["doc_id"]: r["kind"] for r in decontaminate.find_leaks(rows, benchmark).collect()}
+
+
+def test_leaks_with_windows_that_come_again(spark):
+    terms = "Find the next term of the sequence 2 4 8 16 32 64 128 and explain in one sentence how you have found it."
+    pens = "A shop sells 3 red pens for 2 dollars and 5 red pens for 4 dollars, which of the two offers is better for you?"
+    before = ["so it goes " * k for k in range(0, 16, 3)]
+    assert leaks_of(spark, terms, [b + terms for b in before]) == dict.fromkeys(range(len(before)), "verbatim")
+    assert leaks_of(spark, pens, [b + pens for b in before]) == dict.fromkeys(range(len(before)), "verbatim")
+    other = pens.replace("3", "7").replace("2", "9").replace("5", "8").replace("4", "6")
+    mixed = "A shop sells 3 red pens for 3 dollars and 3 red pens for 3 dollars, which of the two offers is better for you?"
+    assert leaks_of(spark, pens, [b + other for b in before]) == dict.fromkeys(range(len(before)), "reparameterised")
+    # An item value that stands for two values is no copy, beside one that is.
+    assert leaks_of(spark, mixed, [other, other + " " + mixed]) == {1: "verbatim"}
+
+
 def test_network_gradients():
     rng = np.random.default_rng(0)
     a = {"W": None, "U": rng.normal(0, .4, (2, toxicity.HIDDEN, 3 * toxicity.HIDDEN)), "v": rng.normal(0, .4, 2 * toxicity.HIDDEN),
