@@ -24,10 +24,15 @@ ROUNDS = 10
 #: Values whose pseudonym a worker remembers (a cache only).
 KEPT = 200_000
 
+#: Blank-separated pieces and characters of the longest number that is looked for (cards, telephone numbers).
+PIECES, LONGEST = 4, 40
+
+_EMAIL = r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\w-])"
+# A run of numbers has any length and ends before an address that begins with a digit.
 _FIND = re.compile(
-    r"(?P<email>(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\w-]))"
+    rf"(?P<email>{_EMAIL})"
     r"|(?P<iban>(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"
-    r"|(?P<digits>(?<![\w.])\+?[0-9(][0-9()/. :-]{5,30}[0-9](?![\w]))", re.ASCII)
+    rf"|(?P<digits>(?<![\w.])\+?[0-9(](?:[0-9()/.-]|[ :](?!{_EMAIL}))*+)", re.ASCII)
 _IP = re.compile(r"(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}", re.ASCII)
 _ISO = re.compile(r"(\d{4})([-/.])(\d{2})\2(\d{2})", re.ASCII)
 _DAY_FIRST = re.compile(r"(\d{1,2})([-/.])(\d{1,2})\2(\d{4})", re.ASCII)
@@ -213,23 +218,63 @@ class Pseudonyms:
         return "".join([*out, text[at:]]), found
 
     def _values(self, m: re.Match) -> list[tuple[int, str, tuple[str, str]]]:
-        """The validated values of one match; a run of several numbers is tried in parts."""
-        got = self.of(m.lastgroup, m[0])
-        if got:
-            return [(m.start(), m[0], got)]
+        """The validated values of one match; a run of several numbers is tried in parts.
+
+        Telephone numbers, which have no check, are looked for last, so that
+        they do not take the first groups of a card number.
+        """
         if m.lastgroup != "digits":
+            got = self.of(m.lastgroup, m[0])
+            return [(m.start(), m[0], got)] if got else []
+        run, at = m[0], m.start()
+        # What touches a letter is not a number of its own.
+        closed = len(run) if re.match(r"\w", m.string[m.end():m.end() + 1], re.ASCII) is None else len(run) - 1
+        pieces = [p.span() for p in re.finditer(r"[^ :]+", run)]
+        out: dict[int, list[tuple[int, str, tuple[str, str]]]] = {}
+        taken = [False] * len(pieces)
+        for phones in (False, True):
+            i = 0
+            while i < len(pieces):
+                j, found = i + 1, []
+                for j in range(min(len(pieces), i + PIECES), i, -1):
+                    if not any(taken[i:j]) and (found := self._parts(run, *pieces[i], pieces[j - 1][1], closed, phones)):
+                        break
+                if found:
+                    out[i] = [(at + a, value, got) for a, value, got in found]
+                    taken[i:j] = [True] * (j - i)
+                i = j
+        return [x for i in sorted(out) for x in out[i]]
+
+    def _parts(self, run: str, a: int, first: int, b: int, closed: int, phones: bool) -> list[tuple[int, str, tuple[str, str]]]:
+        """The values that ``run[a:b]`` is, or that its only piece is made of."""
+        def one(a: int, b: int) -> tuple[int, str, tuple[str, str]] | None:
+            for lead, trail in (("", ".-/("), (".-/()", ".-/()")):
+                value = run[a:b].rstrip(trail)
+                start = a + len(value) - len(value := value.lstrip(lead) if lead else value)
+                if 7 <= len(value) <= LONGEST and start + len(value) <= closed:
+                    got = self.of("digits", value)
+                    if got and (got[0] == "phone") == phones:
+                        return start, value, got
+            return None
+
+        if x := one(a, b):
+            return [x]
+        if first != b:
             return []
-        out, at = [], m.start()
-        pieces = [(p.start(), p.end()) for p in re.finditer(r"[^ :]+", m[0])]
-        i = 0
-        while i < len(pieces):
-            for j in range(len(pieces), i, -1):
-                a, b = pieces[i][0], pieces[j - 1][1]
-                value = m[0][a:b].rstrip(".-/(")
-                if (got := self.of("digits", value)) is not None:
-                    out.append((at + a, value, got))
+        # Joined by strokes or brackets: each value counts.
+        parts = [(a + p.start(), a + p.end()) for p in re.finditer(r"[^/()]+", run[a:b])]
+        if len(parts) > 1 and (out := [x for c, d in parts if (x := one(c, d))]):
+            return out
+        # Joined by dots or dashes: only if the values make up the whole piece.
+        numbers, out, i = [(a + p.start(), a + p.end()) for p in re.finditer(r"[0-9]+", run[a:b])], [], 0
+        while i < len(numbers):
+            for j in range(min(len(numbers), i + PIECES), i, -1):
+                if x := one(numbers[i][0], numbers[j - 1][1]):
+                    out.append(x)
+                    i = j
                     break
-            i = j if got is not None else i + 1
+            else:
+                return []
         return out
 
 
