@@ -24,8 +24,15 @@ TREES, DEPTH, SEED = 40, 8, 11
 EXAMPLES = 6_000
 BEFORE, AFTER = 48, 16
 
-_RUN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,64}[0-9])[A-Za-z0-9+/_-]{16,}={0,2}"
-_VALUE = r"""(?i)(?:token|secret|passw(?:or)?d|pwd|api_?key|auth|credential)["']?\s{0,3}[:=]\s{0,3}["']?([A-Za-z0-9+/_=!@#$%^&*.~-]{8,})"""
+_MARK = "\x01"
+#: Longest value that is read.
+LONGEST = 4_096
+#: What stands before a value, and the value itself with the character before it.
+PATTERNS = [
+    (r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,64}[0-9])(?=[A-Za-z0-9+/_-]{16})", r"(?s)^.?([A-Za-z0-9+/_-]{16,}={0,2})"),
+    (r"""(?i)(?:token|secret|passw(?:or)?d|pwd|api_?key|auth|credential)["']?\s{0,3}[:=]\s{0,3}["']?(?=[A-Za-z0-9+/_=!@#$%^&*.~-]{8})""",
+     r"(?s)^.([A-Za-z0-9+/_=!@#$%^&*.~-]{8,})"),
+]
 #: Neighbouring words for and against, and pieces of plain words.
 _FOR = r"(?i)(token|secret|passw(or)?d|pwd|key|auth|bearer|credential|private|access|client)"
 _AGAINST = r"(?i)(sha\d*|md5|checksum|digest|hash|commit|rev(ision)?|uuid|guid|etag|version|build|isbn|order|invoice|page|card|tracking|integrity|example|placeholder|id)\b"
@@ -36,19 +43,27 @@ FEATURES = ["size", "kinds", "digits", "upper", "lower", "vowels", "transitions"
 
 
 def candidates(rows: DataFrame, key: str) -> DataFrame:
-    """(key, candidate, start, n_found, before, after): each distinct candidate of a text, where it first stands."""
-    runs = F.when(F.col("text").rlike("[0-9]"), F.regexp_extract_all("text", F.lit(_RUN), F.lit(0)))
-    values = F.regexp_extract_all("text", F.lit(_VALUE), F.lit(1))
-    found = rows.where(F.col("text").isNotNull()).select(
-        F.col(key).cast("long").alias(key), F.col("text").cast("string").alias("text"),
-        F.array_distinct(F.concat(F.coalesce(runs, F.array().cast("array<string>")), values)).alias("c"))
+    """(row, key, candidate, start, before, after): every occurrence of a candidate, ``row`` numbers the texts."""
+    # A mark goes before each value; a mark of the text's own becomes a blank, so that places stay.
+    clean = rows.where(F.col("text").isNotNull()).select(
+        F.monotonically_increasing_id().alias("row"), F.col(key).cast("long").alias(key),
+        F.translate(F.col("text").cast("string"), _MARK, " ").alias("t"))
+    marked = [F.split(F.regexp_replace("t", F.lit(lead), F.lit("$0" + _MARK)), _MARK).alias(f"m{k}")
+              for k, (lead, _) in enumerate(PATTERNS)]
+    marked = clean.select("*", *marked).where(" or ".join(f"size(m{k}) > 1" for k in range(len(PATTERNS))))
+    marked = marked.selectExpr("inline(array(struct(*)))")  # computed once, not again in each use
+    starts = [f"""aggregate(slice(m{k}, 2, size(m{k})), named_struct('at', length(m{k}[0]), 'starts', cast(array() as array<int>)),
+        (s, x) -> named_struct('at', s.at + length(x), 'starts', concat(s.starts, array(s.at + 1))), s -> s.starts)"""
+              for k in range(len(PATTERNS))]
+    # The value may begin at the text's first character, which has none before it.
+    spans = [f"""transform({starts[k]}, i -> named_struct('start', i, 'size', length(regexp_extract(
+        if(i = 1, concat(' ', substring(t, 1, {LONGEST})), substring(t, i - 1, {LONGEST} + 1)), r'{value}', 1))))"""
+             for k, (_, value) in enumerate(PATTERNS)]
     # Cut out what surrounds a candidate before rows are multiplied, so that no row repeats its text.
-    cut = found.where(F.size("c") > 0).select(key, F.expr(f"""transform(c, x -> named_struct(
-        'candidate', x, 'start', cast(instr(text, x) as long),
-        'n_found', cast((length(text) - length(replace(text, x, ''))) div length(x) as long),
-        'before', substring(text, greatest(1, instr(text, x) - {BEFORE}), least({BEFORE}, instr(text, x) - 1)),
-        'after', substring(text, instr(text, x) + length(x), {AFTER})))""").alias("c"))
-    return cut.select(key, F.explode("c").alias("c")).select(key, "c.*")
+    return marked.selectExpr("row", key, f"""inline(transform(filter(array_distinct(concat({', '.join(spans)})), x -> x.size > 0),
+        x -> named_struct('candidate', substring(t, x.start, x.size), 'start', cast(x.start as long),
+            'before', substring(t, greatest(1, x.start - {BEFORE}), least({BEFORE}, x.start - 1)),
+            'after', substring(t, x.start + x.size, {AFTER}))))""")
 
 
 def with_features(found: DataFrame) -> DataFrame:
@@ -139,15 +154,21 @@ def train(findings: DataFrame) -> PipelineModel:
 def find_secrets(docs: DataFrame, model: PipelineModel) -> DataFrame:
     """doc_id, secret, start, n_found, before and probability of each secret the forest confirms.
 
-    One row per document and distinct value, with the place of its first
-    occurrence (from 1) and the number of occurrences.  Null and empty texts
-    have none; null ids and repeated rows are scanned like any other; an empty
-    table gives an empty result; other columns are ignored.
+    Every occurrence is judged in its own context; a value is a secret if one
+    of them is confirmed.  One row per row of ``docs`` and distinct value, with
+    the place of the first confirmed occurrence (from 1), the number of its
+    occurrences, confirmed or not, and the highest probability.  Null and empty
+    texts have none; null ids and repeated rows are scanned like any other; an
+    empty table gives an empty result; other columns are ignored.
     """
     scored = model.transform(with_features(candidates(docs, "doc_id")))
-    return scored.where("prediction = 1").select(
-        "doc_id", F.col("candidate").alias("secret"), "start", "n_found", "before",
-        F.round(vector_to_array("probability")[1], 6).alias("probability"))
+    first = F.when(F.col("prediction") == 1, F.struct("start", "before"))
+    found = scored.groupBy("row", "doc_id", "candidate").agg(
+        F.min(first).alias("first"), F.count(F.lit(1)).alias("n_found"),
+        F.max(vector_to_array("probability")[1]).alias("probability"))
+    return found.where("first is not null").select(
+        "doc_id", F.col("candidate").alias("secret"), "first.start", "n_found", "first.before",
+        F.round("probability", 6).alias("probability"))
 
 
 def redact(docs: DataFrame, secrets: DataFrame, mark: str = "[SECRET]") -> DataFrame:

@@ -322,6 +322,19 @@ def test_secrets(spark):
     assert clean[0] == 'set token = "[SECRET]" now' and all(clean[i] == texts[i] for i in range(1, len(texts)))
 
 
+def test_secrets_at_a_later_place(spark):
+    model = secrets.train(secrets.example_findings(spark))
+    value = "5f3a9c0e77b1d2468ace13579bdf02468ace1357"
+    texts = [f'commit {value} fixes it; set token = "{value}" now', f"commit {value} and commit {value}",
+             f'\x01é commit {value} ' * 30 + f'token = "{value}"', f'token = "{value}"', f"{value}"]
+    found = {r["doc_id"]: r for r in secrets.find_secrets(
+        spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    assert set(found) == {0, 2, 3} and [found[i]["n_found"] for i in (0, 2, 3)] == [2, 31, 1]
+    assert all(texts[i][r["start"] - 10:][:49] == f'token = "{value}' for i, r in found.items())
+    inside = spark.createDataFrame([(0, "abcK3k9Qm2Lpx7 is no value, token: K3k9Qm2Lpx7")], "doc_id long, text string")
+    assert [r["start"] for r in secrets.candidates(inside, "doc_id").collect()] == [36]
+
+
 def test_neighbours_recall(spark):
     import pandas as pd
 
