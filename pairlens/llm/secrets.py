@@ -1,8 +1,9 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
 DataFrame functions and the JVM's random forest only.  A candidate is a run of
-key characters with a digit in it, or the value of an assignment to a word such
-as ``token`` or ``password``.  The forest sees its length and character
+key characters with a digit in it, the value of an assignment to a word such as
+``token``, ``password`` or ``secret_key``, what an Authorization header bears,
+or the password of a URL.  The forest sees its length and character
 transitions, how much of it dictionary words cover, whether it is part of a
 path, and the neighbouring words; it is trained from labelled findings.
 """
@@ -30,16 +31,22 @@ LONGEST = 4_096
 #: What stands before a value, and the value itself with the character before it.
 PATTERNS = [
     (r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,64}[0-9])(?=[A-Za-z0-9+/_-]{16})", r"(?s)^.?([A-Za-z0-9+/_-]{16,}={0,2})"),
-    (r"""(?i)(?:token|secret|passw(?:or)?d|pwd|api_?key|auth|credential)["']?\s{0,3}[:=]\s{0,3}["']?(?=[A-Za-z0-9+/_=!@#$%^&*.~-]{8})""",
-     r"(?s)^.([A-Za-z0-9+/_=!@#$%^&*.~-]{8,})"),
+    # An assignment: the keyword, words joined to it, a sign; a quoted value goes to the quote.
+    (r"""(?i)(?:token|secret|passw(?:or)?d|passphrase|passcode|pwd|(?:api|access|private|signing|encryption|master|account|shared)[ _.-]?key"""
+     r"""|auth(?:orization)?|credential|bearer)s?(?:[_.-][a-z0-9]{1,20}|[ _.-]?(?:key|token|value|phrase|code)){0,4}"""
+     r"""["']?\s{0,3}(?::=|=>|[:=])\s{0,3}["']?(?=[^\s"']{4})""",
+     r"""(?s)^.((?<=["\x27])[^\s"\x27]{4,}|(?<!["\x27])[^\s"\x27,;<>(){}\[\]]{3,}[^\s"\x27,;.:<>(){}\[\]])"""),
+    # What an Authorization header bears, and the password of a URL.
+    (r"(?i)\b(?:bearer|basic)\s{1,3}(?=[A-Za-z0-9._~+/-]{8})", r"(?s)^.([A-Za-z0-9._~+/-]{7,}[A-Za-z0-9_~+/-]={0,2})"),
+    (r"""://[^\s/:@"'<>]{0,80}:(?=[^\s/@"'<>]{3,200}@)""", r"""(?s)^.([^\s/@"\x27<>]{3,200})@"""),
 ]
 #: Neighbouring words for and against, and pieces of plain words.
-_FOR = r"(?i)(token|secret|passw(or)?d|pwd|key|auth|bearer|credential|private|access|client)"
+_FOR = r"(?i)(token|secret|passw(or)?d|passphrase|passcode|pwd|key|auth|bearer|credential|private|access|client)"
 _AGAINST = r"(?i)(sha\d*|md5|checksum|digest|hash|commit|rev(ision)?|uuid|guid|etag|version|build|isbn|order|invoice|page|card|tracking|integrity|example|placeholder|id)\b"
 _PLAIN = r"(?i)(example|placeholder|changeme|sample|dummy|demo|test|your|here|password|secret|token|key|api|version|release|candidate|article|image|index|page|user|file|name|data|home|news|post|blog|item|list|date|time|config|admin|guide|about|product|long|title|with|from|that|this|and|the|for|ing|tion|ment|able|er|in|on|an)"
 
 FEATURES = ["size", "kinds", "digits", "upper", "lower", "vowels", "transitions", "hex", "covered", "same", "uuid",
-            "number", "slashes", "in_path", "assigned", "said_for", "said_against"]
+            "number", "slashes", "in_path", "assigned", "said_for", "said_against", "symbols", "in_url", "bearer"]
 
 
 def candidates(rows: DataFrame, key: str) -> DataFrame:
@@ -85,6 +92,9 @@ def with_features(found: DataFrame) -> DataFrame:
         "slashes": share("[/_-]"),
         "in_path": flag(F.col("before").rlike(r"(://\S*|/)$") | c.rlike("^/|/.*/") | F.col("after").rlike(r"^(/|\.[a-z]{2,4}\b)")),
         "assigned": flag(F.col("before").rlike(r"""[:=]\s{0,3}["']?$""")),
+        "symbols": share("[^A-Za-z0-9]"),
+        "in_url": flag(F.col("before").rlike(r"://[^\s/:@]*:$") & F.col("after").startswith("@")),
+        "bearer": flag(F.col("before").rlike(r"(?i)\b(bearer|basic)\s+$")),
         "said_for": flag(near.rlike(_FOR)), "said_against": flag(near.rlike(_AGAINST)),
     }).selectExpr("inline(array(struct(*)))")  # computed once, not again in each use
 
@@ -92,9 +102,10 @@ def with_features(found: DataFrame) -> DataFrame:
 def example_findings(spark: SparkSession, n: int = EXAMPLES) -> DataFrame:
     """(id, text, candidate, label): generated labelled findings, the same in every session.
 
-    Label 1: keys, tokens and passwords in assignments, headers and with known
-    prefixes.  Label 0: checksums, commits, uuids, numbers, paths, slugs,
-    placeholders and long words with digits.
+    Label 1: keys, tokens and passwords in assignments, headers and URLs and
+    with known prefixes.  Label 0: checksums, commits, uuids, numbers, paths,
+    slugs, placeholders, long words with digits, and words, variables and
+    addresses that are assigned to such keywords.
     """
     rows = spark.range(n).select(
         F.col("id"), (F.col("id") % 2).cast("int").alias("label"),
@@ -105,6 +116,8 @@ def example_findings(spark: SparkSession, n: int = EXAMPLES) -> DataFrame:
         "b64": F.substring(F.regexp_replace(F.base64(F.unhex("a")), r"[\r\n]", ""), 1, 40),
         "pad": F.concat_ws(" ", F.translate(F.substring("b", 40, 7), "0123456789", "aeioulnrst"),
                            F.translate(F.substring("b", 50, 5), "0123456789", "aeioulnrst")),
+        "letters": F.translate(F.base64(F.unhex("b")), "0123456789+/=\r\n", "qwzxkvjbnmhpr"),
+        "mixed": F.translate(F.base64(F.unhex("b")), "+/=\r\n", "xy"),
         "digits": F.translate(F.substring("b", 60, 16), "abcdef", "012345"),
         "word": F.translate(F.substring("a", 70, 9), "0123456789", "aeioulnrst"),
         "quote": F.when(F.col("id") % 4 < 2, '"').otherwise(""),
@@ -119,7 +132,21 @@ def example_findings(spark: SparkSession, n: int = EXAMPLES) -> DataFrame:
            """named_struct('p', 'key ', 'c', concat('AKIA', upper(translate(substring(a, 1, 16), '01', 'XY'))))""",
            """named_struct('p', 'use ', 'c', concat('ghp_', substring(replace(replace(b64, '+', 'p'), '/', 'q'), 1, 36)))""",
            """named_struct('p', concat('client_secret', sign, quote), 'c', hex64)""",
-           """named_struct('p', concat('access_key', sign, quote), 'c', b64)"""]
+           """named_struct('p', concat('access_key', sign, quote), 'c', b64)""",
+           """named_struct('p', concat('SECRET_KEY', sign, quote), 'c', concat(substring(word, 1, 6), substring(digits, 1, 1), substring(word, 6, 4), '!'))""",
+           """named_struct('p', concat('secret_key', sign, quote), 'c', substring(letters, 1, 24))""",
+           """named_struct('p', concat('aws_secret_access_key', sign, quote), 'c', substring(letters, 3, 40))""",
+           """named_struct('p', concat('api-key', sign, quote), 'c', substring(mixed, 5, 10))""",
+           """named_struct('p', concat('passphrase', sign, quote), 'c', concat(substring(word, 1, 7), '.', initcap(substring(word, 4, 5)), substring(digits, 2, 1)))""",
+           """named_struct('p', concat('password', sign, quote), 'c', concat(initcap(substring(word, 1, 2)), substring(digits, 3, 1), substring('!?#$%&*@', cast(i % 8 as int) + 1, 1), substring(word, 3, 3)))""",
+           """named_struct('p', 'Authorization: Bearer ', 'c', substring(letters, 1, 32))""",
+           """named_struct('p', 'Authorization: Bearer ', 'c', lower(substring(letters, 5, 32)))""",
+           """named_struct('p', concat('postgres://', substring(word, 2, 5), ':'), 'c', substring(mixed, 7, 9))""",
+           """named_struct('p', concat('https://', substring(word, 2, 5), ':'), 'c', concat(substring(word, 1, 6), substring(digits, 4, 2), '!'))""",
+           """named_struct('p', concat('db_password', sign, quote), 'c', substring(mixed, 11, 8))""",
+           """named_struct('p', concat('private_key', sign, quote), 'c', substring(mixed, 2, 40))""",
+           """named_struct('p', concat('pwd', sign, quote), 'c', concat(substring(word, 1, 5), substring(digits, 1, 3)))""",
+           """named_struct('p', concat('auth_token', sign, quote), 'c', lower(substring(letters, 1, 20)))"""]
     no = ["""named_struct('p', 'commit ', 'c', hex40)""", """named_struct('p', concat('sha256', sign), 'c', hex64)""",
           """named_struct('p', concat('md5', sign), 'c', hex32)""", """named_struct('p', 'checksum ', 'c', hex40)""",
           """named_struct('p', concat('id', sign, quote), 'c', concat_ws('-', substring(a, 1, 8), substring(a, 9, 4),
@@ -133,11 +160,29 @@ def example_findings(spark: SparkSession, n: int = EXAMPLES) -> DataFrame:
           """named_struct('p', 'the ', 'c', concat('release-candidate-version-', substring(digits, 1, 2)))""",
           """named_struct('p', concat(word, ' '), 'c', concat(word, word, substring(digits, 1, 1)))""",
           """named_struct('p', 'build ', 'c', concat(substring(digits, 1, 8), '-', substring(digits, 9, 6), '-', substring(a, 1, 7)))""",
-          """named_struct('p', 'order ', 'c', concat(substring(digits, 1, 4), '-', substring(digits, 5, 4), '-', substring(digits, 9, 4), '-', substring(digits, 1, 4)))"""]
+          """named_struct('p', 'order ', 'c', concat(substring(digits, 1, 4), '-', substring(digits, 5, 4), '-', substring(digits, 9, 4), '-', substring(digits, 1, 4)))""",
+          """named_struct('p', concat('password', sign, quote), 'c', substring(word, 1, cast(4 + i % 6 as int)))""",
+          """named_struct('p', concat('secret', sign, quote), 'c', initcap(substring(word, 1, cast(4 + i % 6 as int))))""",
+          """named_struct('p', concat('secret_key', sign, quote), 'c', concat('your_', substring(word, 1, 6), '_here'))""",
+          """named_struct('p', concat('api-key', sign, quote), 'c', 'your-api-key')""",
+          """named_struct('p', concat('token', sign), 'c', element_at(array('none', 'null', 'None', 'true', 'required', 'undefined'), cast(i % 6 as int) + 1))""",
+          """named_struct('p', concat('password', sign, quote), 'c', repeat(substring('*x.-', cast(i % 4 as int) + 1, 1), cast(4 + i % 9 as int)))""",
+          """named_struct('p', concat('password', sign), 'c', concat(element_at(array('config', 'self', 'settings', 'os'), cast(i % 4 as int) + 1), '.', substring(word, 1, 7)))""",
+          """named_struct('p', concat('password', sign), 'c', concat(element_at(array('$', '$DB_', '%', '&'), cast(i % 4 as int) + 1), upper(substring(word, 1, 7))))""",
+          """named_struct('p', 'Authorization: ', 'c', element_at(array('Bearer', 'Basic', 'Digest', 'Token'), cast(i % 4 as int) + 1))""",
+          """named_struct('p', 'Bearer ', 'c', element_at(array('authentication', 'authorization', 'certificate', 'securities'), cast(i % 4 as int) + 1))""",
+          """named_struct('p', 'basic ', 'c', concat(word, substring(word, 1, cast(i % 5 as int))))""",
+          """named_struct('p', 'https://user:', 'c', element_at(array('password', 'pass', '$PASSWORD', 'secret'), cast(i % 4 as int) + 1))""",
+          """named_struct('p', concat('tokens', sign), 'c', substring(digits, 1, cast(4 + i % 3 as int)))""",
+          """named_struct('p', concat('auth', sign), 'c', concat('https://www.', word, '.example/', substring(word, 1, 4)))""",
+          """named_struct('p', concat('passwords', sign), 'c', concat(word, '-', substring(word, 1, 5)))""",
+          """named_struct('p', concat(word, ' '), 'c', hex40)""", """named_struct('p', concat(word, ' '), 'c', hex32)""",
+          """named_struct('p', '', 'c', hex64)"""]
     pick = F.expr(f"if(label = 1, element_at(array({', '.join(yes)}), cast(i % {len(yes)} as int) + 1), "
                   f"element_at(array({', '.join(no)}), cast(i % {len(no)} as int) + 1))")
     return rows.select("*", pick.alias("x")).selectExpr("inline(array(struct(*)))").select(
-        "id", F.concat("pad", F.lit(" "), "x.p", "x.c", "quote", F.lit(" "), "word").alias("text"),
+        "id", F.concat("pad", F.lit(" "), "x.p", "x.c", F.when(F.col("x.p").rlike("://[^/]*:$"), "@db.host").otherwise(F.col("quote")),
+                       F.lit(" "), "word").alias("text"),
         F.col("x.c").alias("candidate"), "label")
 
 

@@ -335,6 +335,23 @@ def test_secrets_at_a_later_place(spark):
     assert [r["start"] for r in secrets.candidates(inside, "doc_id").collect()] == [36]
 
 
+def test_secrets_of_every_form(spark):
+    model = secrets.train(secrets.example_findings(spark))
+    forty, bearer = "wJalrXUtnFEMIKbPxRfiCYEXAMqLEKEYabcdefgh", "mFqzBtKwPlXcVnRjHsDgYaTeUoIkZbQw"
+    forms = [('SECRET_KEY = "%s"', "hunter2pass!"), ("secret_key: %s", "abcdEFGHijklMNOPqrstUVWX"),
+             ("aws_secret_access_key = %s", forty), ("api-key: %s", "Zk3k9Qm2Lp"), ("passphrase = %s", "correct.Horse9"),
+             ("password: %s", "Ab1!xyz"), ("Authorization: Bearer %s", bearer), ("postgres://admin:%s@host", "S3cr3tPw9")]
+    plain = ["password: required", "token = none", "secret: garden", "Bearer authentication is used", "tokens: 2048",
+             "password = config.password", "secret_key: your_secret_here", "https://user:password@host", "password: ********"]
+    texts = [f % v for f, v in forms] + [f"so it is, {f % v} and so on" for f, v in forms] + plain
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = secrets.find_secrets(rows, model)
+    got = {r["doc_id"]: r["secret"] for r in found.collect()}
+    assert got == {i: forms[i % len(forms)][1] for i in range(2 * len(forms))}
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(rows, found).collect()}
+    assert all(clean[i] == f % "[SECRET]" for i, (f, _) in enumerate(forms))
+
+
 def test_neighbours_recall(spark):
     import pandas as pd
 
