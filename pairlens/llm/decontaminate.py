@@ -3,7 +3,8 @@
 Texts are reduced to templates: numbers, names and units become typed
 placeholders, all other words are lower-cased.  Windows of five template words
 are hash-joined with those of the benchmark.  A document holds an item when
-windows on nearly one diagonal cover 80 % of the item's, and either the words
+windows in the item's order, with any number of words between them, cover 80 %
+of the item's, and either the words
 are the item's own or the slots agree: along one alignment every value of the
 item must stand for one value of the document, which finds a question asked
 again with other numbers and names and leaves alone texts that merely share its
@@ -20,8 +21,6 @@ from pairlens.llm.common import small_side, stored
 WINDOW = 5
 #: Least share of an item's windows that a document must hold.
 SHARE = 0.8
-#: Places by which windows of one stretch may be out of step (inserted or missing words).
-DRIFT = 16
 #: Benchmark windows up to which they are broadcast (20 bytes each); more are shuffled.
 BROADCAST_WINDOWS = 500_000
 
@@ -102,13 +101,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     few = known.count() <= BROADCAST_WINDOWS
     texts = docs.where("doc_id is not null").select("doc_id", "text")
     hits = windows(templates(texts, "doc_id"), "doc_id").join(F.broadcast(known) if few else known, "window")
-    # Two sets of stretches, half a drift apart, so that no stretch is cut by a border of both.
-    shift = F.col("place") - F.col("item_place")
-    stretches = F.array(F.floor(shift / DRIFT) * 2, F.floor((shift + DRIFT // 2) / DRIFT) * 2 + 1)
-    places = hits.select("doc_id", "item_id", "item_place", F.explode(stretches).alias("stretch")).distinct()
-    held = places.groupBy("doc_id", "item_id", "stretch").agg(F.count(F.lit(1)).alias("n_windows"))
+    held = hits.select("doc_id", "item_id", "item_place").distinct().groupBy("doc_id", "item_id").agg(
+        F.count(F.lit(1)).alias("n_windows"))
     held = held.join(totals, "item_id").where(F.col("n_windows") >= SHARE * F.col("total"))
-    held = stored(held.select("doc_id", "item_id", "total").distinct(), "held-items")
+    held = stored(held.select("doc_id", "item_id", "total"), "held-items")
     best = _aligned(held, texts, items, few).groupBy("doc_id", "item_id").agg(
         F.max("n_windows").alias("n_windows"), F.max("share").alias("share"),
         F.max_by("kind", F.struct("n_windows", "kind")).alias("kind"))

@@ -230,6 +230,21 @@ def test_leaks_with_windows_that_come_again(spark):
     assert leaks_of(spark, mixed, [other, other + " " + mixed]) == {1: "verbatim"}
 
 
+def test_leaks_with_long_insertions(spark):
+    words = [f"{a}{b}" for a in ("bal", "cor", "dem", "fin", "gor", "hul") for b in ("an", "es", "it", "om", "ur", "ax", "el", "ig", "op", "yt")][:59]
+    words[9], words[40], words[50] = "12", "7", "12"
+    notice = [f"notice{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(400)]
+    other = ["33" if w == "12" else "5" if w == "7" else w for w in words]
+    texts, kinds = [], {}
+    for n in (12, 17, 60, 400):
+        for k in range(0, 16, 5):
+            for copy, kind in ((words, "verbatim"), (other, "reparameterised")):
+                kinds[len(texts)] = kind
+                texts.append(" ".join(["so"] * k + copy[:30] + notice[:n] + copy[30:]))
+    texts.append(" ".join(words[30:] + notice[:17] + words[:30]).replace(words[30], "or"))  # not in order
+    assert leaks_of(spark, " ".join(words), texts) == kinds
+
+
 def test_network_gradients():
     rng = np.random.default_rng(0)
     a = {"W": None, "U": rng.normal(0, .4, (2, toxicity.HIDDEN, 3 * toxicity.HIDDEN)), "v": rng.normal(0, .4, 2 * toxicity.HIDDEN),
