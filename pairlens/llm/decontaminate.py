@@ -13,7 +13,7 @@ phrases.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairlens.llm.common import small_side, stored
@@ -30,9 +30,18 @@ UNITS = """kg g mg t lb lbs oz km m cm mm mi ft yd inch inches l ml cl s ms min
     kilometer kilometers kilometre kilometres mile miles foot feet gram grams kilogram kilograms liter liters
     litre litres second seconds minute minutes hour hours day days week weeks month months year years""".split()
 
-_MARK = "\x01"
+#: Words that begin questions and sentences.
+OPENERS = """a after all an and are as at before but by can did do does each every find for from give had has have he her
+    his how i if in is it its let many my no not of on or our she so some that the their then there these they this
+    those to was we were what when where which while who whom whose why will with you your der die das ein eine wenn
+    wie was wer wo el la los las un una si que quien como cuando donde cuantos le les une quel quelle quand comment
+    combien qui""".split()
+
+_MARK, _OPENING = "\x01", "\x02"
 # A capitalised word inside a sentence: after a small letter or comma and one blank.
 _NAME = r"(?<=[\p{Ll},;] )\p{Lu}\p{Ll}+"
+# A capitalised word anywhere else.
+_CAPITAL = rf"\p{{Lu}}(?<![\p{{L}}\p{{N}}{_MARK}]\p{{Lu}})\p{{Ll}}+"
 
 
 def _once(df: DataFrame, *exprs: str) -> DataFrame:
@@ -40,31 +49,66 @@ def _once(df: DataFrame, *exprs: str) -> DataFrame:
     return df.selectExpr(f"inline(array(struct({', '.join(exprs)})))")
 
 
-def templates(rows: DataFrame, key: str) -> DataFrame:
-    """(key, words, literal, inside): a row's words and what each stands for, at equal places.
+def ordinary_words(benchmark: DataFrame, docs: DataFrame) -> list[str]:
+    """The benchmark's words that are no names where they begin a sentence, in small letters.
 
-    ``literal`` has placeholders for numbers and units, ``inside`` for names too.
-    A text most of whose words look like names is in title case, and its words
+    They are written in small letters at least as often as with a capital
+    outside of sentences, counted over all texts, or are fixed ones.
+    """
+    def counted(texts: DataFrame, *conditions: Column) -> DataFrame:
+        marked = F.regexp_replace(F.regexp_replace("text", _NAME, _MARK + "$0"), _CAPITAL, _OPENING + "$0") if not conditions else F.col("text")
+        sign = "" if conditions else f"[{_MARK}{_OPENING}]?"
+        words = texts.select(F.explode(F.regexp_extract_all(marked, F.lit(rf"{sign}\p{{L}}+"), F.lit(0))).alias("w"))
+        for condition in conditions:
+            words = words.where(condition)
+        return words.groupBy("w").count()
+
+    small: dict[str, int] = {}
+    capital: dict[str, int] = {}
+    for r in counted(benchmark).collect():
+        if r["w"][0] == _OPENING:
+            capital[r["w"][1:].lower()] = capital.get(r["w"][1:].lower(), 0) + r["count"]
+        elif r["w"][0] != _MARK and r["w"].islower():
+            small[r["w"]] = r["count"]
+    unsure = sorted(set(capital) - set(OPENERS))
+    if unsure:
+        asked = [x for w in unsure for x in (w, w.capitalize())]
+        for r in counted(docs, F.col("w").isin(asked)).collect():
+            kind = small if r["w"].islower() else capital
+            kind[r["w"].lower()] = kind.get(r["w"].lower(), 0) + r["count"]
+    return sorted({w for w in small if small[w] >= capital.get(w, 0)} | set(OPENERS))
+
+
+def templates(rows: DataFrame, key: str, ordinary: list[str]) -> DataFrame:
+    """(key, words, literal, inside, named): a row's words and what each stands for, at equal places.
+
+    ``literal`` has placeholders for numbers and units, ``inside`` for names
+    inside sentences too, ``named`` also for capitalised words anywhere else
+    that are not among the ``ordinary`` ones.  A text most of whose words look like names is in title case, and its words
     are taken literally.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     joined = F.when(text.rlike(r"\d[.,]\d"), F.regexp_replace(text, r"(?<=\d)[.,](?=\d)", "")).otherwise(text)
-    joined = F.regexp_replace(joined, _NAME, _MARK + "$0")
+    joined = F.regexp_replace(F.regexp_replace(joined, _NAME, _MARK + "$0"), _CAPITAL, _OPENING + "$0")
+    known = ", ".join(f"'{w}'" for w in ordinary)
     units = ", ".join(f"'{u}'" for u in UNITS)
     out = _once(rows.select(F.col(key).cast("long").alias(key), F.lower(joined).alias("t")),
-                key, rf"array_remove(split(t, r'[^\p{{L}}\p{{N}}{_MARK}]+'), '') as raw")
-    out = _once(out, key, "raw", f"transform(raw, x -> ltrim('{_MARK}', x)) as words",
+                key, rf"array_remove(split(t, r'[^\p{{L}}\p{{N}}{_MARK}{_OPENING}]+'), '') as raw")
+    out = _once(out, key, "raw", f"transform(raw, x -> ltrim('{_MARK}{_OPENING}', x)) as words",
                 f"2 * size(filter(raw, x -> startswith(x, '{_MARK}'))) > size(raw) as titled")
     out = _once(out, key, "raw", "words", "titled", f"""transform(words, (x, i) -> case
         when x >= '0' and x < ':' then '<number>'
         when i > 0 and words[i - 1] >= '0' and words[i - 1] < ':' and x in ({units}) then '<unit>'
         else x end) as literal""")
-    return _once(out, key, "words", "literal", f"""if(titled, literal, transform(raw, (x, i) ->
-        if(startswith(x, '{_MARK}'), '<name>', literal[i]))) as inside""")
+    out = _once(out, key, "words", "literal", f"""if(titled, literal, transform(raw, (x, i) ->
+        if(startswith(x, '{_MARK}'), '<name>', literal[i]))) as inside""", f"""transform(raw, (x, i) ->
+        if(startswith(x, '{_MARK}') or (startswith(x, '{_OPENING}') and not words[i] in ({known})), '<name>', literal[i])) as named""")
+    return _once(out, key, "words", "literal", "inside",
+                 "if(2 * size(filter(named, x -> x = '<name>')) > size(named), literal, named) as named")
 
 
 #: The readings of a text whose windows are hashed, the usual one first.
-READINGS = ["inside", "literal"]
+READINGS = ["inside", "literal", "named"]
 
 
 def windows(templated: DataFrame, key: str, said: bool = False) -> DataFrame:
@@ -95,23 +139,25 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     parts of one text or item; empty tables give an empty result; other columns
     are ignored.
     """
-    items = templates(benchmark.where("item_id is not null").select("item_id", "text"), "item_id")
+    texts = docs.where("doc_id is not null").select("doc_id", "text")
+    items = benchmark.where("item_id is not null").select("item_id", "text")
+    ordinary = ordinary_words(items, texts)
+    items = templates(items, "item_id", ordinary)
     known = stored(windows(items, "item_id").distinct().withColumnRenamed("place", "item_place"), "item-windows")
     totals = known.groupBy("item_id").agg(F.countDistinct("item_place").alias("total"))
     few = known.count() <= BROADCAST_WINDOWS
-    texts = docs.where("doc_id is not null").select("doc_id", "text")
-    hits = windows(templates(texts, "doc_id"), "doc_id").join(F.broadcast(known) if few else known, "window")
+    hits = windows(templates(texts, "doc_id", ordinary), "doc_id").join(F.broadcast(known) if few else known, "window")
     held = hits.select("doc_id", "item_id", "item_place").distinct().groupBy("doc_id", "item_id").agg(
         F.count(F.lit(1)).alias("n_windows"))
     held = held.join(totals, "item_id").where(F.col("n_windows") >= SHARE * F.col("total"))
     held = stored(held.select("doc_id", "item_id", "total"), "held-items")
-    best = _aligned(held, texts, items, few).groupBy("doc_id", "item_id").agg(
+    best = _aligned(held, texts, items, ordinary, few).groupBy("doc_id", "item_id").agg(
         F.max("n_windows").alias("n_windows"), F.max("share").alias("share"),
         F.max_by("kind", F.struct("n_windows", "kind")).alias("kind"))
     return best.select("doc_id", "item_id", F.col("n_windows").cast("long").alias("n_windows"), "share", "kind")
 
 
-def _aligned(held: DataFrame, texts: DataFrame, items: DataFrame, few: bool) -> DataFrame:
+def _aligned(held: DataFrame, texts: DataFrame, items: DataFrame, ordinary: list[str], few: bool) -> DataFrame:
     """doc_id, item_id, n_windows, share and kind of each alignment that shows an item of ``held`` in its document.
 
     Either the item's own words stand in the document in the item's order, or
@@ -120,7 +166,7 @@ def _aligned(held: DataFrame, texts: DataFrame, items: DataFrame, few: bool) ->
     the nearest to it where the diagonal has none.
     """
     pair = ["doc_id", "item_id"]
-    read = stored(templates(texts.join(held.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id"), "held-texts")
+    read = stored(templates(texts.join(held.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id", ordinary), "held-texts")
     asked = windows(items, "item_id", said=True).join(held.select("item_id").distinct(), "item_id", "left_semi").select(
         "item_id", F.col("place").alias("item_place"), "window", F.col("said").alias("asked"), "kinds")
     hits = (windows(read, "doc_id", said=True).drop("kinds").join(F.broadcast(asked) if few else asked, "window")

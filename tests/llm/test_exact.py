@@ -245,6 +245,17 @@ def test_leaks_with_long_insertions(spark):
     assert leaks_of(spark, " ".join(words), texts) == kinds
 
 
+def test_leaks_whose_sentences_begin_with_names(spark):
+    item = "Alice has 3 apples. Bob has 5 pears. Carol buys 7 plums. How many fruits do the three of them have?"
+    other = "Dora has 8 apples. Emil has 2 pears. Frank buys 9 plums. How many fruits do the three of them have?"
+    texts = [other, item, item.lower(), "So. " + other.replace(". ", ".\n"), other.replace("How", "how").replace(". ", ": "),
+             other.replace("many fruits do the three", "few nuts will this one"), other + " " + item]
+    assert leaks_of(spark, item, texts) == {0: "reparameterised", 1: "verbatim", 2: "verbatim", 3: "reparameterised",
+                                            4: "reparameterised", 6: "verbatim"}
+    assert leaks_of(spark, "What is the capital of France?", ["Paris is the capital of Spain, they say.", "What is the capital of Spain?"]) \
+        == {1: "reparameterised"}
+
+
 def test_network_gradients():
     rng = np.random.default_rng(0)
     a = {"W": None, "U": rng.normal(0, .4, (2, toxicity.HIDDEN, 3 * toxicity.HIDDEN)), "v": rng.normal(0, .4, 2 * toxicity.HIDDEN),
