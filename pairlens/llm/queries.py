@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlens.llm import bpe, decontaminate, minhash, neighbours, pseudonyms, secrets, sharding, suffixes, toxicity, wrappers
+from pairlens.llm import bpe, decontaminate, minhash, neighbours, pseudonyms, secrets, sharding, spelling, suffixes, toxicity, wrappers
 from pairlens.llm.common import stored, table
 
 
@@ -68,6 +68,10 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_wrappers": op1_wrappers,
     "op2_bpe": op2_bpe,
@@ -79,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_neighbours": op9_neighbours,
     "op10_minhash": op10_minhash,
+    "op12_spelling": op12_spelling,
 }
 
 ORACLE: dict[str, str] = {}
