@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlens.llm import bpe, decontaminate, minhash, neighbours, pseudonyms, secrets, sharding, spelling, suffixes, toxicity, wrappers
+from pairlens.llm import (alignment, bpe, decontaminate, minhash, neighbours, pseudonyms, secrets, sharding, spelling,
+                          suffixes, toxicity, wrappers)
 from pairlens.llm.common import stored, table
 
 
@@ -72,6 +73,13 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.align_tokenizers(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                                      public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_wrappers": op1_wrappers,
     "op2_bpe": op2_bpe,
@@ -84,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_neighbours": op9_neighbours,
     "op10_minhash": op10_minhash,
     "op12_spelling": op12_spelling,
+    "op13_alignment": op13_alignment,
 }
 
 ORACLE: dict[str, str] = {}
