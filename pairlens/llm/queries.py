@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlens.llm import (alignment, bpe, decontaminate, minhash, neighbours, pseudonyms, secrets, sharding, spelling,
-                          suffixes, toxicity, wrappers)
+from pairlens.llm import (alignment, bpe, countjoin, decontaminate, minhash, neighbours, pseudonyms, secrets, sharding,
+                          spelling, suffixes, toxicity, wrappers)
 from pairlens.llm.common import stored, table
 
 
@@ -69,6 +69,10 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+def op11_countjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return countjoin.similarity_join(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
 
@@ -91,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_neighbours": op9_neighbours,
     "op10_minhash": op10_minhash,
+    "op11_countjoin": op11_countjoin,
     "op12_spelling": op12_spelling,
     "op13_alignment": op13_alignment,
 }
