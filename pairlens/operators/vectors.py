@@ -5,22 +5,31 @@
 the pair metrics need: the summed vector, its norm, the word sequence and
 the occurrence tags used by the multiset Jaccard.
 
+Sums do not depend on the order of addition.  A word vector is written as two
+fixed-point integers per component (``fixed_point``), whose sums are exact, so
+equal texts get bit-identical vectors on any partitioning and partial sums may
+be merged in any order: no task ever holds a list of vectors.
+
 Plan shape (one shuffle when the vocabulary is broadcastable):
 
 * questions are hash-partitioned on ``qid`` once; the per-question word
   counts and the final ``groupBy(qid)`` reuse that partitioning, and so does
   the later pair join on ``q1``;
-* the word-vector lookup is a left join on ``wid``.  The planner broadcasts
-  the vocabulary only when its measured size is under
-  ``spark.sql.autoBroadcastJoinThreshold``; beyond that it is a sort-merge
-  join and adaptive execution splits hot words (``the``) into several tasks;
 * words are counted per question first, so a word repeated in a text is
-  looked up once and added as ``count * vector``, in word-id order.
+  looked up once and added as ``count * vector``;
+* the word-vector lookup is a left join on ``wid``.  The vocabulary is broadcast
+  only when rows x components x 16 bytes, counted beforehand, stay under
+  ``spark.sql.autoBroadcastJoinThreshold``.  Beyond that both sides are shuffled
+  on ``wid``, adaptive execution splits hot words (``the``), and every task adds
+  up its part of the vocabulary per question before the sums are shuffled.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.feature import PCA
+import math
+from dataclasses import dataclass
+
+from pyspark.ml.feature import PCA, PCAModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,14 +39,75 @@ from pairlens.functions import metrics as M
 MISSING_MODES = ("zero", "truncate")
 
 
-def vector_dim(word_vec: DataFrame, col: str = "features") -> int:
-    """The one length of all word vectors; fails if they differ or there are none."""
-    low, high = word_vec.agg(F.min(F.size(col)), F.max(F.size(col))).first()
-    if low is None:
+#: Bits of each of the two parts of a fixed-point component.
+FIXED_BITS = 30
+
+
+@dataclass(frozen=True)
+class VectorFacts:
+    """What one pass over the word vectors tells: components, largest absolute value, rows."""
+
+    dim: int
+    largest: float
+    rows: int
+
+    @property
+    def exponent(self) -> int:
+        """The largest value is under 2 to this power."""
+        return max(math.frexp(self.largest)[1], FIXED_BITS - 1000)
+
+    @property
+    def fixed_bytes(self) -> int:
+        return self.rows * self.dim * 16
+
+
+def vector_facts(word_vec: DataFrame, col: str = "features") -> VectorFacts:
+    """Facts of the word vectors; fails if lengths differ, a component is not a finite number or there are none."""
+    size = F.transform(col, lambda x: F.abs(x))
+    odd = F.exists(col, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    low, high, largest, rows, n_odd = word_vec.agg(
+        F.min(F.size(col)), F.max(F.size(col)), F.max(F.array_max(size)), F.count(F.lit(1)),
+        F.sum((F.col(col).isNull() | odd).cast("long"))).first()
+    if not rows:
         raise ValueError("word vector table is empty")
+    if n_odd:
+        raise ValueError(f"{n_odd} word vectors are missing or hold a component that is not a finite number")
     if low != high:
         raise ValueError(f"word vectors have {low} to {high} components")
-    return int(low)
+    return VectorFacts(int(low), float(largest or 0.0), int(rows))
+
+
+def fixed_point(word_vec: DataFrame, facts: VectorFacts) -> DataFrame:
+    """(wid, high, low): components as ``(high + low / 2^30) * 2^(exponent - 30)`` with whole ``high`` and ``low``.
+
+    Scaling by powers of two is exact and the remainder of rounding is exact, so
+    a component is off by at most 2^-61 of the largest one's power of two, less
+    than its own rounding unless it is 2^8 times smaller than the largest.  Sums
+    of both parts fit 63 bits up to 2^33 words.
+    """
+    scale = 2.0 ** (FIXED_BITS - facts.exponent)
+    one = word_vec.groupBy("wid").agg(F.min("features").alias("v"))  # a repeated id counts once
+    return one.select(
+        "wid",
+        F.transform("v", lambda x: F.rint(x * scale).cast("bigint")).alias("high"),
+        F.transform("v", lambda x: F.rint((x * scale - F.rint(x * scale)) * 2.0 ** FIXED_BITS).cast("bigint")).alias("low"))
+
+
+def vector_sums(counts: DataFrame, word_vec: DataFrame, facts: VectorFacts) -> DataFrame:
+    """(qid, features, n_words, n_missing) of (qid, wid, c): exact sums of ``c`` times the word's vector."""
+    vectors = fixed_point(word_vec, facts).withColumn("known", F.lit(True))
+    limit = counts.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    joined = counts.join(F.broadcast(vectors) if facts.fixed_bytes <= limit else vectors, "wid", "left")
+    parts = [F.sum(F.col("c") * F.col(part)[i]).alias(f"_{part}{i}") for part in ("high", "low") for i in range(facts.dim)]
+    sums = joined.groupBy("qid").agg(
+        F.sum("c").cast("bigint").alias("n_words"),
+        F.sum(F.when(F.col("wid").isNotNull() & F.col("known").isNull(), F.col("c")).otherwise(0)).cast("bigint").alias("n_missing"),
+        *parts)
+    unit, small = 2.0 ** (facts.exponent - FIXED_BITS), 2.0 ** -FIXED_BITS
+    zero = F.lit(0).cast("bigint")
+    features = F.array(*[(F.coalesce(f"_high{i}", zero).cast("double") + F.coalesce(f"_low{i}", zero).cast("double") * small) * unit
+                         for i in range(facts.dim)])
+    return sums.select("qid", features.alias("features"), "n_words", "n_missing")
 
 
 def shuffle_partitions(df: DataFrame) -> int:
@@ -68,72 +138,90 @@ def word_counts(q: DataFrame) -> DataFrame:
              .groupBy("qid", "wid").agg(F.count("wid").alias("c")))
 
 
+def word_lists(counts: DataFrame) -> DataFrame:
+    """(qid, words, tags) of (qid, wid, c): the sorted distinct word ids, and 'w:1'..'w:c' for a word occurring c times.
+
+    The list of a question is bounded by its distinct words and holds no vectors.
+    """
+    listed = counts.groupBy("qid").agg(F.array_sort(F.collect_list(
+        F.when(F.col("wid").isNotNull(), F.struct("wid", "c")))).alias("_wc"))
+    tags = F.flatten(F.transform("_wc", lambda s: F.transform(
+        F.sequence(F.lit(1).cast("bigint"), s["c"]),
+        lambda j: F.concat(s["wid"].cast("string"), F.lit(":"), j.cast("string")))))
+    return listed.select("qid", F.transform("_wc", lambda s: s["wid"]).alias("words"), tags.alias("tags"))
+
+
+#: Columns of ``question_features`` by where they come from.
+_FROM_LISTS, _FROM_SUMS = ("words", "tags"), ("features", "n_words", "n_missing", "norm")
+
+
 def question_features(question: DataFrame, word_vec: DataFrame, *, missing: str = "zero",
-                      dim: int | None = None, partitions: int | None = None,
-                      sequence: bool = False) -> DataFrame:
+                      facts: VectorFacts | None = None, partitions: int | None = None,
+                      sequence: bool = False, columns: list[str] | None = None) -> DataFrame:
     """One row per question:
     qid, words, tags, features (array<double>), n_words, n_missing, norm
-    [, word_ids when ``sequence``].
+    [, word_ids when ``sequence``], or only qid and those of ``columns``.
 
     ``words`` is the sorted list of distinct word ids and ``tags`` holds
     'w:1'..'w:c' for a word occurring c times (see
     ``metrics.multiset_intersection_size``); both Jaccard variants need only
     these.  The ordered ``word_ids`` (edit distance) are joined back only on
-    request.
+    request.  Parts that ``columns`` does not name are not computed.
 
     ``missing='zero'``: a word without a vector adds nothing; a question with
     no such word (or no word) gets the zero vector.
     ``missing='truncate'``: reproduce the reference, where one missing word
     truncates the whole sum to its first component.
 
-    The vector is summed over the question's distinct words in word-id
-    order (count * vector), so equal word multisets give bit-identical
-    vectors whatever the partitioning; the reference's "euclidean" of two
-    identical questions is then Infinity, as there.  The list summed is
-    bounded by the question's distinct words.
+    Equal word multisets give bit-identical vectors whatever the partitioning
+    (exact sums); the reference's "euclidean" of two identical questions is then
+    Infinity, as there.
     """
     if missing not in MISSING_MODES:
         raise ValueError(f"missing must be one of {MISSING_MODES}")
-    k = dim if dim is not None else vector_dim(word_vec)
-    zero = F.array_repeat(F.lit(0.0), k)
+    wanted = [c for c in (columns or [*_FROM_LISTS, *_FROM_SUMS]) if c not in ("qid", "word_ids")]
     q = by_question(question, partitions)
     counts = word_counts(q)
-    vecs = word_vec.groupBy("wid").agg(F.min("features").alias("v"))  # a repeated id counts once
-    agg = (counts.join(vecs, "wid", "left")
-                 .groupBy("qid")
-                 .agg(F.array_sort(F.collect_list(F.when(F.col("wid").isNotNull(),
-                                                         F.struct("wid", "c", "v")))).alias("_wcv"),
-                      F.sum("c").cast("bigint").alias("n_words"),
-                      F.sum(F.when(F.col("wid").isNotNull() & F.col("v").isNull(), F.col("c"))
-                             .otherwise(0)).cast("bigint").alias("n_missing")))
-    summed = F.aggregate("_wcv", zero, lambda acc, s: F.when(s["v"].isNull(), acc).otherwise(
-        F.zip_with(acc, s["v"], lambda a, x: a + x * s["c"])))
-    tags = F.flatten(F.transform("_wcv", lambda s: F.transform(
-        F.sequence(F.lit(1).cast("bigint"), s["c"]),
-        lambda j: F.concat(s["wid"].cast("string"), F.lit(":"), j.cast("string")))))
-    features = summed
-    if missing == "truncate":
-        features = F.when(F.col("n_missing") > 0, F.slice(summed, 1, 1)).otherwise(summed)
-    out = agg.select("qid", F.transform("_wcv", lambda s: s["wid"]).alias("words"), tags.alias("tags"),
-                     features.alias("features"), "n_words", "n_missing")
-    out = out.withColumn("norm", M.norm("features"))
+    parts = []
     if sequence:
-        out = q.join(out, "qid")
-    return out
+        parts.append(q)
+    if any(c in _FROM_LISTS for c in wanted):
+        parts.append(word_lists(counts))
+    if any(c in _FROM_SUMS for c in wanted):
+        sums = vector_sums(counts, word_vec, facts or vector_facts(word_vec))
+        if missing == "truncate":
+            sums = sums.withColumn("features", F.when(F.col("n_missing") > 0, F.slice("features", 1, 1)).otherwise(F.col("features")))
+        parts.append(sums.withColumn("norm", M.norm("features")))
+    out = parts[0] if parts else q.select("qid")
+    for part in parts[1:]:
+        out = out.join(part, "qid")
+    return out.select("qid", *(["word_ids"] if sequence else []), *wanted)
+
+
+def fit_basis(word_vec: DataFrame, k: int) -> PCAModel:
+    """The first ``k`` principal components of the word vectors.
+
+    The covariance is aggregated on executors; only the d x d eigen-problem runs
+    on the driver.
+    """
+    return PCA(k=k, inputCol="_v", outputCol="_pc").fit(word_vec.select(array_to_vector("features").alias("_v")))
 
 
-def reduce_word_vectors(word_vec: DataFrame, k: int):
-    """PCA of the word vectors to ``k`` components -> (wid, features), model.
+def project(word_vec: DataFrame, basis: PCAModel) -> DataFrame:
+    """(wid, features) on the basis.
 
     Spark's PCA projects without centring, so reducing the word vectors and
     then summing per question equals summing then reducing; reducing first
-    is cheaper.  The covariance is aggregated on executors; only the d x d
-    eigen-problem runs on the driver.
+    is cheaper.
     """
     src = word_vec.select("wid", array_to_vector("features").alias("_v"))
-    model = PCA(k=k, inputCol="_v", outputCol="_pc").fit(src)
-    reduced = model.transform(src).select("wid", vector_to_array("_pc").alias("features"))
-    return reduced, model
+    return basis.transform(src).select("wid", vector_to_array("_pc").alias("features"))
+
+
+def reduce_word_vectors(word_vec: DataFrame, k: int) -> tuple[DataFrame, PCAModel]:
+    """PCA of the word vectors to ``k`` components -> (wid, features), basis."""
+    basis = fit_basis(word_vec, k)
+    return project(word_vec, basis), basis
 
 
 def question_vector_rows(qf: DataFrame) -> DataFrame:

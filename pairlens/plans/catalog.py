@@ -79,7 +79,7 @@ class Context:
         cols = tuple(P.question_columns(names))
         if cols not in self._cache:
             qf = question_features(self.question, self.word_vec, missing=self.missing,
-                                   sequence=P.needs_sequence(names))
+                                   sequence=P.needs_sequence(names), columns=list(cols))
             self._cache[cols] = reliable_checkpoint(qf.select(*cols))
         return self._cache[cols]
 
