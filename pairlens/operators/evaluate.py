@@ -11,18 +11,26 @@ over the scored rows.
 * ``accuracy``: share of rows with prediction = label (called "precision"
   in the reference's report).
 * ``auc``: exact area under the ROC curve with ties counted one half,
-  computed from per-score counts and a distributed running sum of
-  negatives (see ``operators.ordering``); no binning.
+  computed from per-score counts and a running sum of negatives, distributed
+  (see ``operators.ordering``) beyond ``ONE_TASK`` distinct scores; no binning.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark import keyword_only
+from pyspark.ml.evaluation import Evaluator
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairlens.operators.ordering import with_running_sum
+from pairlens.session import reliable_checkpoint
 
 EPS = 1e-15
+#: Distinct scores up to which one task adds up the counts (a few MB).
+ONE_TASK = 100_000
 
 
 def positive_logloss(scored: DataFrame) -> DataFrame:
@@ -49,18 +57,55 @@ def auc(scored: DataFrame, score: str | Column = "p1", label: str = "label") ->
     y = F.col(label).cast("int")
     per_score = scored.groupBy(s.alias("_s")).agg(
         F.sum((y == 1).cast("long")).alias("_pos"), F.sum((y == 0).cast("long")).alias("_neg"))
-    ranked = with_running_sum(per_score, [F.col("_s").asc()], F.col("_neg"), "_neg_upto")
+    ranked = _ranked(per_score)
     below = F.col("_neg_upto") - F.col("_neg")
     return ranked.agg(
         _area(below).alias("auc"), F.sum("_pos").alias("n_pos"), F.sum("_neg").alias("n_neg"))
 
 
+def _ranked(per_score: DataFrame) -> DataFrame:
+    """Adds ``_neg_upto``: the negatives with this score ``_s`` or a lower one."""
+    kept = reliable_checkpoint(per_score)
+    if kept.count() > ONE_TASK:
+        return with_running_sum(kept, [F.col("_s").asc()], F.col("_neg"), "_neg_upto")
+    upto = Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return kept.withColumn("_neg_upto", F.sum("_neg").over(upto))
+
+
 def _area(below: Column) -> Column:
     """NULL when one of the classes has no row."""
     pairs = F.sum("_pos") * F.sum("_neg")
     return F.try_divide(F.sum(F.col("_pos") * (below + 0.5 * F.col("_neg"))), F.nullif(pairs, F.lit(0)))
 
 
+class ExactAuc(Evaluator, DefaultParamsReadable, DefaultParamsWritable):
+    """Area under the ROC curve of a model's raw scores for model selection, from ranks instead of bins.
+
+    ``scoreCol`` is a number or a vector whose second component is the score of
+    class 1.  Rows of one class only tell nothing: the value is then 0.5, so a
+    search never prefers a point for it.
+    """
+
+    scoreCol = Param(Params._dummy(), "scoreCol", "score or raw prediction of class 1", TypeConverters.toString)
+    labelCol = Param(Params._dummy(), "labelCol", "label, 0 or 1", TypeConverters.toString)
+
+    @keyword_only
+    def __init__(self, *, scoreCol="rawPrediction", labelCol="label"):
+        super().__init__()
+        self._setDefault(scoreCol="rawPrediction", labelCol="label")
+        self._set(**self._input_kwargs)
+
+    def _evaluate(self, dataset: DataFrame) -> float:
+        name = self.getOrDefault(self.scoreCol)
+        is_number = dict(dataset.dtypes)[name] in ("double", "float", "int", "bigint")
+        score = F.col(name) if is_number else vector_to_array(name)[1]
+        value = auc(dataset, score, self.getOrDefault(self.labelCol)).first()["auc"]
+        return 0.5 if value is None else float(value)
+
+    def isLargerBetter(self) -> bool:
+        return True
+
+
 def report(scored: DataFrame, app: str, score: str | Column = "p1") -> DataFrame:
     """The reference's conclusion as rows (app, metric, value):
     logloss (reference definition), auc, precision (= accuracy)."""
@@ -72,7 +117,7 @@ def report(scored: DataFrame, app: str, score: str | Column = "p1") -> DataFrame
         F.count(F.lit(1)).alias("_n"), F.sum((predicted == y).cast("long")).alias("_hit"),
         F.sum((predicted == 1).cast("long")).alias("_yes"),
         F.sum(F.when(predicted == 1, -F.ln(F.col("p1")))).alias("_loss"))
-    ranked = with_running_sum(per_score, [F.col("_s").asc()], F.col("_neg"), "_neg_upto")
+    ranked = _ranked(per_score)
     one = ranked.agg(
         F.try_divide(F.sum("_loss"), F.nullif(F.sum("_yes"), F.lit(0))).alias("logloss"),
         _area(F.col("_neg_upto") - F.col("_neg")).alias("auc"),
