@@ -7,14 +7,20 @@ so the check covers writer and reader together.
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from pairlens.functions.dates import parse_time, render_time
+from pairlens.operators import components as C
 from pairlens.operators import evaluate as EV
 from pairlens.operators import pairs as P
 from pairlens.operators.split import with_fold, with_split
-from pairlens.operators.vectors import reduce_word_vectors
+from pairlens.operators.vectors import question_features, question_vector_rows, reduce_word_vectors
 from pairlens.plans import flows
+from pairlens.plans.scoring import PairScorer
 from pairlens.plans.catalog import Context, r6, register, with_unknown
 from pairlens.plans.models import PCA_K
 from pairlens.plans.oracle_sql import r6 as sql_r6
@@ -22,6 +28,7 @@ from pairlens.plans.oracle_sql import with_ctes
 from pairlens.schema import TIME_FORMAT
 from pairlens.session import scratch_path
 from pairlens.sinks import files as K
+from pairlens.sources import rejects as R
 from pairlens.sources import text_formats as S
 from pairlens.sources.profile import profile, profiles
 from pairlens.sources.testdata import prepare, table
@@ -83,6 +90,84 @@ def q_test_pair_text_roundtrip(spark, sf_dir):
     return S.read_test_pairs(spark, path)
 
 
+@register("char_embedding_roundtrip", with_ctes(
+    f"SELECT wid AS cid, dim, {sql_r6('x')} AS value FROM wv", "wv"))
+def q_char_embedding_roundtrip(spark, sf_dir):
+    """Character vectors (one per code point id) through their file format."""
+    path = scratch_path(spark, "char_embed")
+    vectors = prepare(spark, sf_dir).word_vec.withColumnRenamed("wid", "cid")
+    K.write_embeddings(vectors, path, id_col="cid", prefix=K.CHAR_PREFIX)
+    back = S.read_char_embeddings(spark, path)
+    return back.select("cid", F.posexplode("features").alias("dim", "value")) \
+        .select("cid", F.col("dim").cast("bigint").alias("dim"), r6("value").alias("value"))
+
+
+@register("question_char_vector", with_ctes(f"""
+SELECT q.qid, d.dim, {sql_r6('coalesce(s.value, 0.0)')} AS value FROM question q JOIN dims d ON TRUE LEFT JOIN (
+    SELECT c.doc_id, wv.dim, sum(wv.x) AS value FROM (
+        SELECT doc_id, unicode(unnest(string_split(text, ''))) AS cid FROM documents) c JOIN wv ON wv.wid = c.cid
+    GROUP BY c.doc_id, wv.dim) s ON s.doc_id = q.qid AND s.dim = d.dim""", "question", "dims", "wv"))
+def q_question_char_vector(spark, sf_dir):
+    """Sums of character vectors per question, by the same operator as for words."""
+    fx = prepare(spark, sf_dir)
+    chars = fx.question(with_chars=True).select("qid", F.col("char_ids").alias("word_ids"))
+    rows = question_vector_rows(question_features(chars, fx.word_vec, columns=["features"]))
+    return rows.select("qid", "dim", r6("value").alias("value"))
+
+
+def _broken_lines(spark, sf_dir):
+    """kind -> lines of its format, some of them headers or malformed, made from the tables."""
+    fx = prepare(spark, sf_dir)
+    vectors = fx.word_vec.select(F.col("wid").cast("string").alias("i"), "wid")
+    questions = fx.question().select(F.col("qid").cast("string").alias("i"), "qid")
+    pairs = fx.train_pair.select(F.col("q1").cast("string").alias("a"), F.col("q2").cast("string").alias("b"), "label", "q1")
+    line = lambda *parts: F.concat(*[F.lit(p) if p[:1] != "$" else F.col(p[1:]) for p in parts])
+    return {
+        "word_embed": vectors.select(F.when(F.expr("wid % 7 = 0"), line("W", "$i", " 0.5 abc 1"))
+                                     .when(F.expr("wid % 11 = 0"), line("Wx", "$i", " 0.5 1 2")).when(F.expr("wid % 13 = 0"), line("W", "$i"))
+                                     .otherwise(line("W", "$i", " 0.5 1 -2e3")).alias("value")),
+        "question": questions.select(F.when(F.expr("qid % 5 = 0"), line("Q-1", "$i", ",W1 W2,L1"))
+                                     .when(F.expr("qid % 6 = 0"), line("Q", "$i", ",W1 W2")).when(F.expr("qid % 7 = 0"), line("Q", "$i", ",W1 x W2,L1"))
+                                     .when(F.expr("qid % 11 = 0"), F.lit("qid,words,chars")).otherwise(line("Q", "$i", ",W1 W2,L1")).alias("value")),
+        "train": pairs.select(F.when(F.expr("q1 % 5 = 0"), line("yes,Q", "$a", ",Q", "$b")).when(F.expr("q1 % 6 = 0"), line("1,Q", "$a"))
+                              .when(F.expr("q1 % 7 = 0"), line("0,Q", "$a", ",", "$b", "Q")).when(F.expr("q1 % 11 = 0"), F.lit("label,q1,q2"))
+                              .otherwise(line("1,Q", "$a", ",Q", "$b")).alias("value")),
+        "test": pairs.select(F.when(F.expr("q1 % 5 = 0"), line("Q", "$a", ",Q")).when(F.expr("q1 % 6 = 0"), line("Q", "$a", ",Q", "$b", ",Q1"))
+                             .when(F.expr("q1 % 11 = 0"), F.lit("q1,q2")).otherwise(line("Q", "$a", ",Q", "$b")).alias("value")),
+    }
+
+
+def _rejected_sql():
+    cases = {"word_embed": ("word_vec", "wid % 7 = 0 number wid % 11 = 0 id wid % 13 = 0 fields"),
+             "question": ("question", "qid % 5 = 0 id qid % 6 = 0 fields qid % 7 = 0 list qid % 11 = 0 header"),
+             "train": ("train_pair", "q1 % 5 = 0 number q1 % 6 = 0 fields q1 % 7 = 0 id q1 % 11 = 0 header"),
+             "test": ("train_pair", "q1 % 5 = 0 id q1 % 6 = 0 fields q1 % 11 = 0 header")}
+    parts = []
+    for kind, (source, rule) in cases.items():
+        words = rule.split()
+        when = " ".join(f"WHEN {' '.join(words[i:i + 5])} THEN '{words[i + 5]}'" for i in range(0, len(words), 6))
+        parts.append(f"SELECT '{kind}' AS source, coalesce(reason, 'row') AS reason, count(*) AS n_lines, count(*) AS n_observed "
+                     f"FROM (SELECT CASE {when} END AS reason FROM {source}) GROUP BY reason")
+    return with_ctes(" UNION ALL ".join(parts), "word_vec", "question", "train_pair")
+
+
+@register("rejected_lines", _rejected_sql())
+def q_rejected_lines(spark, sf_dir):
+    """Lines per source and reason: counted on the lines themselves, and observed while the rows were written."""
+    out = []
+    for kind, lines in _broken_lines(spark, sf_dir).items():
+        path, rows_path = scratch_path(spark, f"{kind}_lines"), scratch_path(spark, f"{kind}_rows")
+        lines.write.text(path)
+        rows, counts = R.read_counted(spark, path, kind)
+        rows.write.parquet(rows_path)
+        seen = [(("row" if k == "n_rows" else k), n) for k, n in counts.get.items() if k != "n_lines" and n]
+        told = R.read_rejects(spark, path, kind).groupBy("reason").agg(F.count(F.lit(1)).alias("n_lines")).unionByName(
+            spark.read.parquet(rows_path).agg(F.lit("row").alias("reason"), F.count(F.lit(1)).alias("n_lines")))
+        out.append(told.join(spark.createDataFrame(seen, "reason string, n_observed bigint"), "reason", "full")
+                   .select(F.lit(kind).alias("source"), "reason", "n_lines", "n_observed"))
+    return reduce(lambda a, b: a.unionByName(b), out)
+
+
 def _rule_scored_train(spark, sf_dir):
     ctx = Context(spark, sf_dir)
     return EV.rule_scorer(ctx.features(["jaccard_set"]))
@@ -178,25 +263,29 @@ def q_eval_auc_one_class(spark, sf_dir):
     "OR greatest(abs(m.chebyshev), abs(m.manhattan), m.euclidean) > 1e6 THEN 1 ELSE 0 END)::BIGINT AS n_replaced "
     "FROM pmetric m JOIN pjac j ON j.q1 = m.q1 AND j.q2 = m.q2 GROUP BY m.label", "pmetric", "pjac"))
 def q_train_row_counts(spark, sf_dir):
-    """Rows in, rows that a fit uses, and rows whose features the finite rule changes, per label."""
+    """Rows in, rows whose assembled vector a fit receives, and rows that the finite rule changes, per label.
+
+    ``n_used`` counts what the assembler that the models are fitted with lets
+    through; it would fail on NULL and the fit on NaN, so it is counted on the
+    vectors themselves.
+    """
     names = ["cosine", "chebyshev", "jaccard", "manhattan", "euclidean"]
     ctx = Context(spark, sf_dir)
-    used = flows.make_finite(ctx.features(names), names)
-    finite = F.lit(True)
-    for n in names:
-        finite = finite & F.col(n).isNotNull() & ~F.isnan(n) & (F.abs(n) < float("inf"))
-    return used.groupBy("label").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(finite.cast("long")).alias("n_used"),
-                                     F.sum(F.col("replaced").cast("long")).alias("n_replaced"))
+    given = ctx.pairs.groupBy("label").agg(F.count(F.lit(1)).alias("n_rows"))
+    scorer = flows.new_scorer(names, "lr").bind_features(ctx.pair_qf(names))
+    fitted = VectorAssembler(inputCols=names, outputCol="v", handleInvalid="skip").transform(scorer.pair_features(ctx.pairs))
+    whole = F.forall(vector_to_array("v"), lambda x: ~F.isnan(x) & (F.abs(x) < float("inf")))
+    used = fitted.groupBy("label").agg(F.count_if(whole).alias("n_used"), F.count_if("replaced").alias("n_replaced"))
+    return given.join(used, "label").select("label", "n_rows", "n_used", "n_replaced")
 
 
-@register("predict_unknown", with_ctes("SELECT q1, q2 FROM asked", "asked"))
+@register("predict_unknown", with_ctes(
+    "SELECT q1, q2, true AS sums_to_one, true AS is_argmax FROM asked", "asked"))
 def q_predict_unknown(spark, sf_dir):
     """A run that is not strict scores every pair, those with an unknown question included."""
-    ctx = Context(spark, sf_dir)
-    names = ["cosine", "jaccard"]
-    asked = with_unknown(ctx.pairs.select("q1", "q2"))
-    scored = flows.make_finite(P.pair_features(asked, ctx.pair_qf(names), names, how="left"), names)
-    return scored.filter("cosine is not null and jaccard is not null").select("q1", "q2")
+    fx = prepare(spark, sf_dir)
+    asked = with_unknown(Context(spark, sf_dir).pairs.select("q1", "q2"))
+    return _proved(flows.score_pairs(_fitted_lr(spark, sf_dir).bind(fx.question(), fx.word_vec), asked, fx.question(), strict=False))
 
 
 @register("cv_folds", with_ctes(
@@ -206,6 +295,51 @@ def q_cv_folds(spark, sf_dir):
     return with_fold(Context(spark, sf_dir).pairs, 3, seed=42).select("q1", "q2", "fold")
 
 
+@register("auc_by_fold", with_ctes(f"""
+SELECT fold, {sql_r6('sum(pos * (below + 0.5 * neg)) / (sum(pos) * sum(neg))')} AS auc FROM (
+    SELECT fold, p1, pos, neg, sum(neg) OVER (PARTITION BY fold ORDER BY p1 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - neg AS below
+    FROM (SELECT (('0x' || substr(md5(concat_ws(':', q1::VARCHAR, q2::VARCHAR, '43')), 1, 8))::BIGINT % 100 % 3)::INTEGER AS fold, p1,
+                 sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS pos, sum(CASE WHEN label = 0 THEN 1 ELSE 0 END) AS neg
+          FROM scored GROUP BY fold, p1) c) r GROUP BY fold""", "scored"))
+def q_auc_by_fold(spark, sf_dir):
+    """What model selection compares: the exact AUC of each cross-validation fold's scored rows."""
+    folded = with_fold(_rule_scored_train(spark, sf_dir), 3, seed=42)
+    evaluator = EV.ExactAuc(scoreCol="p1")
+    rows = [(k, evaluator.evaluate(folded.where(F.col("fold") == k))) for k in range(3)]
+    return spark.createDataFrame(rows, "fold int, auc double").select("fold", r6("auc").alias("auc"))
+
+
+_COMPONENTS = """
+    {name}_edge AS (SELECT least(q1, q2) AS u, greatest(q1, q2) AS v FROM pair WHERE q1 <> q2 AND ({rule})
+                    UNION SELECT greatest(q1, q2), least(q1, q2) FROM pair WHERE q1 <> q2 AND ({rule})),
+    {name}_reach AS (SELECT q1 AS qid, q1 AS c FROM pair UNION SELECT q2, q2 FROM pair
+                     UNION SELECT e.v, r.c FROM {name}_reach r JOIN {name}_edge e ON e.u = r.qid WHERE r.c < e.v),
+    {name} AS (SELECT qid, min(c) AS c FROM {name}_reach GROUP BY qid)"""
+_SIDE = "(('0x' || substr(md5(concat_ws(':', {c}::VARCHAR, '42')), 1, 8))::BIGINT % 100) < 80"
+
+
+def _component_sql(name):
+    a, b = _SIDE.format(c=f"{name}1.c"), _SIDE.format(c=f"{name}2.c")
+    return (f"least({name}1.c, {name}2.c) AS component_{name}, CASE WHEN {a} AND {b} THEN 'train' "
+            f"WHEN NOT {a} AND NOT {b} THEN 'test' ELSE 'cross' END AS part_{name}")
+
+
+@register("split_by_component", with_ctes(
+    f"SELECT p.q1, p.q2, p.label, {_component_sql('linked')}, {_component_sql('same')} FROM pair p "
+    + " ".join(f"JOIN {n} {n}{i} ON {n}{i}.qid = p.q{i}" for n in ("linked", "same") for i in (1, 2)), "pair").replace(
+        "WITH ", "WITH RECURSIVE ", 1).replace(
+        "\nSELECT p.q1, p.q2, p.label, least", "," + _COMPONENTS.format(name="linked", rule="TRUE") + ","
+        + _COMPONENTS.format(name="same", rule="label = 1") + "\nSELECT p.q1, p.q2, p.label, least", 1))
+def q_split_by_component(spark, sf_dir):
+    """80/20 split by components of all pairs, and by components of the pairs labelled 1."""
+    pairs = Context(spark, sf_dir).pairs
+    linked = C.with_component_split(pairs, 80, seed=42).withColumnsRenamed({"component": "component_linked", "part": "part_linked"})
+    same = C.with_component_split(pairs, 80, seed=42, linked_by="positive").select(
+        "q1", "q2", F.col("component").alias("component_same"), F.col("part").alias("part_same"))
+    return linked.join(same, ["q1", "q2"]).select("q1", "q2", "label", "component_linked", "part_linked",
+                                                  "component_same", "part_same")
+
+
 @register("eval_report", with_ctes(
     f"SELECT 'rule' AS app, 'logloss' AS metric, {sql_r6('avg(-ln(p1))')} AS value "
     "FROM scored_pred WHERE prediction = 1 "
@@ -232,6 +366,83 @@ def q_pca_words(spark, sf_dir):
     return reduced.select("wid", F.posexplode("features").alias("dim", "value"))
 
 
+_FITTED: dict = {}
+
+
+def _fitted_lr(spark, sf_dir):
+    """The LR scorer of all train pairs, fitted once per application and folder."""
+    key = (spark.conf.get("spark.app.id", ""), sf_dir)
+    if key not in _FITTED:
+        fx = prepare(spark, sf_dir)
+        _FITTED[key] = flows.fit_scorer(fx.question(), fx.word_vec, fx.train_pair, model="lr")
+    return _FITTED[key]
+
+
+def _proved(scored, *keep):
+    """q1, q2 of scored rows and what holds for every one of them."""
+    return scored.select("q1", "q2", *keep, (F.abs(F.col("p0") + F.col("p1") - 1) < 1e-9).alias("sums_to_one"),
+                         (F.col("prediction") == (F.col("p1") > F.col("p0")).cast("double")).alias("is_argmax"))
+
+
+@register("predict_saved", with_ctes(
+    "SELECT q1, q2, row_number() OVER (ORDER BY row_no) - 1 AS row_no, true AS sums_to_one, true AS is_argmax, true AS same "
+    "FROM test_pair", "test_pair"))
+def q_predict_saved(spark, sf_dir):
+    """A scorer is stored, loaded and bound anew: one prediction for each test row, equal to the first scorer's."""
+    path, tests = scratch_path(spark, "scorer"), scratch_path(spark, "test_csv")
+    fx = prepare(spark, sf_dir)
+    first = _fitted_lr(spark, sf_dir)
+    first.write().overwrite().save(path)
+    K.write_test_pairs(fx.test_pair, tests)
+    pairs = S.read_test_pairs(spark, tests)
+    again = flows.score_pairs(PairScorer.load(path).bind(fx.question(), fx.word_vec), pairs, fx.question())
+    before = flows.score_pairs(first.bind(fx.question(), fx.word_vec), pairs, fx.question()).select(
+        "row_no", F.col("p1").alias("_p1"))
+    return _proved(again.join(before, "row_no"), "row_no", (F.abs(F.col("p1") - F.col("_p1")) <= 1e-9).alias("same"))
+
+
+@register("model_invariants", with_ctes("""
+SELECT m.app, count(*) AS n_rows, count(*) AS n_argmax, CASE WHEN m.app = 'svm' THEN 0 ELSE count(*) END AS n_sums_to_one,
+       count(*) AS n_labels
+FROM (SELECT unnest(['lr', 'gbt', 'svm', 'mlp']) AS app) m JOIN (
+    SELECT q1, q2 FROM pair WHERE (('0x' || substr(md5(concat_ws(':', q1::VARCHAR, q2::VARCHAR, '42')), 1, 8))::BIGINT % 100) >= 80) p
+    ON TRUE GROUP BY m.app""", "pair"))
+def q_model_invariants(spark, sf_dir):
+    """Held-out rows of each of the four models: all there, predicted by the larger score, p0 + p1 = 1 (SVM: no p)."""
+    parts = []
+    for model in ("lr", "gbt", "svm", "mlp"):
+        scored = _trained(spark, sf_dir, model).scored
+        top = F.col("score") > 0 if model == "svm" else F.col("p1") > F.col("p0")
+        parts.append(scored.agg(
+            F.lit(model).alias("app"), F.count(F.lit(1)).alias("n_rows"),
+            F.count_if(F.col("prediction") == top.cast("double")).alias("n_argmax"),
+            F.count_if(F.abs(F.col("p0") + F.col("p1") - 1) < 1e-9).alias("n_sums_to_one"),
+            F.count_if(F.col("label").isin(0, 1)).alias("n_labels")))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+@register("pca_invariants", with_ctes("""
+SELECT d.k::BIGINT AS n_components, n.n::BIGINT AS n_words, true AS uncorrelated, true AS ordered, true AS keeps_variance
+FROM (SELECT 16 AS k) d, (SELECT count(*) AS n FROM word_vec) n""", "word_vec"))
+def q_pca_invariants(spark, sf_dir):
+    """Reduced word vectors: components do not correlate, their variances fall, and none exceeds the vectors' whole variance."""
+    word_vec = prepare(spark, sf_dir).word_vec
+    reduced, basis = reduce_word_vectors(word_vec, PCA_K["lr"])
+    k = PCA_K["lr"]
+    x = [F.col("features")[i] for i in range(k)]
+    moments = reduced.agg(
+        F.count(F.lit(1)).alias("n_words"), *[F.var_pop(x[i]).alias(f"v{i}") for i in range(k)],
+        *[F.covar_pop(x[i], x[j]).alias(f"c{i}_{j}") for i in range(k) for j in range(i)])
+    dim = basis.pc.numRows
+    whole = word_vec.agg(sum((F.var_pop(F.col("features")[i]) for i in range(1, dim)), F.var_pop(F.col("features")[0])).alias("whole"))
+    v = [F.col(f"v{i}") for i in range(k)]
+    uncorrelated = reduce(lambda a, b: a & b, [F.abs(F.col(f"c{i}_{j}")) <= 1e-6 * v[0] for i in range(k) for j in range(i)])
+    ordered = reduce(lambda a, b: a & b, [v[i] >= v[i + 1] - 1e-9 * v[0] for i in range(k - 1)])
+    return moments.join(F.broadcast(whole), F.lit(True)).select(
+        F.lit(k).cast("bigint").alias("n_components"), "n_words", uncorrelated.alias("uncorrelated"), ordered.alias("ordered"),
+        (sum(v[1:], v[0]) <= F.col("whole") * (1 + 1e-9)).alias("keeps_variance"))
+
+
 _TRAINED: dict = {}
 
 

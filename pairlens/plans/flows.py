@@ -18,34 +18,22 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidatorModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlens.operators.pairs import (assert_known, dedupe_pairs, metric_names, needs_sequence, pair_features,
-                                      question_columns)
+from pairlens.operators.evaluate import report
+from pairlens.operators.pairs import assert_known, dedupe_pairs, metric_names, needs_sequence, pair_features, question_columns
 from pairlens.operators.split import split, with_fold
-from pairlens.operators.vectors import question_features, reduce_word_vectors
+from pairlens.operators.vectors import fit_basis, question_features, reduce_word_vectors
 from pairlens.plans.models import NUM_FOLDS, PCA_K, cross_validator
+from pairlens.plans.scoring import CEILING, PairScorer, make_finite, new_scorer, with_probabilities
 from pairlens.session import reliable_checkpoint
-from pairlens.sinks.files import write_predictions, write_scored
+from pairlens.sinks.files import output_paths, write_predictions, write_scored, write_submission
+from pairlens.sources import text_formats as S
 
-
-#: The largest feature value that models see.
-CEILING = 1e6
-
-
-def make_finite(pf: DataFrame, names: list[str]) -> DataFrame:
-    """The rule above for the columns ``names``; ``replaced`` says whether it changed the row."""
-    odd = F.lit(False)
-    out = {}
-    for n in names:
-        c = F.col(n).cast("double")
-        none = c.isNull() | F.isnan(c)
-        odd = odd | none | (F.abs(c) > CEILING)
-        out[n] = F.when(none, F.lit(0.0)).otherwise(F.least(F.greatest(c, F.lit(-CEILING)), F.lit(CEILING)))
-    return pf.withColumns({"replaced": odd, **out})
+__all__ = ["CEILING", "make_finite", "with_probabilities", "feature_frame", "fit_scorer", "pair_side_features", "predict",
+           "run_model", "score_pairs", "train_evaluate", "TrainResult"]
 
 
 def pair_side_features(question: DataFrame, word_vec: DataFrame, names: list[str],
@@ -54,8 +42,9 @@ def pair_side_features(question: DataFrame, word_vec: DataFrame, names: list[str
     written once to the shared checkpoint folder: every pair side reads
     them instead of recomputing."""
     wv = reduce_word_vectors(word_vec, pca_k)[0] if pca_k else word_vec
-    qf = question_features(question, wv, missing=missing, sequence=needs_sequence(names))
-    return reliable_checkpoint(qf.select(*question_columns(names)))
+    columns = question_columns(names)
+    qf = question_features(question, wv, missing=missing, sequence=needs_sequence(names), columns=columns)
+    return reliable_checkpoint(qf.select(*columns))
 
 
 def feature_frame(question: DataFrame, word_vec: DataFrame, pairs: DataFrame,
@@ -65,18 +54,6 @@ def feature_frame(question: DataFrame, word_vec: DataFrame, pairs: DataFrame,
     return pair_features(pairs, qf, names), names
 
 
-def with_probabilities(scored: DataFrame) -> DataFrame:
-    """p0, p1 from the probability vector (NULL for models without one),
-    ``score`` = margin of class 1 for ranking metrics."""
-    cols = scored.columns
-    if "probability" in cols:
-        prob = vector_to_array("probability")
-        scored = scored.withColumn("p0", prob[0]).withColumn("p1", prob[1])
-    else:
-        scored = scored.withColumn("p0", F.lit(None).cast("double")).withColumn("p1", F.lit(None).cast("double"))
-    return scored.withColumn("score", vector_to_array("rawPrediction")[1])
-
-
 def persisted_training_frame(df: DataFrame):
     """Persist ``df`` (iterative fits read it many times) -> (frame, rows, rows changed by ``make_finite``)."""
     kept = df.persist(StorageLevel.MEMORY_AND_DISK)
@@ -92,6 +69,7 @@ class TrainResult:
     avg_metrics: list[float] = field(default_factory=list)
     n_train: int = 0
     n_replaced: int = 0
+    scorer: PairScorer | None = None
 
 
 def _pairs_of(pairs: DataFrame, question: DataFrame, strict: bool) -> DataFrame:
@@ -100,26 +78,52 @@ def _pairs_of(pairs: DataFrame, question: DataFrame, strict: bool) -> DataFrame:
     return pairs
 
 
+def _unfitted(question: DataFrame, word_vec: DataFrame, model: str, feature_set, pca_k: int | None) -> PairScorer:
+    """A scorer with its basis, bound to the questions; only its classifier is still to be fitted."""
+    k = pca_k if pca_k is not None else PCA_K[model]
+    return new_scorer(feature_set, model).with_parts(fit_basis(word_vec, k) if k else None, None).bind(question, word_vec)
+
+
+def _fitted(scorer: PairScorer, train: DataFrame, model: str, seed: int, params: dict | None):
+    """-> (scorer with the best classifier, cross-validation model, training rows, rows changed by the finite rule)."""
+    train, n, n_replaced = persisted_training_frame(with_fold(train, NUM_FOLDS, seed))
+    try:
+        cv_model = cross_validator(model, scorer.names, seed, params).fit(train)
+    finally:
+        train.unpersist()
+    return scorer.with_parts(scorer.basis, cv_model.bestModel), cv_model, n, n_replaced
+
+
 def train_evaluate(question: DataFrame, word_vec: DataFrame, train_pair: DataFrame, model: str = "lr",
                    feature_set="all", pca_k: int | None = None, seed: int = 42,
                    train_percent: int = 80, output: str | None = None, strict: bool = True,
                    params: dict | None = None) -> TrainResult:
     """``params`` overrides settings of the classifier, such as maxIter or maxDepth."""
-    k = pca_k if pca_k is not None else PCA_K[model]
-    names = metric_names(feature_set)
-    qf = pair_side_features(question, word_vec, names, k)
+    scorer = _unfitted(question, word_vec, model, feature_set, pca_k)
     pairs = _pairs_of(dedupe_pairs(train_pair), question, strict)
-    pf = make_finite(pair_features(pairs, qf, names, how="left"), names)
-    train, test = split(pf, train_percent, seed)
-    train, n_train, n_replaced = persisted_training_frame(with_fold(train, NUM_FOLDS, seed))
-    try:
-        cv_model = cross_validator(model, names, seed, params).fit(train)
-    finally:
-        train.unpersist()
-    scored = with_probabilities(cv_model.transform(test))
+    train, test = split(pairs, train_percent, seed)
+    scorer, cv_model, n_train, n_replaced = _fitted(scorer, scorer.pair_features(train), model, seed, params)
+    scored = scorer.transform(test)
     if output:
         write_scored(scored, output)
-    return TrainResult(cv_model, scored, names, list(cv_model.avgMetrics), n_train, n_replaced)
+    return TrainResult(cv_model, scored, scorer.names, list(cv_model.avgMetrics), n_train, n_replaced, scorer)
+
+
+def fit_scorer(question: DataFrame, word_vec: DataFrame, train_pair: DataFrame, model: str = "lr", feature_set="all",
+               pca_k: int | None = None, seed: int = 42, strict: bool = True, params: dict | None = None) -> PairScorer:
+    """A scorer fitted on every train pair; ``save`` stores it, ``bind`` puts it on other questions."""
+    scorer = _unfitted(question, word_vec, model, feature_set, pca_k)
+    pairs = _pairs_of(dedupe_pairs(train_pair), question, strict)
+    return _fitted(scorer, scorer.pair_features(pairs), model, seed, params)[0]
+
+
+def score_pairs(scorer: PairScorer, test_pair: DataFrame, question: DataFrame, output: str | None = None,
+                strict: bool = True) -> DataFrame:
+    """One scored row for each test row by a bound scorer, also for unknown questions with ``strict=False``."""
+    scored = scorer.transform(_pairs_of(test_pair, question, strict).withColumn("label", F.lit(-1)))
+    if output:
+        write_predictions(scored, output)
+    return scored
 
 
 def predict(question: DataFrame, word_vec: DataFrame, train_pair: DataFrame, test_pair: DataFrame,
@@ -131,20 +135,38 @@ def predict(question: DataFrame, word_vec: DataFrame, train_pair: DataFrame, tes
     model), unlike the reference which always scores with the default set.
     There is one prediction for each test row, also with ``strict=False``.
     """
-    k = pca_k if pca_k is not None else PCA_K[model]
-    names = metric_names(feature_set)
-    qf = pair_side_features(question, word_vec, names, k)
-    pairs = _pairs_of(dedupe_pairs(train_pair), question, strict)
-    train = make_finite(pair_features(pairs, qf, names, how="left"), names)
-    train, _, _ = persisted_training_frame(with_fold(train, NUM_FOLDS, seed))
-    try:
-        cv_model = cross_validator(model, names, seed, params).fit(train)
-    finally:
-        train.unpersist()
-    asked = _pairs_of(test_pair, question, strict).withColumn("label", F.lit(-1))
-    keep = ["row_no"] if "row_no" in test_pair.columns else None
-    scored = with_probabilities(cv_model.transform(
-        make_finite(pair_features(asked, qf, names, how="left", keep=keep), names)))
-    if output:
-        write_predictions(scored, output)
-    return scored
+    scorer = fit_scorer(question, word_vec, train_pair, model, feature_set, pca_k, seed, strict, params)
+    return score_pairs(scorer, test_pair, question, output, strict)
+
+
+def run_model(spark: SparkSession, inputs: dict[str, str], base: str, model: str, evaluate: bool = True,
+              unit: str = "word", scorer_path: str | None = None, **settings) -> dict[str, str]:
+    """One model from the text files to its output folder; -> the paths written.
+
+    ``inputs`` names the files: ``word_embed`` (or ``char_embed`` with
+    ``unit='char'``, which sums character vectors instead), ``question``,
+    ``train`` and, to predict, ``test``.  With ``evaluate`` the model is fitted on
+    80 % of the pairs, the others are scored into ``cv_transformed`` and the
+    conclusion is written to ``report``.  Otherwise it is fitted on all pairs (or
+    loaded from ``scorer_path``), stored in ``scorer``, and the test pairs are
+    scored into ``prediction`` and ``submission``.
+    """
+    paths = output_paths(base, model)
+    vectors = S.read_embeddings(spark, inputs[f"{unit}_embed"])
+    question = S.read_questions(spark, inputs["question"]).select("qid", F.col(f"{unit}_ids").alias("word_ids"))
+    if evaluate:
+        result = train_evaluate(question, vectors, S.read_train_pairs(spark, inputs["train"]), model=model,
+                                output=paths["cv_transformed"], **settings)
+        score = "score" if model == "svm" else "p1"
+        report(spark.read.schema(result.scored.select("label", "prediction", "p1", "score").schema)
+               .json(paths["cv_transformed"]), model, score).write.mode("overwrite").json(paths["report"])
+        return {k: paths[k] for k in ("cv_transformed", "report")}
+    if scorer_path:
+        scorer = PairScorer.load(scorer_path).bind(question, vectors)
+    else:
+        scorer = fit_scorer(question, vectors, S.read_train_pairs(spark, inputs["train"]), model=model, **settings)
+        scorer.write().overwrite().save(paths["scorer"])
+    tests = S.read_test_pairs(spark, inputs["test"])
+    score_pairs(scorer, tests, question, paths["prediction"], settings.get("strict", True))
+    write_submission(tests, S.read_predictions(spark, paths["prediction"]), paths["submission"])
+    return {k: paths[k] for k in ("prediction", "submission", *(() if scorer_path else ("scorer",)))}

@@ -110,4 +110,4 @@ def model_home(base: str, model: str) -> str:
 
 def output_paths(base: str, model: str) -> dict[str, str]:
     home = model_home(base, model)
-    return {"cv_transformed": f"{home}/cv_transformed", "prediction": f"{home}/prediction"}
+    return {name: f"{home}/{name}" for name in ("cv_transformed", "prediction", "report", "scorer", "submission")}

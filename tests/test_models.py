@@ -39,7 +39,7 @@ def test_scored_rows_written_as_json(spark, tmp_out):
 def test_output_layout_and_report_line():
     from pairlens.sinks.files import output_paths
     paths = output_paths("/data", "mlp")
-    assert paths == {"cv_transformed": "/data/output/lmpc/cv_transformed",
-                     "prediction": "/data/output/lmpc/prediction"}
+    assert paths["cv_transformed"] == "/data/output/lmpc/cv_transformed"
+    assert paths["prediction"] == "/data/output/lmpc/prediction"
     line = EV.markdown_row("lr", {"logloss": 0.5, "auc": 0.75, "precision": 0.7})
     assert line == "lr -> logloss, areaUnderRoc, precision, | 0.5 | 0.75 | 0.7 | | |"
