@@ -32,13 +32,15 @@ def partitions_for(rows: int, rows_per_partition: int, at_least: int = 1) -> int
     return max(at_least, -(-rows // rows_per_partition))
 
 
-#: Rows of a few numbers or short strings up to which a counted side is broadcast.
-BROADCAST_ROWS = 300_000
+#: Rows and bytes up to which a measured side is broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 300_000, 32_000_000
 
 
-def small_side(df: DataFrame) -> DataFrame:
-    """``df``, marked for broadcast if counting it (it should be stored) shows few rows.
+def small_side(df: DataFrame, size: Column | None = None) -> DataFrame:
+    """``df``, marked for broadcast if measuring it (it should be stored) shows few rows and bytes.
 
-    Beyond ``BROADCAST_ROWS`` the planner joins by shuffle; the result is the same.
+    ``size`` gives the bytes of a row's strings and lists; rows of a few numbers
+    need none.  Beyond the bounds the planner joins by shuffle; the result is the same.
     """
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    rows, held = df.agg(F.count(F.lit(1)), F.sum(size if size is not None else F.lit(0)).cast("long")).first()
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and (held or 0) <= BROADCAST_BYTES else df

@@ -28,6 +28,7 @@ from pyspark.sql.window import Window
 
 from pairlens.llm.common import small_side, stored
 from pairlens.llm.graph import components
+from pairlens.llm.shingling import Words, digest, linked, mix, node_sets, shingles
 
 PERMUTATIONS = 64
 BANDS = 32
@@ -36,54 +37,14 @@ PROPOSALS = 4
 #: Nodes up to which a component counts as small; the two sides of a block, the
 #: first of which is also the most nodes of a band that are paired one by one.
 SMALL, BLOCK_OUT, BLOCK_IN = 16, 64, 512
-#: Nodes up to which their ids are broadcast to fetch their texts (40 bytes each).
-BROADCAST_NODES = 500_000
-#: Words whose hash a worker remembers (a cache only).
-WORDS_KEPT = 1_000_000
 #: Shingles hashed at a time, to bound memory on very long texts.
 BLOCK = 1 << 13
 
-_ONE, _TWO, _THREE = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
+_ONE, _THREE = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0x165667B19E3779F9))
 _SEEDS = np.random.default_rng(20240607).integers(1, 2**63, (2, PERMUTATIONS), dtype=np.uint64)
 _FACTORS, _SHIFTS = _SEEDS[0] | np.uint64(1), _SEEDS[1]
 
 
-class Words(dict):
-    """64-bit hash of each word, remembered."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= WORDS_KEPT:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = x ^ (x >> np.uint64(32))
-    x *= _TWO
-    x ^= x >> np.uint64(29)
-    return x
-
-
-def shingles(text: str | None, words: int, hashes: Words) -> np.ndarray:
-    """The sorted distinct 64-bit hashes of a text's ``words``-word shingles.
-
-    A-Z are lower-cased and words are runs without ASCII white space.  A text
-    of fewer words is one shingle, a null text or one without words has none.
-    """
-    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not parts:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, parts), np.uint64, len(parts))
-    n = min(words, len(h))
-    out = np.full(len(h) - n + 1, n, np.uint64)
-    for j in range(n):
-        out = _mix((out ^ h[j:len(h) - n + 1 + j]) * _ONE)
-    return np.unique(out)
-
-
 def bands(shingle_set: np.ndarray) -> np.ndarray:
     """The band keys of a shingle set: (minimum, maximum) of two permutations each."""
     low = np.full(PERMUTATIONS, np.iinfo(np.uint64).max, np.uint64)
@@ -98,17 +59,11 @@ def bands(shingle_set: np.ndarray) -> np.ndarray:
     each = PERMUTATIONS // BANDS
     key = np.arange(1, BANDS + 1, dtype=np.uint64) * _ONE
     for j in range(each):
-        key = _mix((key ^ low[j::each]) * _ONE)
-        key = _mix((key ^ high[j::each]) * _THREE)
+        key = mix((key ^ low[j::each]) * _ONE)
+        key = mix((key ^ high[j::each]) * _THREE)
     return key.view(np.int64)
 
 
-def _digest(shingle_set: np.ndarray) -> bytes:
-    import xxhash
-
-    return xxhash.xxh3_128_digest(shingle_set.tobytes())
-
-
 def shingled(docs: DataFrame, words: int) -> DataFrame:
     """(doc_id, n_shingles, digest, bands); digest of the set, null for an empty one."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -118,7 +73,7 @@ def shingled(docs: DataFrame, words: int) -> DataFrame:
             for text in batch["text"]:
                 s = shingles(text, words, hashes)
                 sizes.append(len(s))
-                digests.append(_digest(s) if len(s) else None)
+                digests.append(digest(s) if len(s) else None)
                 keys.append(bands(s) if len(s) else None)
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n_shingles": sizes, "digest": digests, "bands": keys})
 
@@ -126,42 +81,7 @@ def shingled(docs: DataFrame, words: int) -> DataFrame:
         .mapInPandas(run, "doc_id long, n_shingles long, digest binary, bands array<long>")
 
 
-def _node_texts(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(node, text) of the ``wanted`` nodes; the digest tells a node's text from others of its doc_id."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = Words()
-        for batch in batches:
-            same = [_digest(shingles(t, words, hashes)) == d for d, t in zip(batch["digest"], batch["text"])]
-            yield batch.loc[same, ["node", "text"]]
-
-    ids = stored(nodes.join(wanted, "node", "left_semi").select("node", "doc_id", "digest"), "compared-nodes")
-    few = ids.count() <= BROADCAST_NODES
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")) \
-        .join(F.broadcast(ids) if few else ids, "doc_id")
-    return found.select("node", "digest", "text").mapInPandas(run, "node long, text string")
-
-
-def _linked(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The (a, b) of ``pairs`` whose full sets have 100 * common >= percent * union."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = Words()
-        last: tuple[int | None, np.ndarray | None] = (None, None)
-        for batch in batches:
-            yes = []
-            for a, b, ta, tb in zip(batch["a"], batch["b"], batch["ta"], batch["tb"]):
-                sa = shingles(ta, words, hashes)
-                if last[0] != b:
-                    last = (b, shingles(tb, words, hashes))
-                common = len(np.intersect1d(sa, last[1], assume_unique=True))
-                yes.append(100 * common >= percent * (len(sa) + len(last[1]) - common))
-            yield batch.loc[yes, ["a", "b"]]
-
-    both = (pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
-            .join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b"))
-    return both.select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long")
-
-
-def _linked_blocks(sides: DataFrame, inside: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+def _linked_blocks(sides: DataFrame, inside: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between the nodes that ``sides`` (a, target) sends to a component and that component's nodes.
 
     Both sides are dealt into blocks; each pair of blocks meets once, and a
@@ -172,30 +92,29 @@ def _linked_blocks(sides: DataFrame, inside: DataFrame, texts: DataFrame, words:
     blocks = out_n.join(in_n, "target")
 
     def dealt(rows: DataFrame, own: str, other: str, *names: str) -> DataFrame:
-        return (rows.join(blocks, "target").join(texts, "node").select(
+        return (rows.join(blocks, "target").join(sets, "node").select(
             "target", F.pmod(F.xxhash64("node"), F.col(own)).cast("int").alias("own"),
-            F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias("other"), "node", "text").toDF(*names))
+            F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias("other"), "node", "set").toDF(*names))
 
-    left = dealt(sides.withColumnRenamed("a", "node"), "outs", "ins", "t1", "o1", "i1", "node", "text")
-    right = dealt(inside, "ins", "outs", "t2", "i2", "o2", "node2", "text2")
+    left = dealt(sides.withColumnRenamed("a", "node"), "outs", "ins", "t1", "o1", "i1", "node", "set")
+    right = dealt(inside, "ins", "outs", "t2", "i2", "o2", "node2", "set2")
 
     def run(outs: pd.DataFrame, ins: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple[int, int]] = []
         if len(outs) and len(ins):
-            hashes = Words()
-            sets = [shingles(t, words, hashes) for t in outs["text"]]
-            sizes = np.array([len(s) for s in sets])
-            values = np.concatenate(sets)
-            owner = np.repeat(np.arange(len(sets)), sizes)
+            own = [np.frombuffer(raw, np.uint64) for raw in outs["set"]]
+            sizes = np.array([len(s) for s in own])
+            values = np.concatenate(own)
+            owner = np.repeat(np.arange(len(own)), sizes)
             order = np.argsort(values, kind="stable")
             values, owner = values[order], owner[order]
             nodes = outs["node"].to_numpy()
-            for b, text in zip(ins["node2"], ins["text2"]):
-                s = shingles(text, words, hashes)
+            for b, raw in zip(ins["node2"], ins["set2"]):
+                s = np.frombuffer(raw, np.uint64)
                 lo, hi = np.searchsorted(values, s, "left"), np.searchsorted(values, s, "right")
                 n = hi - lo
                 at = np.arange(n.sum()) + np.repeat(lo - (np.cumsum(n) - n), n)
-                common = np.bincount(owner[at], minlength=len(sets))
+                common = np.bincount(owner[at], minlength=len(own))
                 yes = 100 * common >= percent * (sizes + len(s) - common)
                 found += [(int(a), int(b)) for a in nodes[yes] if a != b]
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
@@ -209,7 +128,7 @@ def _near_sizes(percent: int):
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row.
+    """doc_id, n_shingles, component_id, kept and the digest of the shingle set for every row.
 
     Rows whose shingle sets have ``100 * common >= percent * union`` are linked;
     component_id is the smallest doc_id that links reach and ``kept`` marks its
@@ -228,7 +147,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = stored(keyed.join(shared, "key"), "band-members")
     compared = members.select("node").distinct()
-    texts = stored(_node_texts(docs, nodes, compared, words), "band-texts")
+    wanted = stored(nodes.join(compared, "node", "left_semi").select("node", "doc_id", "digest"), "compared-nodes")
+    sets = stored(node_sets(docs, wanted, words), "node-sets")
 
     # Every node against the most central node of its largest bands.
     own = Window.partitionBy("node")
@@ -239,7 +159,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         F.col("node").alias("a"), F.col("c.node").alias("b"), F.col("size").alias("size_a"),
         F.col("c.size").alias("size_b")).where(_near_sizes(percent))
     pairs = proposed.select("a", "b").distinct()
-    links = stored(_linked(pairs, texts, words, percent), "near-links")
+    links = stored(linked(pairs, sets, percent), "near-links")
     labels = stored(components(links), "labels")
 
     # What shares a band but lies in different components is compared next.
@@ -267,12 +187,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         ~large | (F.col("component") != F.col("main"))).select(
         F.col("node").alias("a"), F.when(large, F.col("main")).otherwise(F.col("key")).alias("target"))
     sides = stored(sides.distinct(), "block-sides")
-    more = _linked(small, texts, words, percent)
+    more = linked(small, sets, percent)
     if not sides.isEmpty():
         targets = sides.select(F.col("target").alias("component")).distinct()
         inside = labels.join(targets, "component", "left_semi").select(F.col("component").alias("target"), "node")
         inside = stored(inside.union(sides.select("target", F.col("a").alias("node"))).distinct(), "block-nodes")
-        more = more.union(_linked_blocks(sides, inside, texts, words, percent))
+        more = more.union(_linked_blocks(sides, inside, sets, percent))
     more = stored(more, "near-links")
     if not more.isEmpty():
         labels = stored(components(links.union(more)), "labels")
@@ -282,14 +202,33 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     least = reach.groupBy("component").agg(F.min("doc_id").alias("reached"))
     by_digest = reach.join(least, "component").select(F.col("digest").alias("d"), "reached")
     return (base.join(by_digest, (base["digest"] == by_digest["d"]) & base["doc_id"].isNotNull(), "left")
-            .select("doc_id", "n_shingles", F.coalesce("reached", "doc_id").alias("component_id"))
+            .select("doc_id", "n_shingles", F.coalesce("reached", "doc_id").alias("component_id"), "digest")
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))))
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that stay when one document of each group is kept, with all their columns.
 
-    The one with the smallest doc_id stays; rows without doc_id stay.
+    The one with the smallest doc_id stays; rows without doc_id stay.  Of rows
+    that repeat a doc_id with other texts, only those whose text goes are dropped.
     """
-    gone = near_duplicates(docs, words, percent).where("doc_id is not null and not kept").select("doc_id").distinct()
-    return docs.join(small_side(stored(gone, "dropped-ids")), "doc_id", "left_anti").select(*docs.columns)
+    judged = stored(near_duplicates(docs, words, percent).where("doc_id is not null").select("doc_id", "digest", "kept"), "judged")
+    by_id = judged.groupBy("doc_id").agg(F.bool_or("kept").alias("some"), F.bool_and("kept").alias("all")).where("not all")
+    by_id = stored(by_id.select("doc_id", "some"), "dropped-ids")
+    stay = docs.join(small_side(by_id), "doc_id", "left_anti").select(*docs.columns)
+    parted = by_id.where("some").select("doc_id")
+    if parted.isEmpty():
+        return stay
+    # Ids some of whose rows go: a row is told from the others by the digest of its set.
+    gone = judged.where("not kept").join(parted, "doc_id").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).distinct()
+    rows = docs.join(parted, "doc_id", "left_semi").select(*docs.columns)
+
+    @F.pandas_udf("binary")
+    def set_digest(texts: pd.Series) -> pd.Series:
+        hashes = Words()
+        sets = (shingles(t, words, hashes) for t in texts)
+        return pd.Series([digest(s) if len(s) else None for s in sets])
+
+    told = rows.withColumn("__own", set_digest(F.col("text").cast("string")))
+    told = told.join(gone, (told["doc_id"] == gone["__id"]) & told["__own"].eqNullSafe(gone["__digest"]), "left_anti")
+    return stay.unionByName(told.select(*docs.columns))

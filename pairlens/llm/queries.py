@@ -66,7 +66,7 @@ def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80).drop("digest")
 
 
 def op11_countjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
