@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from pairlens.operators import pairs as P
 from pairlens.operators.vectors import question_features, question_vector_rows
+from pairlens.plans.oracle_sql import EDIT_DISTANCE, recursive
 from pairlens.plans.oracle_sql import kind as sql_kind
 from pairlens.plans.oracle_sql import r6 as sql_r6
 from pairlens.plans.oracle_sql import with_ctes
@@ -211,11 +212,8 @@ def q_pair_lengths(spark, sf_dir):
                      F.col("q2_length").cast("bigint").alias("q2_length"))
 
 
-@register("pair_edit_distance")
+@register("pair_edit_distance", recursive(EDIT_DISTANCE, "pair", "question"))
 def q_pair_edit_distance(spark, sf_dir):
-    # Whole-text Levenshtein is quadratic per pair; no SQL oracle is fast
-    # enough on whole texts, so this one is checked against a plain dynamic
-    # programme in tests/test_metrics.py.
     pf = Context(spark, sf_dir).features(["edit_distance"])
     return pf.select("q1", "q2", "label", "edit_distance")
 

@@ -134,6 +134,31 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
 }
 
 
+#: The edit distance of every pair, one anti-diagonal of its table at a time (the cells of a diagonal do not
+#: depend on each other): k is the diagonal, place i of a list the cell of i symbols of the shorter text.
+EDIT_DISTANCE = """,
+texts AS MATERIALIZED (
+    SELECT p.q1, p.q2, p.label, CASE WHEN len(a.word_ids) <= len(b.word_ids) THEN a.word_ids ELSE b.word_ids END AS s,
+           CASE WHEN len(a.word_ids) <= len(b.word_ids) THEN b.word_ids ELSE a.word_ids END AS l
+    FROM pair p JOIN question a ON a.qid = p.q1 JOIN question b ON b.qid = p.q2),
+diagonal(q1, q2, k, cur, prev) USING KEY (q1, q2) AS (
+    SELECT q1, q2, 0, [0]::INTEGER[], []::INTEGER[] FROM texts WHERE s <> l AND len(s) > 0
+    UNION ALL
+    SELECT d.q1, d.q2, d.k + 1, list_transform(range(0, least(len(t.s), d.k + 1) + 1), lambda i: CASE
+               WHEN d.k + 1 - i > len(t.l) THEN 1000000000
+               WHEN i = 0 THEN d.k + 1 WHEN i = d.k + 1 THEN i
+               ELSE least(coalesce(d.cur[i], 1000000000) + 1, coalesce(d.cur[i + 1], 1000000000) + 1,
+                          d.prev[i] + CASE WHEN t.s[i] = t.l[d.k + 1 - i] THEN 0 ELSE 1 END) END), d.cur
+    FROM diagonal d JOIN texts t ON t.q1 = d.q1 AND t.q2 = d.q2 WHERE d.k < len(t.s) + len(t.l))
+SELECT t.q1, t.q2, t.label, CASE WHEN t.s = t.l THEN 0 WHEN len(t.s) = 0 THEN len(t.l) ELSE d.cur[len(t.s) + 1] END::DOUBLE AS edit_distance
+FROM texts t LEFT JOIN diagonal d ON d.q1 = t.q1 AND d.q2 = t.q2"""
+
+
+def recursive(tail: str, *needs: str) -> str:
+    """The CTEs in ``needs`` with ``tail`` (more CTEs, some recursive, and the query) after them."""
+    return with_ctes("SELECT 1", *needs).replace("WITH ", "WITH RECURSIVE ", 1).rsplit("SELECT 1", 1)[0].rstrip() + tail
+
+
 def with_ctes(body: str, *needs: str) -> str:
     order: list[str] = []
 

@@ -83,3 +83,30 @@ def test_edit_distance_udf_on_whole_fixture_texts(spark):
     assert got
     for (a, b), d in got.items():
         assert d == levenshtein_dp(q[a], q[b])
+
+
+def test_edit_distance_without_python_workers(spark):
+    import random
+
+    from pairlens.functions.edit_distance import edit_distance, edit_distance_jvm, levenshtein_dp
+
+    rnd = random.Random(1)
+    rows = []
+    for i in range(150):
+        k, n, m = rnd.choice([2, 5, 50]), rnd.choice([0, 1, 5, 61, 62, 63, 124, 125]), rnd.choice([0, 1, 7, 62, 63, 186])
+        a, b = [rnd.randrange(k) for _ in range(n)], [rnd.randrange(k) for _ in range(m)]
+        if rnd.random() < 0.4:
+            b = list(a)
+            for _ in range(rnd.randint(0, 9)):
+                if b and rnd.random() < 0.5:
+                    del b[rnd.randrange(len(b))]
+                else:
+                    b.insert(rnd.randrange(len(b) + 1), rnd.randrange(k))
+        rows.append((i, a, b))
+    rows += [(1000, None, [1]), (1001, [1], None)]
+    df = spark.createDataFrame(rows, "i int, a array<bigint>, b array<bigint>")
+    jvm = df.select("i", edit_distance_jvm("a", "b").alias("d"))
+    assert "ArrowEvalPython" not in jvm._jdf.queryExecution().executedPlan().toString()
+    expected = {i: float(levenshtein_dp(a, b)) if a is not None and b is not None else None for i, a, b in rows}
+    assert {r.i: r.d for r in jvm.collect()} == expected
+    assert {r.i: r.d for r in df.select("i", edit_distance("a", "b").alias("d")).collect()} == expected
