@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pairlens.functions.dates import parse_time, render_time
 from pairlens.operators import components as C
 from pairlens.operators import evaluate as EV
+from pairlens.operators import incremental as I
 from pairlens.operators import pairs as P
 from pairlens.operators.split import with_fold, with_split
 from pairlens.operators.vectors import question_features, question_vector_rows, reduce_word_vectors
@@ -29,6 +30,7 @@ from pairlens.schema import TIME_FORMAT
 from pairlens.session import scratch_path
 from pairlens.sinks import files as K
 from pairlens.sources import rejects as R
+from pairlens.sources import sketches as SK
 from pairlens.sources import text_formats as S
 from pairlens.sources.profile import profile, profiles
 from pairlens.sources.testdata import prepare, table
@@ -510,6 +512,56 @@ def q_dataset_profile(spark, sf_dir):
     ])
 
 
+@register("profile_sketch", with_ctes("""
+SELECT 'question' AS source, count(*) AS n_rows, min(len(word_ids))::BIGINT AS min_len, max(len(word_ids))::BIGINT AS max_len,
+       true AS keys_within, true AS quantiles_within, 0::BIGINT AS read_again FROM question
+UNION ALL SELECT 'word_vec', count(*), min(len(features))::BIGINT, max(len(features))::BIGINT, true, true, 0 FROM word_vec
+UNION ALL SELECT 'train_pair', count(*), NULL::BIGINT, NULL::BIGINT, true, true, 0 FROM train_pair
+UNION ALL SELECT 'test_pair', count(*), NULL::BIGINT, NULL::BIGINT, true, true, 0 FROM test_pair""",
+    "question", "word_vec", "train_pair", "test_pair"))
+def q_profile_sketch(spark, sf_dir):
+    """The profile from merged per-file sketches, held against exact counts; a second update reads no file again."""
+    fx, path, words = prepare(spark, sf_dir), scratch_path(spark, "sketches"), scratch_path(spark, "word_vec")
+    fx.word_vec.write.parquet(words)
+    sources = {"question": (fx.question(), ["qid"], "word_ids"), "word_vec": (spark.read.parquet(words), ["wid"], "features"),
+               "train_pair": (fx.train_pair, ["q1", "q2"], None), "test_pair": (fx.test_pair, ["q1", "q2"], None)}
+    again = {}
+    for name, (df, keys, list_col) in sources.items():
+        SK.update_sketches(spark, path, name, df, keys, list_col)
+        again[name] = SK.update_sketches(spark, path, name, df, keys, list_col)
+    exact = reduce(lambda a, b: a.unionByName(b), [
+        df.agg(F.lit(name).alias("source"), F.count_distinct(*keys).alias("exact")) for name, (df, keys, _) in sources.items()])
+    merged = SK.merged_profile(SK.read_sketches(spark, path)).join(exact, "source")
+    ranks = [df.select(F.lit(name).alias("source"), F.size(list_col).cast("bigint").alias("n"))
+             for name, (df, _, list_col) in sources.items() if list_col]
+    # The ranks that a length takes must meet the bound around the quantile asked for.
+    quantiles = [f"len_q{round(100 * q)}" for q in SK.QUANTILES]
+    met = reduce(lambda a, b: a.unionByName(b), ranks).join(merged.select("source", *quantiles), "source").groupBy("source").agg(
+        *[((F.avg((F.col("n") < F.col(c)).cast("double")) <= q + SK.RANK_BOUND)
+           & (F.avg((F.col("n") <= F.col(c)).cast("double")) >= q - SK.RANK_BOUND)).alias(f"ok_{c}")
+          for c, q in zip(quantiles, SK.QUANTILES)])
+    met = met.select("source", reduce(lambda a, b: a & b, [F.col(f"ok_{c}") for c in quantiles]).alias("met"))
+    times = spark.createDataFrame(list(again.items()), "source string, read_again bigint")
+    return merged.join(met, "source", "left").join(times, "source").select(
+        "source", "n_rows", "min_len", "max_len", (F.abs(F.col("n_keys") - F.col("exact")) <= SK.KEY_BOUND * F.col("exact")).alias("keys_within"),
+        F.coalesce("met", F.lit(True)).alias("quantiles_within"), "read_again")
+
+
+@register("incremental_question_vector", with_ctes(
+    f"SELECT qid, dim, {sql_r6('value')} AS value FROM qvec", "qvec"))
+def q_incremental_question_vector(spark, sf_dir):
+    """Features of other questions (some missing, some with other words), brought up to date with the real ones."""
+    fx, path = prepare(spark, sf_dir), scratch_path(spark, "features")
+    question = fx.question().select("qid", "word_ids")
+    before = question.where("qid % 10 != 0").withColumn(
+        "word_ids", F.when(F.expr("qid % 7 = 0"), F.slice("word_ids", 1, 3)).otherwise(F.col("word_ids")))
+    gone = question.where("qid % 50 = 1").withColumn("qid", -1 - F.col("qid"))
+    I.update_features(before.unionByName(gone), fx.word_vec, path, columns=["features", "n_missing"])
+    I.update_features(question, fx.word_vec, path, columns=["features", "n_missing"])
+    rows = question_vector_rows(I.read_features(spark, path))
+    return rows.select("qid", "dim", r6("value").alias("value"))
+
+
 @register("date_render",
           "SELECT event_id, coalesce(strftime(ts, '%Y-%m-%d %H:%M:%S'), '') AS ts_text FROM events")
 def q_date_render(spark, sf_dir):
