@@ -15,12 +15,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairlens.operators import pairs as P
+from pairlens.operators.colocated import features_for
 from pairlens.operators.vectors import question_features, question_vector_rows
 from pairlens.plans.oracle_sql import EDIT_DISTANCE, recursive
 from pairlens.plans.oracle_sql import kind as sql_kind
 from pairlens.plans.oracle_sql import r6 as sql_r6
 from pairlens.plans.oracle_sql import with_ctes
-from pairlens.session import reliable_checkpoint
 from pairlens.sources.testdata import prepare
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -75,13 +75,13 @@ class Context:
     def pair_qf(self, names) -> DataFrame:
         """Per-question features joined to both pair sides: pruned to the
         columns ``names`` read, computed once and written to the shared
-        checkpoint folder, so the two pair joins read one copy instead of
-        recomputing it."""
+        checkpoint folder by question, so the two pair joins read one copy
+        in place instead of recomputing or shuffling it."""
         cols = tuple(P.question_columns(names))
         if cols not in self._cache:
             qf = question_features(self.question, self.word_vec, missing=self.missing,
                                    sequence=P.needs_sequence(names), columns=list(cols))
-            self._cache[cols] = reliable_checkpoint(qf.select(*cols))
+            self._cache[cols] = features_for(qf.select(*cols), self.fx.hot)
         return self._cache[cols]
 
     @cached_property

@@ -24,11 +24,11 @@ and labelled pairs.  The same shapes are derived here from ``documents`` and
 from __future__ import annotations
 
 import os
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairlens.operators.colocated import Laid, hot_questions, lay_out
 from pairlens.operators.ordering import with_dense_index
 from pairlens.session import scratch_path
 
@@ -201,10 +201,12 @@ class Prepared(Fixture):
     re-reads files.
     """
 
-    def __init__(self, spark: SparkSession, sf_dir: str, base: str, question_table: str | None = None):
+    def __init__(self, spark: SparkSession, sf_dir: str, base: str, question: Laid, pairs: Laid, hot: bool):
         super().__init__(spark, sf_dir)
         self.base = base
-        self.question_table = question_table
+        self.laid_question, self.laid_pairs = question, pairs
+        #: Whether some question is in very many train pairs; then nothing is joined in place.
+        self.hot = hot
 
     def _read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.base}/{name}")
@@ -218,7 +220,7 @@ class Prepared(Fixture):
         return self._read("vocab")
 
     def question(self, with_chars: bool = False) -> DataFrame:
-        q = self.spark.table(self.question_table) if self.question_table else self._read("question")
+        q = self.laid_question.in_place(self.spark)
         if with_chars:
             chars = self.documents.select(F.col("doc_id").alias("qid"), char_ids().alias("char_ids"))
             q = q.join(chars, "qid")
@@ -226,40 +228,14 @@ class Prepared(Fixture):
 
     @property
     def train_pair(self) -> DataFrame:
-        return self._read("train_pair")
+        return self.laid_pairs.plain(self.spark) if self.hot else self.laid_pairs.in_place(self.spark)
 
     @property
     def test_pair(self) -> DataFrame:
         return self._read("test_pair")
 
 
-_PREPARED: dict[tuple[str, str], tuple[str, str | None]] = {}
-
-
-def write_questions_bucketed(question: DataFrame, path: str) -> str | None:
-    """Write the questions bucketed on qid -> table name (None if not possible).
-
-    Every operator starts by hash-partitioning questions on qid with the
-    session's shuffle partition count; a table bucketed the same way lets
-    the planner drop that shuffle on every read.  The files live in the
-    shared folder; the table is registered only in the session's in-memory
-    catalog (no metastore database is created), and only when the session
-    names its warehouse folder explicitly (the catalog creates that folder;
-    the default would be the working directory).  Otherwise plain parquet is
-    written and the first operator shuffles the questions on qid.
-    """
-    spark = question.sparkSession
-    warehouse = spark.conf.get("spark.sql.warehouse.dir", "").removeprefix("file:").rstrip("/")
-    default_warehouse = os.path.join(os.getcwd(), "spark-warehouse")
-    if (spark.conf.get("spark.sql.catalogImplementation", "in-memory") != "in-memory"
-            or not warehouse or os.path.abspath(warehouse) == default_warehouse):
-        question.write.parquet(path)
-        return None
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = "pairlens_question_" + uuid.uuid4().hex[:12]
-    (question.repartition(n, "qid").write.bucketBy(n, "qid").sortBy("qid")
-             .option("path", path).saveAsTable(name))
-    return name
+_PREPARED: dict[tuple[str, str], tuple[str, Laid, Laid, bool]] = {}
 
 
 def prepare(spark: SparkSession, sf_dir: str) -> Prepared:
@@ -276,10 +252,8 @@ def prepare(spark: SparkSession, sf_dir: str) -> Prepared:
         words = spark.read.parquet(f"{base}/words")
         vocab = vocabulary(words)
         vocab.write.parquet(f"{base}/vocab")
-        table_name = write_questions_bucketed(questions(words, spark.read.parquet(f"{base}/vocab")),
-                                              f"{base}/question")
-        train_pairs(doc_keys(words)).write.parquet(f"{base}/train_pair")
+        question = lay_out(questions(words, spark.read.parquet(f"{base}/vocab")), "qid", "question", f"{base}/question")
+        pairs = lay_out(train_pairs(doc_keys(words)), "q1", "train_pair", f"{base}/train_pair")
         test_pairs(words.select("doc_id")).write.parquet(f"{base}/test_pair")
-        _PREPARED[key] = (base, table_name)
-    base, table_name = _PREPARED[key]
-    return Prepared(spark, sf_dir, base, table_name)
+        _PREPARED[key] = (base, question, pairs, hot_questions(pairs.plain(spark)))
+    return Prepared(spark, sf_dir, *_PREPARED[key])
