@@ -14,6 +14,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from pairlens.functions.dates import parse_time, render_time
+from pairlens.functions.ids import encode_id
 from pairlens.operators import components as C
 from pairlens.operators import evaluate as EV
 from pairlens.operators import incremental as I
@@ -218,6 +219,24 @@ def q_stream_score_pairs(spark, sf_dir):
     return back.select("q1", "q2", "prediction", r6("p0").alias("p0"), r6("p1").alias("p1"))
 
 
+@register("stream_score_once", with_ctes(
+    f"SELECT q1, q2, prediction, {sql_r6('p0')} AS p0, {sql_r6('p1')} AS p1 FROM test_scored "
+    f"UNION ALL SELECT q2, q1, prediction, {sql_r6('p0')}, {sql_r6('p1')} FROM test_scored", "test_scored"))
+def q_stream_score_once(spark, sf_dir):
+    """Every test pair comes in files of two runs, the second time with its reverse: one prediction for each ordered pair."""
+    src, sink, ckpt = (scratch_path(spark, n) for n in ("stream_in", "stream_out", "stream_ckpt"))
+    ctx = Context(spark, sf_dir)
+    pairs = ctx.fx.test_pair.select("q1", "q2")
+    qf = ctx.pair_qf(["jaccard_set"])
+    for arriving in (pairs, pairs.union(pairs.select("q2", "q1"))):
+        arriving.select(encode_id(K.QUESTION_PREFIX, "q1").alias("q1"), encode_id(K.QUESTION_PREFIX, "q2").alias("q2")) \
+            .write.mode("append").option("header", True).csv(src)
+        score_stream(spark, src, qf, ["jaccard_set"], sink, ckpt, scorer=EV.rule_scorer, dedupe_within="1 day",
+                     by_batch=True).awaitTermination()
+    back = S.read_predictions(spark, f"{sink}/batch-*")
+    return back.select("q1", "q2", "prediction", r6("p0").alias("p0"), r6("p1").alias("p1"))
+
+
 # -- step 7: evaluation on the deterministic scorer ----------------------------------------
 
 @register("eval_logloss", with_ctes(
@@ -471,14 +490,28 @@ for _m in ("lr", "gbt", "svm", "mlp"):
 
 @register("cv_metrics")
 def q_cv_metrics(spark, sf_dir):
-    """Average cross-validation AUC per grid point of the LR search."""
-    res = _trained(spark, sf_dir, "lr")
-    grid = res.model.getEstimatorParamMaps()
-    rows = [("lr", i, float(list(pm.values())[0]) if pm else None, float(m))
-            for i, (pm, m) in enumerate(zip(grid, res.avg_metrics))]
+    """Average exact AUC over the folds, per model and grid point."""
+    rows = []
+    for model in ("lr", "gbt", "svm", "mlp"):
+        res = _trained(spark, sf_dir, model)
+        rows += [(model, i, float(list(pm.values())[0]) if pm else None, float(m))
+                 for i, (pm, m) in enumerate(zip(res.model.getEstimatorParamMaps(), res.avg_metrics))]
     return spark.createDataFrame(rows, "model string, param_index int, reg_param double, avg_metric double")
 
 
+@register("model_reports", """
+SELECT app, metric, NOT (app = 'svm' AND metric = 'logloss') AS known, true AS in_range
+FROM (SELECT unnest(['lr', 'gbt', 'svm', 'mlp']) AS app) a, (SELECT unnest(['logloss', 'auc', 'precision']) AS metric) m""")
+def q_model_reports(spark, sf_dir):
+    """The conclusion rows of all four models: which are known (an SVM has no log loss) and in their range."""
+    reports = [EV.report(_trained(spark, sf_dir, m).scored, m, score="score") for m in ("lr", "gbt", "svm", "mlp")]
+    value = F.col("value")
+    fits = F.when(F.col("metric") == "logloss", value >= 0).when(F.col("metric") == "auc", (value >= 0.5) & (value <= 1)) \
+        .otherwise((value >= 0.5) & (value <= 1))
+    return reduce(lambda a, b: a.unionByName(b), reports).select(
+        "app", "metric", value.isNotNull().alias("known"), F.coalesce(fits, F.lit(True)).alias("in_range"))
+
+
 @register("model_report_lr")
 def q_model_report_lr(spark, sf_dir):
     return EV.report(_trained(spark, sf_dir, "lr").scored, "lr", score="score")
