@@ -9,7 +9,7 @@ Where chains join nearly everything into one component, dealing out whole
 components cannot give two sides of a wanted size.  ``linked_by='positive'``
 follows only pairs labelled 1 (questions that say the same); pairs whose two
 questions then fall on different sides belong to neither side and are marked
-``cross``, so no question is ever on both.
+``between``, so no question is ever on both.
 """
 
 from __future__ import annotations
@@ -71,16 +71,16 @@ def _labelled(pairs: DataFrame, linked_by: str) -> DataFrame:
     return joined.withColumns({"c1": F.coalesce("c1", "q1"), "c2": F.coalesce("c2", "q2")})
 
 
-def _sides(pairs: DataFrame, linked_by: str, side, cross: Column, out: str) -> DataFrame:
+def _sides(pairs: DataFrame, linked_by: str, side, apart: Column, out: str) -> DataFrame:
     told = _labelled(pairs, linked_by).withColumns({"_s1": side("c1"), "_s2": side("c2")})
-    value = F.when(F.col("_s1") == F.col("_s2"), F.col("_s1")).otherwise(cross)
+    value = F.when(F.col("_s1") == F.col("_s2"), F.col("_s1")).otherwise(apart)
     return told.withColumns({"component": F.least("c1", "c2"), out: value}).select(*pairs.columns, "component", out)
 
 
 def with_component_split(pairs: DataFrame, train_percent: int = 80, seed: int = 42, linked_by: str = "all") -> DataFrame:
-    """Adds ``component`` and ``part``: 'train' or 'test', or 'cross' for a pair between both sides."""
+    """Adds ``component`` and ``part``: 'train' or 'test', or 'between' for a pair whose questions fall on both."""
     return _sides(pairs, linked_by, lambda c: F.when(bucket(seed, (c,)) < train_percent, "train").otherwise("test"),
-                  F.lit("cross"), "part")
+                  F.lit("between"), "part")
 
 
 def with_component_fold(pairs: DataFrame, folds: int = 3, seed: int = 42, linked_by: str = "all") -> DataFrame:

@@ -342,7 +342,7 @@ _SIDE = "(('0x' || substr(md5(concat_ws(':', {c}::VARCHAR, '42')), 1, 8))::BIGIN
 def _component_sql(name):
     a, b = _SIDE.format(c=f"{name}1.c"), _SIDE.format(c=f"{name}2.c")
     return (f"least({name}1.c, {name}2.c) AS component_{name}, CASE WHEN {a} AND {b} THEN 'train' "
-            f"WHEN NOT {a} AND NOT {b} THEN 'test' ELSE 'cross' END AS part_{name}")
+            f"WHEN NOT {a} AND NOT {b} THEN 'test' ELSE 'between' END AS part_{name}")
 
 
 @register("split_by_component", with_ctes(

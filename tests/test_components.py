@@ -44,7 +44,7 @@ def pairs_of(spark):
 
 def test_no_question_on_both_sides(spark):
     pairs = pairs_of(spark)
-    for add, column, cross in ((C.with_component_split, "part", "cross"), (C.with_component_fold, "fold", -1)):
+    for add, column, cross in ((C.with_component_split, "part", "between"), (C.with_component_fold, "fold", -1)):
         for linked_by in ("all", "positive"):
             out = add(pairs, linked_by=linked_by)
             assert out.columns == [*pairs.columns, "component", column]
