@@ -6,9 +6,12 @@ are hash-joined with those of the benchmark.  A document holds an item when
 windows in the item's order, with any number of words between them, cover 80 %
 of the item's, and either the words
 are the item's own or the slots agree: along one alignment every value of the
-item must stand for one value of the document, which finds a question asked
-again with other numbers and names and leaves alone texts that merely share its
-phrases.
+item must stand for one value of the document and a tenth of the words or more
+must be content words that both have, which finds a question asked again with
+other numbers and names and leaves alone texts that merely share its phrases.
+
+What a word stands for depends on its own text and on fixed lists alone, so other
+documents never change what is found in one.
 """
 
 from __future__ import annotations
@@ -21,8 +24,8 @@ from pairlens.llm.common import small_side, stored
 WINDOW = 5
 #: Least share of an item's windows that a document must hold.
 SHARE = 0.8
-#: Benchmark windows up to which they are broadcast (20 bytes each); more are shuffled.
-BROADCAST_WINDOWS = 500_000
+#: Least share of content words among an alignment's words if its values are others than the item's.
+CONTENT = 0.1
 
 #: Words that are units when they follow a number.
 UNITS = """kg g mg t lb lbs oz km m cm mm mi ft yd inch inches l ml cl s ms min h hr hrs kmh mph usd eur gbp
@@ -37,6 +40,20 @@ OPENERS = """a after all an and are as at before but by can did do does each eve
     wie was wer wo el la los las un una si que quien como cuando donde cuantos le les une quel quelle quand comment
     combien qui""".split()
 
+#: Words that tell nothing of what a sentence is about, besides those above.
+FUNCTION = """about above again also among another any are around because been being below between both could down during either
+    few further here into itself just like many may might more most much must neither nor now off once only other out over own
+    same shall should since such than too under until up upon very was were whether within without would aber alle allem
+    allen aller als also am an andere auch auf aus bei bis dann dass dem den denn des dich dir doch dort durch einem einen einer
+    eines euch für gegen habe haben hat hatte hier ich ihm ihn ihr ihre im ist jede jedem jeden jeder jedes kann kein keine man
+    mehr mein mich mir mit muss nach nicht noch nun nur oder ohne sehr sein seine sich sie sind so über um und uns unter viel
+    viele vielen vom von vor war waren warum weil welche welcher welches wenn werden wie wieder wir wird wurde zu zum zur
+    zwischen al algo como con cual cuales cuanta cuantas cuanto de del desde donde entre era eran es esa ese eso esta este esto
+    estos fue ha hay hasta lo mas más me mi muy ni nos o otra otro para pero por porque qué se sea ser sin sobre son su sus
+    también te tiene todo todos y ya au aux avec ce ces cette dans des du elle en et eux il ils je leur lui ma mais même mes
+    moi mon ne nos notre nous on ou où par pas plus pour sa sans ses son sont sous sur ta tes toi ton tous tout très tu un vos
+    votre vous est été être avoir""".split()
+
 _MARK, _OPENING = "\x01", "\x02"
 # A capitalised word inside a sentence: after a small letter or comma and one blank.
 _NAME = r"(?<=[\p{Ll},;] )\p{Lu}\p{Ll}+"
@@ -49,60 +66,32 @@ def _once(df: DataFrame, *exprs: str) -> DataFrame:
     return df.selectExpr(f"inline(array(struct({', '.join(exprs)})))")
 
 
-def ordinary_words(benchmark: DataFrame, docs: DataFrame) -> list[str]:
-    """The benchmark's words that are no names where they begin a sentence, in small letters.
+def _listed(words: list[str]) -> str:
+    return ", ".join(f"'{w}'" for w in sorted(set(words)))
 
-    They are written in small letters at least as often as with a capital
-    outside of sentences, counted over all texts, or are fixed ones.
-    """
-    def counted(texts: DataFrame, *conditions: Column) -> DataFrame:
-        marked = F.regexp_replace(F.regexp_replace("text", _NAME, _MARK + "$0"), _CAPITAL, _OPENING + "$0") if not conditions else F.col("text")
-        sign = "" if conditions else f"[{_MARK}{_OPENING}]?"
-        words = texts.select(F.explode(F.regexp_extract_all(marked, F.lit(rf"{sign}\p{{L}}+"), F.lit(0))).alias("w"))
-        for condition in conditions:
-            words = words.where(condition)
-        return words.groupBy("w").count()
-
-    small: dict[str, int] = {}
-    capital: dict[str, int] = {}
-    for r in counted(benchmark).collect():
-        if r["w"][0] == _OPENING:
-            capital[r["w"][1:].lower()] = capital.get(r["w"][1:].lower(), 0) + r["count"]
-        elif r["w"][0] != _MARK and r["w"].islower():
-            small[r["w"]] = r["count"]
-    unsure = sorted(set(capital) - set(OPENERS))
-    if unsure:
-        asked = [x for w in unsure for x in (w, w.capitalize())]
-        for r in counted(docs, F.col("w").isin(asked)).collect():
-            kind = small if r["w"].islower() else capital
-            kind[r["w"].lower()] = kind.get(r["w"].lower(), 0) + r["count"]
-    return sorted({w for w in small if small[w] >= capital.get(w, 0)} | set(OPENERS))
-
-
-def templates(rows: DataFrame, key: str, ordinary: list[str]) -> DataFrame:
+
+def templates(rows: DataFrame, key: str) -> DataFrame:
     """(key, words, literal, inside, named): a row's words and what each stands for, at equal places.
 
     ``literal`` has placeholders for numbers and units, ``inside`` for names
     inside sentences too, ``named`` also for capitalised words anywhere else
-    that are not among the ``ordinary`` ones.  A text most of whose words look like names is in title case, and its words
+    that are not among the usual ``OPENERS``.  A text most of whose words look like names is in title case, and its words
     are taken literally.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     joined = F.when(text.rlike(r"\d[.,]\d"), F.regexp_replace(text, r"(?<=\d)[.,](?=\d)", "")).otherwise(text)
     joined = F.regexp_replace(F.regexp_replace(joined, _NAME, _MARK + "$0"), _CAPITAL, _OPENING + "$0")
-    known = ", ".join(f"'{w}'" for w in ordinary)
-    units = ", ".join(f"'{u}'" for u in UNITS)
     out = _once(rows.select(F.col(key).cast("long").alias(key), F.lower(joined).alias("t")),
                 key, rf"array_remove(split(t, r'[^\p{{L}}\p{{N}}{_MARK}{_OPENING}]+'), '') as raw")
     out = _once(out, key, "raw", f"transform(raw, x -> ltrim('{_MARK}{_OPENING}', x)) as words",
                 f"2 * size(filter(raw, x -> startswith(x, '{_MARK}'))) > size(raw) as titled")
     out = _once(out, key, "raw", "words", "titled", f"""transform(words, (x, i) -> case
         when x >= '0' and x < ':' then '<number>'
-        when i > 0 and words[i - 1] >= '0' and words[i - 1] < ':' and x in ({units}) then '<unit>'
+        when i > 0 and words[i - 1] >= '0' and words[i - 1] < ':' and x in ({_listed(UNITS)}) then '<unit>'
         else x end) as literal""")
     out = _once(out, key, "words", "literal", f"""if(titled, literal, transform(raw, (x, i) ->
         if(startswith(x, '{_MARK}'), '<name>', literal[i]))) as inside""", f"""transform(raw, (x, i) ->
-        if(startswith(x, '{_MARK}') or (startswith(x, '{_OPENING}') and not words[i] in ({known})), '<name>', literal[i])) as named""")
+        if(startswith(x, '{_MARK}') or (startswith(x, '{_OPENING}') and not words[i] in ({_listed(OPENERS)})), '<name>', literal[i])) as named""")
     return _once(out, key, "words", "literal", "inside",
                  "if(2 * size(filter(named, x -> x = '<name>')) > size(named), literal, named) as named")
 
@@ -111,21 +100,47 @@ def templates(rows: DataFrame, key: str, ordinary: list[str]) -> DataFrame:
 READINGS = ["inside", "literal", "named"]
 
 
-def windows(templated: DataFrame, key: str, said: bool = False) -> DataFrame:
-    """(key, place, window): the hash of every five template words, in each reading in which they differ.
+def _hashed(templated: DataFrame) -> DataFrame:
+    """The templates of texts with a window, and the hash of each word of each reading."""
+    hashed = [f"transform({r}, x -> xxhash64(x)) as {r}_hash" for r in READINGS]
+    return _once(templated.where(F.size("words") >= WINDOW), *templated.columns, *hashed)
 
-    ``said`` adds the five words and what they stand for.
-    """
-    def read(reading: str, places: str) -> str:
-        hashed = ", ".join(f"{reading}[i + {j}]" for j in range(WINDOW))
-        more = f", 'said', slice(words, i + 1, {WINDOW}), 'kinds', slice({reading}, i + 1, {WINDOW})" if said else ""
-        return f"transform({places}, i -> named_struct('place', i, 'window', xxhash64({hashed}){more}))"
 
+def _read(reading: str, value: str) -> str:
+    """SQL for an array with ``value`` of each window (``i`` its place, ``w`` its hash) that a reading adds to the usual one."""
     usual = READINGS[0]
-    parts = [read(usual, f"sequence(0, size(words) - {WINDOW})")] + [read(r, f"""if({r} = {usual}, cast(array() as array<int>),
-        array_distinct(flatten(transform(filter(sequence(0, size(words) - 1), i -> {r}[i] != {usual}[i]),
-            i -> sequence(greatest(i - {WINDOW - 1}, 0), least(i, size(words) - {WINDOW}))))))""") for r in READINGS[1:]]
-    return templated.where(F.size("words") >= WINDOW).selectExpr(key, f"inline(concat({', '.join(parts)}))")
+    places = f"sequence(0, size(words) - {WINDOW})" if reading == usual else f"""if({reading} = {usual}, cast(array() as array<int>),
+        array_distinct(flatten(transform(filter(sequence(0, size(words) - 1), i -> {reading}[i] != {usual}[i]),
+            i -> sequence(greatest(i - {WINDOW - 1}, 0), least(i, size(words) - {WINDOW}))))))"""
+    w = f"xxhash64({', '.join(f'{reading}_hash[i + {j}]' for j in range(WINDOW))})"
+    return f"transform({places}, i -> {value.format(w=w, reading=reading)})"
+
+
+def window_set(templated: DataFrame, key: str) -> DataFrame:
+    """(key, window): the distinct hashes of a row's windows, in each reading in which they differ."""
+    parts = ", ".join(_read(r, "{w}") for r in READINGS)
+    return _hashed(templated).selectExpr(key, f"explode(array_distinct(concat({parts}))) as window")
+
+
+def windows(templated: DataFrame, key: str) -> DataFrame:
+    """(key, place, window, said, kinds): every window with its five words and what they stand for."""
+    value = (f"named_struct('place', i, 'window', {{w}}, 'said', slice(words, i + 1, {WINDOW}), "
+             f"'kinds', slice({{reading}}, i + 1, {WINDOW}))")
+    return _hashed(templated).selectExpr(key, f"inline(concat({', '.join(_read(r, value) for r in READINGS)}))")
+
+
+def item_windows(items: DataFrame) -> DataFrame:
+    """(item_id, item_place, window, asked, kinds) of the benchmark.
+
+    Windows of placeholders only, which any row of numbers or names has, count
+    only in items that have no other.
+    """
+    own = windows(templates(items, "item_id"), "item_id").select(
+        "item_id", F.col("place").alias("item_place"), "window", F.col("said").alias("asked"), "kinds",
+        F.forall("kinds", lambda x: x.isin("<name>", "<number>", "<unit>")).alias("bare")).distinct()
+    own = stored(own, "item-windows")
+    only = own.groupBy("item_id").agg(F.min("bare").alias("only")).where("only").select("item_id", "only")
+    return own.join(only, "item_id", "left").where("not bare or only").drop("bare", "only")
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -140,24 +155,21 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     are ignored.
     """
     texts = docs.where("doc_id is not null").select("doc_id", "text")
-    items = benchmark.where("item_id is not null").select("item_id", "text")
-    ordinary = ordinary_words(items, texts)
-    items = templates(items, "item_id", ordinary)
-    known = stored(windows(items, "item_id").distinct().withColumnRenamed("place", "item_place"), "item-windows")
-    totals = known.groupBy("item_id").agg(F.countDistinct("item_place").alias("total"))
-    few = known.count() <= BROADCAST_WINDOWS
-    hits = windows(templates(texts, "doc_id", ordinary), "doc_id").join(F.broadcast(known) if few else known, "window")
+    items = stored(item_windows(benchmark.where("item_id is not null").select("item_id", "text")), "asked-windows")
+    totals = items.groupBy("item_id").agg(F.countDistinct("item_place").alias("total"))
+    known = stored(items.select("item_id", "item_place", "window").distinct(), "known-windows")
+    hits = window_set(templates(texts, "doc_id"), "doc_id").join(small_side(known), "window")
     held = hits.select("doc_id", "item_id", "item_place").distinct().groupBy("doc_id", "item_id").agg(
         F.count(F.lit(1)).alias("n_windows"))
     held = held.join(totals, "item_id").where(F.col("n_windows") >= SHARE * F.col("total"))
     held = stored(held.select("doc_id", "item_id", "total"), "held-items")
-    best = _aligned(held, texts, items, ordinary, few).groupBy("doc_id", "item_id").agg(
+    best = _aligned(held, texts, items).groupBy("doc_id", "item_id").agg(
         F.max("n_windows").alias("n_windows"), F.max("share").alias("share"),
         F.max_by("kind", F.struct("n_windows", "kind")).alias("kind"))
     return best.select("doc_id", "item_id", F.col("n_windows").cast("long").alias("n_windows"), "share", "kind")
 
 
-def _aligned(held: DataFrame, texts: DataFrame, items: DataFrame, ordinary: list[str], few: bool) -> DataFrame:
+def _aligned(held: DataFrame, texts: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, n_windows, share and kind of each alignment that shows an item of ``held`` in its document.
 
     Either the item's own words stand in the document in the item's order, or
@@ -166,13 +178,15 @@ def _aligned(held: DataFrame, texts: DataFrame, items: DataFrame, ordinary: list
     the nearest to it where the diagonal has none.
     """
     pair = ["doc_id", "item_id"]
-    read = stored(templates(texts.join(held.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id", ordinary), "held-texts")
-    asked = windows(items, "item_id", said=True).join(held.select("item_id").distinct(), "item_id", "left_semi").select(
-        "item_id", F.col("place").alias("item_place"), "window", F.col("said").alias("asked"), "kinds")
-    hits = (windows(read, "doc_id", said=True).drop("kinds").join(F.broadcast(asked) if few else asked, "window")
+    read = stored(templates(texts.join(held.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id"), "held-texts")
+    asked = stored(items.join(held.select("item_id").distinct(), "item_id", "left_semi"), "asked-items")
+    size = F.expr("100 + aggregate(concat(asked, kinds), 0L, (n, x) -> n + octet_length(x))")
+    hits = (windows(read, "doc_id").drop("kinds").join(small_side(asked, size), "window")
             .join(held, pair).selectExpr(*pair, "total", "item_place", "place", "place - item_place as shift", "said = asked as same",
                                          f"""filter(transform(sequence(0, {WINDOW - 1}), j -> named_struct('slot', kinds[j],
-                'item_value', asked[j], 'value', said[j])), x -> x.slot in ('<name>', '<number>', '<unit>')) as slots"""))
+                'item_value', asked[j], 'value', said[j])), x -> x.slot in ('<name>', '<number>', '<unit>')) as slots""",
+                                         f"""transform(sequence(0, {WINDOW - 1}), j -> named_struct('at', item_place + j, 'content',
+                length(kinds[j]) > 2 and not kinds[j] in ('<name>', '<number>', '<unit>', {_listed(OPENERS + FUNCTION)}))) as read"""))
     hits = stored(hits, "held-windows")
     enough = F.col("n_windows") >= SHARE * F.col("total")
     # The longest row of literal windows that rises in both texts: of each length the least end.
@@ -201,14 +215,17 @@ def _aligned(held: DataFrame, texts: DataFrame, items: DataFrame, ordinary: list
         t -> get(t, size(t) - 1).row) as row"""))
     near = near.where(F.size("row") >= SHARE * F.col("total")).selectExpr(*pair, "main", "inline(row)")
     near = near.join(rest, [*pair, "item_place", "place"])
-    columns = [*pair, "total", "main", "item_place", "slots"]
+    columns = [*pair, "total", "main", "item_place", "slots", "read"]
     rows = stored(whole.select(columns).union(near.select(columns)), "alignments")
     counted = rows.groupBy(*pair, "total", "main").agg(F.countDistinct("item_place").alias("n_windows"))
     each = rows.selectExpr(*pair, "main", "inline(slots)").groupBy(*pair, "main", "slot", "item_value").agg(
         F.countDistinct("value").alias("values"), F.max(F.col("value") != F.col("item_value")).alias("other"))
     fits = each.groupBy(*pair, "main").agg(F.max("values").alias("values"), F.max("other").alias("other"))
-    again = counted.join(fits, [*pair, "main"], "left").where("values is null or values = 1").select(
-        *pair, "total", "n_windows", F.when(F.col("other"), "reparameterised").otherwise("verbatim").alias("kind"))
+    about = rows.selectExpr(*pair, "main", "inline(read)").groupBy(*pair, "main", "at").agg(F.max("content").alias("content"))
+    about = about.groupBy(*pair, "main").agg(F.avg(F.col("content").cast("double")).alias("content"))
+    again = counted.join(fits, [*pair, "main"], "left").join(about, [*pair, "main"]).where(
+        (F.col("values").isNull() | (F.col("values") == 1)) & (~F.coalesce("other", F.lit(False)) | (F.col("content") >= CONTENT)))
+    again = again.select(*pair, "total", "n_windows", F.when(F.col("other"), "reparameterised").otherwise("verbatim").alias("kind"))
     return literal.withColumn("kind", F.lit("verbatim")).unionByName(again).withColumn(
         "share", F.col("n_windows") / F.col("total"))
 
