@@ -32,16 +32,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairlens.llm.common import small_side, stored
+from pairlens.llm.common import stored
 from pairlens.llm.graph import components
-from pairlens.llm.minhash import Words, shingles
+from pairlens.llm.shingling import Words, digest, linked, node_sets, shingles
 
 #: Coordinates of a point; groups of a run.
 GROUPS, RUN_GROUPS = 128, 32
+#: The largest count that a point tells.
+MANY = 65_535
 #: Entries of a leaf and of an inner node.
 LEAF, FANOUT = 64, 64
-#: Verified partners that share one travelling set.
-BLOCK = 256
 
 _ONE, _TWO, _THREE = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 #: One random summand for each group of a run: the sum stands for the counts.
@@ -96,13 +96,19 @@ def cells(shingle_set: np.ndarray, classes: Classes) -> np.ndarray:
 
 
 def point(shingle_set: np.ndarray) -> bytes:
-    """The counts of the groups; big-endian, so that byte order is the order of counts."""
+    """The counts of the groups, ``MANY`` for any larger one; big-endian, so that byte order is the order of counts."""
     group = _mix(shingle_set * _THREE) % np.uint64(GROUPS)
-    return np.bincount(group.astype(np.int64), minlength=GROUPS).astype(">u4").tobytes()
+    return np.minimum(np.bincount(group.astype(np.int64), minlength=GROUPS), MANY).astype(">u2").tobytes()
 
 
 def _points(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column), ">u4").astype(np.int64).reshape(-1, GROUPS)
+    return np.frombuffer(b"".join(column), ">u2").reshape(-1, GROUPS).astype(np.int32)
+
+
+def _common(points: np.ndarray, points2: np.ndarray) -> np.ndarray:
+    """The most that sets with these counts can have in common: no bound where both counts are ``MANY``."""
+    least = np.minimum(points, points2)
+    return np.where((least == MANY).any(-1), np.int64(1) << 40, least.sum(-1))
 
 
 def _may_link(common, size_a, size_b, percent: int):
@@ -110,12 +116,6 @@ def _may_link(common, size_a, size_b, percent: int):
     return (100 + percent) * common >= percent * (size_a + size_b)
 
 
-def _digest(shingle_set: np.ndarray) -> bytes:
-    import xxhash
-
-    return xxhash.xxh3_128_digest(shingle_set.tobytes())
-
-
 def _described(docs: DataFrame, words: int, percent: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, classes = Words(), Classes(percent)
@@ -124,7 +124,7 @@ def _described(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 part, out = batch[start:start + 1000], []
                 for text in part["text"]:
                     s = shingles(text, words, hashes)
-                    out.append((len(s), _digest(s), point(s), cells(s, classes)) if len(s) else (0, None, None, None))
+                    out.append((len(s), digest(s), point(s), cells(s, classes)) if len(s) else (0, None, None, None))
                 out = pd.DataFrame(out, columns=["n_shingles", "digest", "point", "cells"])
                 out.insert(0, "doc_id", part["doc_id"].to_numpy())
                 yield out
@@ -132,48 +132,6 @@ def _described(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return docs.mapInPandas(run, "doc_id long, n_shingles long, digest binary, point binary, cells array<long>")
 
 
-def _sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """(node, set) of the ``nodes`` (node, doc_id, digest); the digest tells a node's text from others of its doc_id."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = Words()
-        for batch in batches:
-            for start in range(0, len(batch), 500):
-                part = batch[start:start + 500]
-                sets = [shingles(t, words, hashes) for t in part["text"]]
-                same = [_digest(s) == d for s, d in zip(sets, part["digest"])]
-                yield pd.DataFrame({"node": part["node"][same], "set": [s.tobytes() for s, yes in zip(sets, same) if yes]})
-
-    found = docs.join(small_side(nodes), "doc_id").select("node", "digest", "text").mapInPandas(run, "node long, set binary")
-    return found.dropDuplicates(["node"])
-
-
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) of ``pairs`` whose full sets link; b's set travels once for ``BLOCK`` partners."""
-    salts = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("salts"))
-    asked = pairs.join(salts, "b").select(F.col("a").alias("node"), F.col("b").alias("target"),
-                                          F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"))
-    targets = salts.select(F.col("b").alias("node"), F.col("b").alias("target"),
-                           F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        target, other = None, np.empty(0, np.uint64)
-        for batch in batches:
-            out = []
-            for t, kind, node, raw in zip(batch["target"], batch["kind"], batch["node"], batch["set"]):
-                s = np.frombuffer(raw, np.uint64)
-                if kind == 0:
-                    target, other = t, s
-                elif t == target:
-                    common = len(np.intersect1d(s, other, assume_unique=True))
-                    if 100 * common >= percent * (len(s) + len(other) - common):
-                        out.append((node, t))
-            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    return (asked.union(targets).join(sets, "node").repartition("target", "salt")
-            .sortWithinPartitions("target", "salt", "kind").select("target", "kind", "node", "set")
-            .mapInPandas(run, "a long, b long"))
-
-
 # -- the tree ----------------------------------------------------------------------------
 
 _BOX = "key long, box long, parent long, high binary, least long, most long, low_component long, high_component long"
@@ -182,47 +140,42 @@ _ENTRIES = "nodes array<long>, sizes array<long>, components array<long>, points
 
 def _packer(per: int, leaves: bool):
     """Rows in order -> consecutive ones of a key packed into boxes of at most ``per``."""
+    columns = ["key", "box", "high", "least", "most", "low_component", "high_component"]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 40
-        held: pd.DataFrame | None = None
+        held: list[np.ndarray] | None = None
 
-        def box(rows: pd.DataFrame) -> dict:
+        def boxes(rows: list[np.ndarray], last: bool) -> tuple[list[tuple], list[np.ndarray] | None]:
+            """The boxes of full runs of a key, and the rows of one that may go on."""
             nonlocal number
-            number += 1
-            high = _points(rows["high"])
-            out = {"key": rows["key"].iloc[0], "box": number, "parent": None, "high": high.max(0).astype(">u4").tobytes(),
-                   "least": rows["least"].min(), "most": rows["most"].max(),
-                   "low_component": rows["low_component"].min(), "high_component": rows["high_component"].max()}
-            if leaves:
-                out |= {"nodes": rows["box"].to_numpy(), "sizes": rows["least"].to_numpy(),
-                        "components": rows["low_component"].to_numpy(), "points": b"".join(rows["high"])}
-            else:
-                out |= {"children": rows["box"].to_numpy()}
-            return out
-
-        def boxes(rows: pd.DataFrame, last: bool) -> tuple[list[dict], pd.DataFrame | None]:
-            out, rest = [], None
-            keys = rows["key"].to_numpy()
-            borders = np.flatnonzero(np.diff(keys, prepend=keys[0] - 1, append=keys[-1] + 1))
-            for lo, hi in zip(borders, borders[1:]):
+            key, box, high, least, most, low, top = rows
+            border = np.flatnonzero(key[1:] != key[:-1]) + 1
+            out = []
+            for lo, hi in zip([0, *border.tolist()], [*border.tolist(), len(key)]):
                 for at in range(lo, hi, per):
-                    part = rows[at:min(at + per, hi)]
-                    if not last and hi == len(keys) and at + per >= hi:
-                        rest = part
-                    else:
-                        out.append(box(part))
-            return out, rest
-
+                    to = min(at + per, hi)
+                    if not last and to == len(key):
+                        return out, [c[at:] for c in rows]
+                    number += 1
+                    points = b"".join(high[at:to])
+                    own = ((box[at:to], least[at:to], low[at:to], points) if leaves else (box[at:to],))
+                    bound = np.frombuffer(points, ">u2").reshape(-1, GROUPS).max(0).astype(">u2").tobytes()
+                    out.append((key[at], number, None, bound, least[at:to].min(), most[at:to].max(), low[at:to].min(),
+                                top[at:to].max(), *own))
+            return out, None
+
+        names = ["key", "box", "parent", "high", "least", "most", "low_component", "high_component",
+                 *(["nodes", "sizes", "components", "points"] if leaves else ["children"])]
         for batch in batches:
             if len(batch):
-                rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
-                out, held = boxes(rows, last=False)
-                if out:
-                    yield pd.DataFrame(out)
+                rows = [batch[c].to_numpy() for c in columns]
+                out, held = boxes(rows if held is None else [np.concatenate(x) for x in zip(held, rows)], last=False)
+                yield pd.DataFrame(out, columns=names)
         if held is not None:
-            yield pd.DataFrame(boxes(held.reset_index(drop=True), last=True)[0])
+            yield pd.DataFrame(boxes(held, last=True)[0], columns=names)
 
     return run
 
@@ -249,7 +202,7 @@ def _surviving(pairs: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                common = np.minimum(_points(batch["high"]), _points(batch["high2"])).sum(1)
+                common = _common(_points(batch["high"]), _points(batch["high2"]))
                 yield batch.loc[_may_link(common, batch["least"].to_numpy(), batch["least2"].to_numpy(), percent),
                                 ["key", "box", "box2"]]
 
@@ -286,31 +239,40 @@ def tree_join(entries: DataFrame, percent: int) -> DataFrame:
         up = pairs.select(F.col("box").alias("parent"), F.col("box2").alias("parent2"))
         below = up.join(left, "parent").join(right.drop("key"), "parent2")
         pairs = _surviving(below.where("parent != parent2 or box <= box2"), percent)
-    pairs = stored(pairs.select("box", "box2"), "leaf-pairs")
+    pairs = stored(pairs.select("box", "box2").where("box != box2"), "leaf-pairs")
+
+    def compared(row, other) -> np.ndarray | None:
+        """The pairs of nodes of two leaves (or of one, if ``other`` is None) that may be links."""
+        nodes, sizes, comps, points = row
+        nodes2, sizes2, comps2, points2 = other or row
+        common = _common(points[:, None], points2[None, :])
+        yes = _may_link(common, sizes[:, None], sizes2[None, :], percent) & (comps[:, None] != comps2[None, :])
+        if other is None:
+            yes = np.triu(yes, 1)
+        i, j = np.nonzero(yes)
+        return np.stack([nodes[i], nodes2[j]]) if len(i) else None
+
+    def found(parts: list) -> pd.DataFrame:
+        both = np.concatenate([p for p in parts if p is not None] or [np.empty((2, 0), np.int64)], 1)
+        return pd.DataFrame({"a": both.max(0), "b": both.min(0)}, dtype="int64").drop_duplicates()
+
+    def within(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield found([compared((*map(np.asarray, r[:3]), _points([r[3]])), None) for r in zip(
+                batch["nodes"], batch["sizes"], batch["components"], batch["points"])])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def between(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                first, second = _points([row.points]), _points([row.points2])
-                sizes, sizes2 = np.asarray(row.sizes), np.asarray(row.sizes2)
-                comps, comps2 = np.asarray(row.components), np.asarray(row.components2)
-                nodes, nodes2 = np.asarray(row.nodes), np.asarray(row.nodes2)
-                found = []
-                for i in range(len(nodes)):
-                    common = np.minimum(first[i], second).sum(1)
-                    yes = _may_link(common, sizes[i], sizes2, percent) & (comps2 != comps[i])
-                    if row.box == row.box2:
-                        yes[:i + 1] = False
-                    if yes.any():
-                        found.append(np.stack([np.full(yes.sum(), nodes[i]), nodes2[yes]]))
-                if found:
-                    both = np.concatenate(found, 1)
-                    yield pd.DataFrame({"a": both.max(0), "b": both.min(0)})
-
-    leaves = levels[0].select("box", "nodes", "sizes", "components", "points")
-    seconds = leaves.toDF("box2", "nodes2", "sizes2", "components2", "points2")
-    met = pairs.join(leaves, "box").join(seconds, "box2")
-    return met.mapInPandas(run, "a long, b long").distinct()
+            yield found([compared((*map(np.asarray, r[:3]), _points([r[3]])), (*map(np.asarray, r[4:7]), _points([r[7]])))
+                         for r in zip(*(batch[c] for c in [*entry, *(f"{c}2" for c in entry)]))])
+
+    entry = ["nodes", "sizes", "components", "points"]
+    # A leaf with itself needs no other row; only pairs of leaves travel.
+    own = levels[0].where("low_component != high_component").select(*entry).mapInPandas(within, "a long, b long")
+    leaves = levels[0].select("box", *entry)
+    seconds = leaves.toDF("box2", *(f"{c}2" for c in entry))
+    met = pairs.join(leaves, "box").join(seconds, "box2").select(*entry, *(f"{c}2" for c in entry))
+    return own.union(met.mapInPandas(between, "a long, b long")).distinct()
 
 
 def similarity_join(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
@@ -337,16 +299,20 @@ def similarity_join(docs: DataFrame, words: int = 3, percent: int = 90) -> DataF
     centres = members.groupBy("node").agg(F.min("centre").alias("c1"), F.max_by("centre", F.struct("n", "key")).alias("c2"))
     pairs = centres.select(F.col("node").alias("a"), F.explode(F.array("c1", "c2")).alias("b")).where("a != b").distinct()
     compared = members.select("node").distinct()
-    sets = stored(_sets(texts, stored(nodes.join(compared, "node", "left_semi").select("node", "doc_id", "digest"), "compared"),
-                        words), "node-sets")
-    links = stored(_linked(pairs, sets, percent), "links")
+    sets = stored(node_sets(texts, stored(nodes.join(compared, "node", "left_semi").select("node", "doc_id", "digest"), "compared"),
+                            words), "node-sets")
+    links = stored(linked(pairs, sets, percent), "links")
     labels = stored(components(links), "labels")
 
     # What shares a cell but lies in different components goes into the tree.
     now = members.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    open_ = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
+    open_ = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n"),
+                                   *[F.bit_xor(F.xxhash64(F.lit(i), "node")).alias(f"x{i}") for i in range(2)]).where("lo != hi")
+    # Cells with the same nodes say the same; one of them is enough.
+    open_ = open_.groupBy("n", "x0", "x1").agg(F.min("key").alias("key")).select("key")
     entries = stored(now.join(open_, "key").join(nodes.select("node", "size", "point"), "node"), "tree-entries")
-    more = stored(_linked(tree_join(entries, percent).join(pairs, ["a", "b"], "left_anti"), sets, percent), "links")
+    asked = stored(tree_join(entries, percent).join(pairs, ["a", "b"], "left_anti"), "surviving-pairs")
+    more = stored(linked(asked, sets, percent), "links")
     if not more.isEmpty():
         labels = stored(components(links.union(more)), "labels")
 
