@@ -26,19 +26,22 @@ EXAMPLES = 6_000
 BEFORE, AFTER = 48, 16
 
 _MARK = "\x01"
-#: Longest value that is read.
-LONGEST = 4_096
-#: What stands before a value, and the value itself with the character before it.
+#: Characters read for a value at first; one that fills them is read again to its end.
+WINDOW = 1_024
+#: What stands before a value; the value itself with the character before it; all that such a value may hold.
 PATTERNS = [
-    (r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,64}[0-9])(?=[A-Za-z0-9+/_-]{16})", r"(?s)^.?([A-Za-z0-9+/_-]{16,}={0,2})"),
+    (r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[A-Za-z0-9+/_-]{16})", r"(?s)^.?([A-Za-z0-9+/_-]{16,}={0,2})",
+     r"[A-Za-z0-9+/_=-]"),
     # An assignment: the keyword, words joined to it, a sign; a quoted value goes to the quote.
     (r"""(?i)(?:token|secret|passw(?:or)?d|passphrase|passcode|pwd|(?:api|access|private|signing|encryption|master|account|shared)[ _.-]?key"""
      r"""|auth(?:orization)?|credential|bearer)s?(?:[_.-][a-z0-9]{1,20}|[ _.-]?(?:key|token|value|phrase|code)){0,4}"""
      r"""["']?\s{0,3}(?::=|=>|[:=])\s{0,3}["']?(?=[^\s"']{4})""",
-     r"""(?s)^.((?<=["\x27])[^\s"\x27]{4,}|(?<!["\x27])[^\s"\x27,;<>(){}\[\]]{3,}[^\s"\x27,;.:<>(){}\[\]])"""),
+     r"""(?s)^.((?<=["\x27])[^\s"\x27]{4,}|(?<!["\x27])[^\s"\x27,;<>(){}\[\]]{3,}[^\s"\x27,;.:<>(){}\[\]])""",
+     r"""[^\s"\x27]"""),
     # What an Authorization header bears, and the password of a URL.
-    (r"(?i)\b(?:bearer|basic)\s{1,3}(?=[A-Za-z0-9._~+/-]{8})", r"(?s)^.([A-Za-z0-9._~+/-]{7,}[A-Za-z0-9_~+/-]={0,2})"),
-    (r"""://[^\s/:@"'<>]{0,80}:(?=[^\s/@"'<>]{3,200}@)""", r"""(?s)^.([^\s/@"\x27<>]{3,200})@"""),
+    (r"(?i)\b(?:bearer|basic)\s{1,3}(?=[A-Za-z0-9._~+/-]{8})", r"(?s)^.([A-Za-z0-9._~+/-]{7,}[A-Za-z0-9_~+/-]={0,2})",
+     r"[A-Za-z0-9._~+/=-]"),
+    (r"""://[^\s/:@"'<>]*+:(?=[^\s/@"'<>]{3,}+@)""", r"""(?s)^.([^\s/@"\x27<>]{3,})@""", r"""[^\s/"\x27<>]"""),
 ]
 #: Neighbouring words for and against, and pieces of plain words.
 _FOR = r"(?i)(token|secret|passw(or)?d|passphrase|passcode|pwd|key|auth|bearer|credential|private|access|client)"
@@ -50,24 +53,26 @@ FEATURES = ["size", "kinds", "digits", "upper", "lower", "vowels", "transitions"
 
 
 def candidates(rows: DataFrame, key: str) -> DataFrame:
-    """(row, key, candidate, start, before, after): every occurrence of a candidate, ``row`` numbers the texts."""
+    """(row, key, text_key, candidate, start, before, after): every occurrence of a candidate, ``row`` numbers the texts."""
     # A mark goes before each value; a mark of the text's own becomes a blank, so that places stay.
     clean = rows.where(F.col("text").isNotNull()).select(
         F.monotonically_increasing_id().alias("row"), F.col(key).cast("long").alias(key),
-        F.translate(F.col("text").cast("string"), _MARK, " ").alias("t"))
+        F.col("text").cast("string").alias("own"), F.translate(F.col("text").cast("string"), _MARK, " ").alias("t"))
     marked = [F.split(F.regexp_replace("t", F.lit(lead), F.lit("$0" + _MARK)), _MARK).alias(f"m{k}")
-              for k, (lead, _) in enumerate(PATTERNS)]
+              for k, (lead, _, _) in enumerate(PATTERNS)]
     marked = clean.select("*", *marked).where(" or ".join(f"size(m{k}) > 1" for k in range(len(PATTERNS))))
     marked = marked.selectExpr("inline(array(struct(*)))")  # computed once, not again in each use
     starts = [f"""aggregate(slice(m{k}, 2, size(m{k})), named_struct('at', length(m{k}[0]), 'starts', cast(array() as array<int>)),
         (s, x) -> named_struct('at', s.at + length(x), 'starts', concat(s.starts, array(s.at + 1))), s -> s.starts)"""
               for k in range(len(PATTERNS))]
     # The value may begin at the text's first character, which has none before it.
+    read = "if(i = 1, concat(' ', substring(t, 1{0})), substring(t, i - 1{1}))"
+    seen, rest = read.format(f", {WINDOW}", f", {WINDOW} + 1"), read.format("", "")
     spans = [f"""transform({starts[k]}, i -> named_struct('start', i, 'size', length(regexp_extract(
-        if(i = 1, concat(' ', substring(t, 1, {LONGEST})), substring(t, i - 1, {LONGEST} + 1)), r'{value}', 1))))"""
-             for k, (_, value) in enumerate(PATTERNS)]
+        if(length(t) >= i + {WINDOW} and {seen} rlike r'(?s)^.{held}*+$', {rest}, {seen}), r'{value}', 1))))"""
+             for k, (_, value, held) in enumerate(PATTERNS)]
     # Cut out what surrounds a candidate before rows are multiplied, so that no row repeats its text.
-    return marked.selectExpr("row", key, f"""inline(transform(filter(array_distinct(concat({', '.join(spans)})), x -> x.size > 0),
+    return marked.selectExpr("row", key, "sha2(own, 256) as text_key", f"""inline(transform(filter(array_distinct(concat({', '.join(spans)})), x -> x.size > 0),
         x -> named_struct('candidate', substring(t, x.start, x.size), 'start', cast(x.start as long),
             'before', substring(t, greatest(1, x.start - {BEFORE}), least({BEFORE}, x.start - 1)),
             'after', substring(t, x.start + x.size, {AFTER}))))""")
@@ -196,39 +201,58 @@ def train(findings: DataFrame) -> PipelineModel:
     return Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="features"), forest]).fit(with_features(cut))
 
 
+def _found(docs: DataFrame, model: PipelineModel) -> DataFrame:
+    """(row, doc_id, text_key, candidate, first, n_found, probability) of the confirmed values."""
+    scored = model.transform(with_features(candidates(docs, "doc_id")))
+    first = F.when(F.col("prediction") == 1, F.struct("start", "before"))
+    found = scored.groupBy("row", "doc_id", "candidate").agg(
+        F.min(first).alias("first"), F.count(F.lit(1)).alias("n_found"), F.first("text_key").alias("text_key"),
+        F.max(vector_to_array("probability")[1]).alias("probability"))
+    return found.where("first is not null")
+
+
 def find_secrets(docs: DataFrame, model: PipelineModel) -> DataFrame:
     """doc_id, secret, start, n_found, before and probability of each secret the forest confirms.
 
     Every occurrence is judged in its own context; a value is a secret if one
     of them is confirmed.  One row per row of ``docs`` and distinct value, with
     the place of the first confirmed occurrence (from 1), the number of its
-    occurrences, confirmed or not, and the highest probability.  Null and empty
-    texts have none; null ids and repeated rows are scanned like any other; an
-    empty table gives an empty result; other columns are ignored.
+    occurrences, confirmed or not, and the highest probability.  A value is read
+    to its end, however long it is.  Null and empty texts have none; null ids and
+    repeated rows are scanned like any other; an empty table gives an empty
+    result; other columns are ignored.
     """
-    scored = model.transform(with_features(candidates(docs, "doc_id")))
-    first = F.when(F.col("prediction") == 1, F.struct("start", "before"))
-    found = scored.groupBy("row", "doc_id", "candidate").agg(
-        F.min(first).alias("first"), F.count(F.lit(1)).alias("n_found"),
-        F.max(vector_to_array("probability")[1]).alias("probability"))
-    return found.where("first is not null").select(
+    return _found(docs, model).select(
         "doc_id", F.col("candidate").alias("secret"), "first.start", "n_found", "first.before",
         F.round("probability", 6).alias("probability"))
 
 
-def redact(docs: DataFrame, secrets: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with each of its secrets replaced by ``mark``, and ``n_chars`` counted anew if there is one.
+def text_key(col: str = "text"):
+    """Tells texts apart, whatever the ids of their rows."""
+    return F.sha2(F.col(col).cast("string"), 256)
+
+
+def redact(docs: DataFrame, model: PipelineModel, mark: str = "[SECRET]") -> DataFrame:
+    """``docs`` with the secrets that the forest confirms in a row's text replaced by ``mark``.
 
-    Rows without a finding, and rows without doc_id, are unchanged.
+    A secret goes wherever it stands as a whole, not inside a longer word.
+    ``n_chars``, if there is one, is counted anew for changed rows.  Rows are
+    told apart by their texts, so rows without doc_id and rows that repeat one
+    are treated like any other; rows without a finding and null texts are
+    unchanged; an empty table gives an empty result; all columns are kept.
     """
-    by_doc = secrets.where("doc_id is not null").groupBy("doc_id").agg(F.collect_set("secret").alias("__secrets"))
+    found = _found(docs.select(F.lit(None).cast("long").alias("doc_id"), "text"), model)
+    by_text = found.groupBy(F.col("text_key").alias("__key")).agg(F.collect_set("candidate").alias("__secrets"))
     # Longest first, so that a secret inside another one does not cut it.
-    ordered = by_doc.select("doc_id", F.expr("array_sort(__secrets, (x, y) -> case when length(x) != length(y) "
-                                             "then length(y) - length(x) when x < y then -1 when x > y then 1 else 0 end)")
-                            .alias("__secrets"))
-    joined = docs.join(small_side(stored(ordered, "secrets-by-doc")), "doc_id", "left")
+    ordered = stored(by_text.select("__key", F.expr(
+        "array_sort(__secrets, (x, y) -> case when length(x) != length(y) "
+        "then length(y) - length(x) when x < y then -1 when x > y then 1 else 0 end)").alias("__secrets")), "secrets-by-text")
+    size = F.expr("aggregate(__secrets, 100L, (n, x) -> n + octet_length(x))")
+    joined = docs.withColumn("__key", text_key()).join(small_side(ordered, size), "__key", "left")
+    whole = lambda s: F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), F.replace(s, F.lit(r"\E"), F.lit(r"\E\\E\Q")),
+                               F.lit(r"\E(?![\p{L}\p{N}])"))
     text = F.when(F.col("__secrets").isNull(), F.col("text")).otherwise(
-        F.aggregate("__secrets", F.col("text").cast("string"), lambda t, s: F.replace(t, s, F.lit(mark))))
+        F.aggregate("__secrets", F.col("text").cast("string"), lambda t, s: F.regexp_replace(t, whole(s), F.lit(mark))))
     out = {"text": text}
     if "n_chars" in docs.columns:
         out["n_chars"] = F.when(F.col("__secrets").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))

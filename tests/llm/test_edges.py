@@ -44,7 +44,7 @@ def runs(spark, labels, benchmark):
         "minhash": lambda d: minhash.near_duplicates(d, 2, 80),
         "leaks": lambda d: decontaminate.find_leaks(d, benchmark),
         "secrets": lambda d: secrets.find_secrets(d, forest),
-        "redact": lambda d: secrets.redact(d, secrets.find_secrets(d, forest)),
+        "redact": lambda d: secrets.redact(d, forest),
         "no leaks": lambda d: decontaminate.drop_leaks(d, benchmark),
         "no copies": lambda d: minhash.drop_near_duplicates(d),
         "no toxic": lambda d: toxicity.drop_toxic(d, model),

@@ -344,7 +344,7 @@ def test_secrets(spark):
     assert {r["doc_id"] for r in found.collect()} == {0}
     r = found.first()
     assert texts[0][r["start"] - 1:][:40] == r["secret"] and r["n_found"] == 1
-    clean = {r["doc_id"]: r["text"] for r in secrets.redact(rows, found).collect()}
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(rows, model).collect()}
     assert clean[0] == 'set token = "[SECRET]" now' and all(clean[i] == texts[i] for i in range(1, len(texts)))
 
 
@@ -374,7 +374,7 @@ def test_secrets_of_every_form(spark):
     found = secrets.find_secrets(rows, model)
     got = {r["doc_id"]: r["secret"] for r in found.collect()}
     assert got == {i: forms[i % len(forms)][1] for i in range(2 * len(forms))}
-    clean = {r["doc_id"]: r["text"] for r in secrets.redact(rows, found).collect()}
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(rows, model).collect()}
     assert all(clean[i] == f % "[SECRET]" for i, (f, _) in enumerate(forms))
 
 
