@@ -102,24 +102,26 @@ READINGS = ["inside", "literal", "named"]
 
 def _hashed(templated: DataFrame) -> DataFrame:
     """The templates of texts with a window, and the hash of each word of each reading."""
-    hashed = [f"transform({r}, x -> xxhash64(x)) as {r}_hash" for r in READINGS]
-    return _once(templated.where(F.size("words") >= WINDOW), *templated.columns, *hashed)
+    usual = READINGS[0]
+    out = _once(templated.where(F.size("words") >= WINDOW), *templated.columns, f"transform({usual}, x -> xxhash64(x)) as {usual}_hash")
+    return _once(out, *out.columns, *[f"if({r} = {usual}, cast(null as array<bigint>), transform({r}, (x, i) -> "
+                                      f"if(x = {usual}[i], {usual}_hash[i], xxhash64(x)))) as {r}_hash" for r in READINGS[1:]])
 
 
 def _read(reading: str, value: str) -> str:
     """SQL for an array with ``value`` of each window (``i`` its place, ``w`` its hash) that a reading adds to the usual one."""
     usual = READINGS[0]
-    places = f"sequence(0, size(words) - {WINDOW})" if reading == usual else f"""if({reading} = {usual}, cast(array() as array<int>),
-        array_distinct(flatten(transform(filter(sequence(0, size(words) - 1), i -> {reading}[i] != {usual}[i]),
+    places = f"sequence(0, size(words) - {WINDOW})" if reading == usual else f"""if({reading}_hash is null, cast(array() as array<int>),
+        array_distinct(flatten(transform(filter(sequence(0, size(words) - 1), i -> {reading}_hash[i] != {usual}_hash[i]),
             i -> sequence(greatest(i - {WINDOW - 1}, 0), least(i, size(words) - {WINDOW}))))))"""
     w = f"xxhash64({', '.join(f'{reading}_hash[i + {j}]' for j in range(WINDOW))})"
     return f"transform({places}, i -> {value.format(w=w, reading=reading)})"
 
 
 def window_set(templated: DataFrame, key: str) -> DataFrame:
-    """(key, window): the distinct hashes of a row's windows, in each reading in which they differ."""
+    """(key, window): the hashes of a row's windows, in each reading in which they differ."""
     parts = ", ".join(_read(r, "{w}") for r in READINGS)
-    return _hashed(templated).selectExpr(key, f"explode(array_distinct(concat({parts}))) as window")
+    return _hashed(templated).selectExpr(key, f"explode(concat({parts})) as window")
 
 
 def windows(templated: DataFrame, key: str) -> DataFrame:

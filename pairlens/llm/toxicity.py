@@ -43,7 +43,7 @@ DECAY = 1e-4
 #: Rounds of picking windows, and parts of the rows for evidence.
 PICKS, PARTS = 3, 4
 #: Tokens a worker remembers, and windows it scores at a time.
-TOKENS_KEPT, AT_ONCE = 300_000, 4096
+TOKENS_KEPT, AT_ONCE = 150_000, 4096
 #: A longer token is cut into steps of this many characters.
 LONGEST = 48
 
@@ -359,7 +359,8 @@ class Scorer:
             new = list(dict.fromkeys(tokens))
         first = len(self.rows)
         if first + len(new) > len(self.table):
-            more = np.zeros((max(2 * len(self.table), first + len(new)), 2, 3 * HIDDEN), np.float32)
+            size = max(first + len(new), min(2 * len(self.table), TOKENS_KEPT))
+            more = np.zeros((size, 2, 3 * HIDDEN), np.float32)
             more[:first] = self.table[:first]
             self.table = more
         self.table[first:first + len(new)] = self.model.project(self.model.inputs(new))
