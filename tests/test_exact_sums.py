@@ -55,6 +55,25 @@ def test_no_list_of_vectors_in_the_plan(spark, join_mode):
     assert lines and not any("high" in line or "features" in line for line in lines)
 
 
+def test_vectors_go_to_groups_and_no_partial_sums_are_shuffled(spark, join_mode, monkeypatch):
+    from pairlens.operators import vectors as V
+
+    rnd = random.Random(5)
+    words = {w: [float(rnd.randint(-9, 9)) for _ in range(2)] for w in range(60)}
+    question = {i: [rnd.choice([*range(70), None]) for _ in range(rnd.randrange(40))] for i in range(300)} | {300: None, None: [1, 1, 65]}
+    word_vec = spark.createDataFrame(list(words.items()), "wid bigint, features array<double>")
+    q = spark.createDataFrame(list(question.items()), "qid bigint, word_ids array<bigint>")
+    for limit in (50, V.GROUP_WORDS):  # many groups, and as few as there are partitions
+        for name in ("GROUP_WORDS", "ADD_WORDS", "COUNT_WORDS"):
+            monkeypatch.setattr(V, name, min(limit, getattr(V, name)))
+        df = question_features(q.unionByName(q), word_vec, columns=["features", "n_words", "n_missing"])
+        assert "_high" not in plan_of(df) and "partial_sum" not in plan_of(df)
+        got = {r.qid: (list(r.features), r.n_words, r.n_missing) for r in df.collect()}
+        assert got == {i: ([float(sum(words[w][d] for w in ws if w in words)) for d in (0, 1)], len(ws), sum(w not in words for w in ws))
+                       for i, ws in ((i, [w for w in ws or [] if w is not None]) for i, ws in question.items())}
+        monkeypatch.undo()
+
+
 def test_identical_texts_give_infinity(spark, join_mode):
     from pairlens.operators.pairs import pair_features
 
