@@ -217,6 +217,12 @@ def word_counts(q: DataFrame) -> DataFrame:
              .groupBy("qid", "wid").agg(F.count("wid").alias("c")))
 
 
+def distinct_words(q: DataFrame) -> DataFrame:
+    """(qid, words): the sorted distinct word ids, row by row."""
+    words = F.array_sort(F.array_distinct(F.array_compact("word_ids")))
+    return q.select("qid", F.coalesce(words, F.array().cast(q.schema["word_ids"].dataType)).alias("words"))
+
+
 def word_lists(counts: DataFrame) -> DataFrame:
     """(qid, words, tags) of (qid, wid, c): the sorted distinct word ids, and 'w:1'..'w:c' for a word occurring c times.
 
@@ -263,8 +269,10 @@ def question_features(question: DataFrame, word_vec: DataFrame, *, missing: str
     parts = []
     if sequence:
         parts.append(q)
-    if any(c in _FROM_LISTS for c in wanted):
+    if "tags" in wanted:
         parts.append(word_lists(word_counts(q)))
+    elif "words" in wanted:
+        parts.append(distinct_words(q))
     if any(c in _FROM_SUMS for c in wanted):
         sums = vector_sums(q, word_vec, facts or vector_facts(word_vec))
         if missing == "truncate":

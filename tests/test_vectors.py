@@ -62,3 +62,14 @@ def test_pca_then_sum_equals_sum_then_pca(spark):
                    .select("qid", vector_to_array("p").alias("features")))
     for qid in (1, 2):
         assert first[qid].features == pytest.approx(after[qid].features, abs=1e-9)
+
+
+def test_word_sets_are_taken_row_by_row(spark):
+    q = spark.createDataFrame([(1, [3, 1, 3, None, 2]), (2, []), (3, None), (None, [5, 5])], "qid bigint, word_ids array<bigint>")
+    vectors = spark.createDataFrame([(1, [1.0])], "wid bigint, features array<double>")
+    sets = question_features(q.unionByName(q.where("qid = 1").selectExpr("qid", "array(9L) as word_ids")), vectors, columns=["words"])
+    plan = sets._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "collect_list" not in plan
+    assert {r.qid: r.words for r in sets.collect()} == {1: [1, 2, 3], 2: [], 3: [], None: [5]}
+    both = {r.qid: r.words for r in question_features(q, vectors, columns=["words", "tags"]).collect()}
+    assert both == {r.qid: r.words for r in question_features(q, vectors, columns=["words"]).collect()}
