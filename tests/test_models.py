@@ -43,3 +43,18 @@ def test_output_layout_and_report_line():
     assert paths["prediction"] == "/data/output/lmpc/prediction"
     line = EV.markdown_row("lr", {"logloss": 0.5, "auc": 0.75, "precision": 0.7})
     assert line == "lr -> logloss, areaUnderRoc, precision, | 0.5 | 0.75 | 0.7 | | |"
+
+
+def test_the_four_models_are_fitted_side_by_side(spark, monkeypatch):
+    from threading import Barrier
+
+    from pairlens.plans import catalog_more
+
+    all_there = Barrier(4, timeout=60)
+
+    def trained(spark, sf_dir, model):
+        all_there.wait()
+        return model.upper()
+
+    monkeypatch.setattr(catalog_more, "_trained", trained)
+    assert list(catalog_more._all_trained(spark, SMALL).items()) == [("lr", "LR"), ("gbt", "GBT"), ("svm", "SVM"), ("mlp", "MLP")]
