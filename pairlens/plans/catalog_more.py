@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from functools import partial, reduce
 from multiprocessing.pool import ThreadPool
+from threading import Lock
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -30,7 +31,7 @@ from pairlens.plans.models import MODELS, PCA_K
 from pairlens.plans.oracle_sql import r6 as sql_r6
 from pairlens.plans.oracle_sql import with_ctes
 from pairlens.schema import TIME_FORMAT
-from pairlens.session import scratch_path
+from pairlens.session import reliable_checkpoint, scratch_path
 from pairlens.sinks import files as K
 from pairlens.sources import rejects as R
 from pairlens.sources import sketches as SK
@@ -467,6 +468,22 @@ def q_pca_invariants(spark, sf_dir):
 
 
 _TRAINED: dict = {}
+_SHARED: dict = {}
+_SHARING = Lock()
+
+
+def _shared(spark, sf_dir, model):
+    """An unfitted scorer and the features of all train pairs, once for the models with a basis of one size.
+
+    One at a time, since two singular value decompositions at once in one driver may not converge.
+    """
+    key = (spark.conf.get("spark.app.id", ""), sf_dir, PCA_K[model])
+    with _SHARING:
+        if key not in _SHARED:
+            fx = prepare(spark, sf_dir)
+            scorer, features = flows.unfitted_pairs(fx.question(), fx.word_vec, fx.train_pair, model)
+            _SHARED[key] = scorer, reliable_checkpoint(features)
+        return _SHARED[key]
 
 
 def _trained(spark, sf_dir, model):
@@ -474,7 +491,7 @@ def _trained(spark, sf_dir, model):
     key = (spark.conf.get("spark.app.id", ""), sf_dir, model)
     if key not in _TRAINED:
         fx = prepare(spark, sf_dir)
-        _TRAINED[key] = flows.train_evaluate(fx.question(), fx.word_vec, fx.train_pair, model=model)
+        _TRAINED[key] = flows.train_evaluate(fx.question(), fx.word_vec, fx.train_pair, model=model, shared=_shared(spark, sf_dir, model))
     return _TRAINED[key]
 
 

@@ -35,6 +35,9 @@ from pairlens.sources import text_formats as S
 __all__ = ["CEILING", "make_finite", "with_probabilities", "feature_frame", "fit_scorer", "pair_side_features", "predict",
            "run_model", "score_pairs", "train_evaluate", "TrainResult"]
 
+#: Rows of a training frame that one task of a fit goes through.
+PARTITION_ROWS = 20_000
+
 
 def pair_side_features(question: DataFrame, word_vec: DataFrame, names: list[str],
                        pca_k: int | None = None, missing: str = "zero") -> DataFrame:
@@ -55,9 +58,18 @@ def feature_frame(question: DataFrame, word_vec: DataFrame, pairs: DataFrame,
 
 
 def persisted_training_frame(df: DataFrame):
-    """Persist ``df`` (iterative fits read it many times) -> (frame, rows, rows changed by ``make_finite``)."""
+    """Persist ``df`` (iterative fits read it many times) -> (frame, rows, rows changed by ``make_finite``).
+
+    A fit is hundreds of jobs over these rows, each with one task per partition, so
+    no more partitions are kept than have ``PARTITION_ROWS`` rows each.
+    """
     kept = df.persist(StorageLevel.MEMORY_AND_DISK)
     n, changed = kept.agg(F.count(F.lit(1)), F.sum(F.col("replaced").cast("long"))).first()
+    wanted = max(1, -(-n // PARTITION_ROWS))
+    if wanted < kept.rdd.getNumPartitions():
+        wide, kept = kept, kept.coalesce(wanted).persist(StorageLevel.MEMORY_AND_DISK)
+        kept.count()
+        wide.unpersist()
     return kept, n, changed or 0
 
 
@@ -78,7 +90,7 @@ def _pairs_of(pairs: DataFrame, question: DataFrame, strict: bool) -> DataFrame:
     return pairs
 
 
-def _unfitted(question: DataFrame, word_vec: DataFrame, model: str, feature_set, pca_k: int | None) -> PairScorer:
+def unfitted(question: DataFrame, word_vec: DataFrame, model: str, feature_set="all", pca_k: int | None = None) -> PairScorer:
     """A scorer with its basis, bound to the questions; only its classifier is still to be fitted."""
     k = pca_k if pca_k is not None else PCA_K[model]
     return new_scorer(feature_set, model).with_parts(fit_basis(word_vec, k) if k else None, None).bind(question, word_vec)
@@ -94,16 +106,30 @@ def _fitted(scorer: PairScorer, train: DataFrame, model: str, seed: int, params:
     return scorer.with_parts(scorer.basis, cv_model.bestModel), cv_model, n, n_replaced
 
 
+def unfitted_pairs(question: DataFrame, word_vec: DataFrame, train_pair: DataFrame, model: str, feature_set="all",
+                   pca_k: int | None = None, strict: bool = True) -> tuple[PairScorer, DataFrame]:
+    """-> (an unfitted scorer bound to the questions, every train pair with its features)."""
+    scorer = unfitted(question, word_vec, model, feature_set, pca_k)
+    return scorer, scorer.pair_features(_pairs_of(dedupe_pairs(train_pair), question, strict))
+
+
 def train_evaluate(question: DataFrame, word_vec: DataFrame, train_pair: DataFrame, model: str = "lr",
                    feature_set="all", pca_k: int | None = None, seed: int = 42,
                    train_percent: int = 80, output: str | None = None, strict: bool = True,
-                   params: dict | None = None) -> TrainResult:
-    """``params`` overrides settings of the classifier, such as maxIter or maxDepth."""
-    scorer = _unfitted(question, word_vec, model, feature_set, pca_k)
-    pairs = _pairs_of(dedupe_pairs(train_pair), question, strict)
-    train, test = split(pairs, train_percent, seed)
-    scorer, cv_model, n_train, n_replaced = _fitted(scorer, scorer.pair_features(train), model, seed, params)
-    scored = scorer.transform(test)
+                   params: dict | None = None, shared: tuple[PairScorer, DataFrame] | None = None) -> TrainResult:
+    """``params`` overrides settings of the classifier, such as maxIter or maxDepth.
+
+    ``shared`` is what ``unfitted_pairs`` gave for another model on the same tables,
+    features and basis size; it is read instead of computed again.
+    """
+    if shared is None:
+        scorer, features = unfitted_pairs(question, word_vec, train_pair, model, feature_set, pca_k, strict)
+    else:
+        bound, features = shared
+        scorer = new_scorer(feature_set, model).with_parts(bound.basis, None).bind_features(bound.question_features)
+    train, test = split(features, train_percent, seed)
+    scorer, cv_model, n_train, n_replaced = _fitted(scorer, train, model, seed, params)
+    scored = scorer.classified(test)
     if output:
         write_scored(scored, output)
     return TrainResult(cv_model, scored, scorer.names, list(cv_model.avgMetrics), n_train, n_replaced, scorer)
@@ -112,7 +138,7 @@ def train_evaluate(question: DataFrame, word_vec: DataFrame, train_pair: DataFra
 def fit_scorer(question: DataFrame, word_vec: DataFrame, train_pair: DataFrame, model: str = "lr", feature_set="all",
                pca_k: int | None = None, seed: int = 42, strict: bool = True, params: dict | None = None) -> PairScorer:
     """A scorer fitted on every train pair; ``save`` stores it, ``bind`` puts it on other questions."""
-    scorer = _unfitted(question, word_vec, model, feature_set, pca_k)
+    scorer = unfitted(question, word_vec, model, feature_set, pca_k)
     pairs = _pairs_of(dedupe_pairs(train_pair), question, strict)
     return _fitted(scorer, scorer.pair_features(pairs), model, seed, params)[0]
 

@@ -109,10 +109,16 @@ class PairScorer(Transformer, MLReadable, MLWritable):
         found = pair_features(pairs, self.question_features, self.names, how="left", keep=own)
         return make_finite(found, self.names, self.getOrDefault(self.ceiling))
 
+    def classified(self, features: DataFrame) -> DataFrame:
+        """Pairs that have their feature columns already (``pair_features``), scored."""
+        if self.classifier is None:
+            raise ValueError("the scorer has no fitted classifier")
+        return with_probabilities(self.classifier.transform(features))
+
     def _transform(self, dataset: DataFrame) -> DataFrame:
         if self.classifier is None:
             raise ValueError("the scorer has no fitted classifier")
-        return with_probabilities(self.classifier.transform(self.pair_features(dataset)))
+        return self.classified(self.pair_features(dataset))
 
     def copy(self, extra=None) -> PairScorer:
         out = super().copy(extra)

@@ -58,3 +58,32 @@ def test_the_four_models_are_fitted_side_by_side(spark, monkeypatch):
 
     monkeypatch.setattr(catalog_more, "_trained", trained)
     assert list(catalog_more._all_trained(spark, SMALL).items()) == [("lr", "LR"), ("gbt", "GBT"), ("svm", "SVM"), ("mlp", "MLP")]
+
+
+def test_models_with_one_basis_size_share_their_pair_features(spark, monkeypatch):
+    from pairlens.plans import catalog_more
+
+    made = []
+    real = flows.unfitted_pairs
+    monkeypatch.setattr(flows, "unfitted_pairs", lambda *args, **kw: made.append(args[3]) or real(*args, **kw))
+    monkeypatch.setattr(catalog_more, "_SHARED", {})
+    monkeypatch.setattr(catalog_more, "_TRAINED", {})
+    shared = {m: catalog_more._trained(spark, SMALL, m) for m in ("gbt", "svm")}
+    assert made == ["gbt"]
+    fx = prepare(spark, SMALL)
+    for model, res in shared.items():
+        own = flows.train_evaluate(fx.question(), fx.word_vec, fx.train_pair, model=model)
+        assert own.n_train == res.n_train and own.avg_metrics == pytest.approx(res.avg_metrics)
+        scored = [{(r.q1, r.q2, r.label): r.score for r in x.scored.collect()} for x in (own, res)]
+        assert scored[0] == pytest.approx(scored[1])
+
+
+def test_training_frame_has_no_more_partitions_than_its_rows_fill(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(0, 1000, 1, 20).withColumn("replaced", F.expr("id % 10 = 0"))
+    for limit, parts in ((20_000, 1), (300, 4), (1, 20)):
+        monkeypatch.setattr(flows, "PARTITION_ROWS", limit)
+        kept, n, changed = flows.persisted_training_frame(rows)
+        assert (kept.rdd.getNumPartitions(), n, changed, kept.agg(F.sum("id")).first()[0]) == (parts, 1000, 100, 499500)
+        kept.unpersist()
