@@ -26,6 +26,10 @@ from pairlens.session import reliable_checkpoint, scratch_path
 HOT_PAIRS, HOT_TIMES = 10_000, 2
 
 
+#: Codec of files that are written to be read again by the same application.
+SCRATCH_CODEC = "zstd"
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -63,11 +67,11 @@ def lay_out(df: DataFrame, key: str, name: str, path: str | None = None) -> Laid
     spark = df.sparkSession
     path = path or scratch_path(spark, name)
     if not can_bucket(spark):
-        df.write.parquet(path)
+        df.write.option("compression", SCRATCH_CODEC).parquet(path)
         return Laid(path, None)
     n = shuffle_partitions(spark)
     table = f"pairlens_{name}_{uuid.uuid4().hex[:12]}"
-    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(table)
+    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).options(path=path, compression=SCRATCH_CODEC).saveAsTable(table)
     return Laid(path, table)
 
 

@@ -148,6 +148,37 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             start = end
 
 
+def by_group(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of each group ``g`` in a batch."""
+    group = batch.column("g").to_numpy()
+    order = np.argsort(group, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(group[order])) + 1) if len(order) else []:
+        yield batch.take(pa.array(part))
+
+
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(g, wid) of (g, word_ids): the distinct words of each group in a partition.
+
+    They are held as one array per group; beyond ``GROUP_WORDS`` of them what is held
+    goes out, and a word that comes again is asked for again.
+    """
+    held: dict[int, pa.Array] = {}
+
+    def out() -> Iterator[pa.RecordBatch]:
+        for g, words in held.items():
+            words = words.drop_null()
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), g, np.int32)), words], ["g", "wid"])
+        held.clear()
+
+    for batch in batches:
+        for rows in by_group(batch):
+            g, words = rows.column("g")[0].as_py(), rows.column("word_ids").flatten().unique()
+            held[g] = pa.concat_arrays([held[g], words]).unique() if g in held else words
+        if sum(map(len, held.values())) > GROUP_WORDS:
+            yield from out()
+    yield from out()
+
+
 def _added(facts: VectorFacts):
     """The sums of one group of questions: (counts of its questions, vectors of its words) -> sums."""
     dim, unit, small = facts.dim, 2.0 ** (facts.exponent - FIXED_BITS), 2.0 ** -FIXED_BITS
@@ -184,8 +215,9 @@ def _added(facts: VectorFacts):
 def vector_sums(q: DataFrame, word_vec: DataFrame, facts: VectorFacts) -> DataFrame:
     """(qid, features, n_words, n_missing) of (qid, word_ids): the exact sum of the vectors of each question's words.
 
-    A vector is sent once to each group that has its word, as 32-bit numbers where
-    these hold it exactly.
+    A vector is sent once to each group that has its word (again where a group's words
+    come from several partitions or are too many to hold), as 32-bit numbers where these
+    hold it exactly.
     """
     spark = q.sparkSession
     words, rows = q.agg(F.sum(F.greatest(F.size("word_ids"), F.lit(0)).cast("bigint")), F.count(F.lit(1))).first()
@@ -193,7 +225,7 @@ def vector_sums(q: DataFrame, word_vec: DataFrame, facts: VectorFacts) -> DataFr
     dealt = q.select(group_of("qid", groups).alias("g"), "qid", F.col("word_ids").cast("array<bigint>").alias("word_ids"))
     vectors = word_vec.groupBy("wid").agg(F.min("features").cast("array<float>" if facts.single else "array<double>").alias("v"))
     limit = spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    asked = dealt.select("g", F.explode("word_ids").alias("wid")).distinct()
+    asked = dealt.select("g", "word_ids").mapInArrow(_asked, "g int, wid bigint")
     sent = asked.join(F.broadcast(vectors) if facts.fixed_bytes <= limit else vectors, "wid").select("g", "wid", "v")
     qid = q.schema["qid"].dataType.simpleString()
     counted = dealt.mapInArrow(_counted, f"g int, qid {qid}, wids array<bigint>, counts array<bigint>")
@@ -261,8 +293,42 @@ def word_lists(counts: DataFrame) -> DataFrame:
     return listed.select("qid", F.transform("_wc", lambda s: s["wid"]).alias("words"), tags.alias("tags"))
 
 
+#: Ids and occurrences that ``repeats`` tells as one number.
+REPEAT_BITS = 20
+
+
+def _multisets(word_ids: pa.Array) -> pa.Array:
+    """Row by row: the sorted distinct words, and the second and later occurrences of words.
+
+    The k-th occurrence of a word is the number ``word * 2^20 + k``; where an id or k is
+    too large (or an id negative) for that it is the text 'word:k' in ``odd_repeats``.
+    """
+    ids, rows = flat(word_ids)
+    n = len(word_ids)
+    order = np.lexsort((ids, rows))
+    ids, rows = ids[order].astype(np.int64), rows[order]
+    new = np.ones(len(ids), bool)
+    new[1:] = (ids[1:] != ids[:-1]) | (rows[1:] != rows[:-1])
+    first = np.flatnonzero(new)
+    k = np.arange(len(ids)) - np.repeat(first, np.diff(np.append(first, len(ids)))) + 1
+    small = (ids >= 0) & (ids < 1 << 63 - REPEAT_BITS) & (k < 1 << REPEAT_BITS)
+    near, odd = ~new & small, ~new & ~small
+    texts = pc.binary_join_element_wise(pa.array(ids[odd]).cast(pa.string()), pa.array(k[odd]).cast(pa.string()), ":")
+    return pa.StructArray.from_arrays(
+        [listed(ids[new], np.bincount(rows[new], minlength=n)),
+         listed((ids[near] << REPEAT_BITS) | k[near], np.bincount(rows[near], minlength=n)),
+         listed(texts, np.bincount(rows[odd], minlength=n))], ["words", "repeats", "odd_repeats"])
+
+
+def word_multisets(q: DataFrame) -> DataFrame:
+    """(qid, words, repeats, odd_repeats) of (qid, word_ids), row by row, so that rows stay where they are (``_multisets``)."""
+    multisets = F.arrow_udf(_multisets, "words array<bigint>, repeats array<bigint>, odd_repeats array<string>")
+    return q.select("qid", multisets(F.col("word_ids").cast("array<bigint>")).alias("_m")).select(
+        "qid", *[F.col(f"_m.{c}").alias(c) for c in ("words", *_REPEATS)])
+
+
 #: Columns of ``question_features`` by where they come from.
-_FROM_LISTS, _FROM_SUMS = ("words", "tags"), ("features", "n_words", "n_missing", "norm")
+_FROM_LISTS, _FROM_SUMS, _REPEATS = ("words", "tags"), ("features", "n_words", "n_missing", "norm"), ("repeats", "odd_repeats")
 
 
 def question_features(question: DataFrame, word_vec: DataFrame, *, missing: str = "zero",
@@ -274,8 +340,10 @@ def question_features(question: DataFrame, word_vec: DataFrame, *, missing: str
 
     ``words`` is the sorted list of distinct word ids and ``tags`` holds
     'w:1'..'w:c' for a word occurring c times (see
-    ``metrics.multiset_intersection_size``); both Jaccard variants need only
-    these.  The ordered ``word_ids`` (edit distance) are joined back only on
+    ``metrics.multiset_intersection_size``).  ``repeats`` and ``odd_repeats``, only on
+    request, tell the second and later occurrences alone; they are made row by row and
+    with ``words`` say as much as ``tags`` in less than half the room, so the pair
+    metrics read them.  The ordered ``word_ids`` (edit distance) are joined back only on
     request.  Parts that ``columns`` does not name are not computed.
 
     ``missing='zero'``: a word without a vector adds nothing; a question with
@@ -294,9 +362,13 @@ def question_features(question: DataFrame, word_vec: DataFrame, *, missing: str
     parts = []
     if sequence:
         parts.append(q)
+    repeats = any(c in _REPEATS for c in wanted)
     if "tags" in wanted:
-        parts.append(word_lists(word_counts(q)))
-    elif "words" in wanted:
+        lists = word_lists(word_counts(q))
+        parts.append(lists.drop("words") if repeats else lists)
+    if repeats:
+        parts.append(word_multisets(q))
+    elif "words" in wanted and "tags" not in wanted:
         parts.append(distinct_words(q))
     if any(c in _FROM_SUMS for c in wanted):
         sums = vector_sums(q, word_vec, facts or vector_facts(word_vec))

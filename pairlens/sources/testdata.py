@@ -32,9 +32,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlens.operators.colocated import Laid, hot_questions, lay_out
+from pairlens.operators.colocated import SCRATCH_CODEC, Laid, hot_questions, lay_out
 from pairlens.operators.ordering import with_dense_index
-from pairlens.operators.vectors import flat, group_count, group_of, listed
+from pairlens.operators.vectors import by_group, flat, group_count, group_of, listed
 from pairlens.session import scratch_path
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -91,10 +91,7 @@ def char_ids(text_col: str = "text"):
 def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each group in a batch of (g, doc_id, words): its documents, how many words each has, the distinct words, and which one each word is."""
     for batch in batches:
-        group = batch.column("g").to_numpy()
-        order = np.argsort(group, kind="stable")
-        for part in np.split(order, np.flatnonzero(np.diff(group[order])) + 1) if len(order) else []:
-            rows = batch.take(pa.array(part))
+        for rows in by_group(batch):
             words = rows.column("words")
             coded = words.flatten().dictionary_encode()
             sizes = pc.fill_null(pc.list_value_length(words), 0)
@@ -292,14 +289,18 @@ def prepare(spark: SparkSession, sf_dir: str) -> Prepared:
     if key not in _PREPARED:
         base = scratch_path(spark, "prepared")
         fx = Fixture(spark, sf_dir)
-        fx.words.write.parquet(f"{base}/words")
+
+        def write(df: DataFrame, name: str) -> None:
+            df.write.option("compression", SCRATCH_CODEC).parquet(f"{base}/{name}")
+
+        write(fx.words, "words")
         words = spark.read.parquet(f"{base}/words")
-        group_words(words).write.parquet(f"{base}/group_words")
+        write(group_words(words), "group_words")
         grouped = spark.read.parquet(f"{base}/group_words")
-        vocabulary(grouped).write.parquet(f"{base}/vocab")
+        write(vocabulary(grouped), "vocab")
         question = lay_out(questions(words, spark.read.parquet(f"{base}/vocab"), grouped), "qid", "question", f"{base}/question")
-        doc_keys(words).write.parquet(f"{base}/doc_keys")
+        write(doc_keys(words), "doc_keys")
         pairs = lay_out(train_pairs(spark.read.parquet(f"{base}/doc_keys")), "q1", "train_pair", f"{base}/train_pair")
-        test_pairs(words.select("doc_id")).write.parquet(f"{base}/test_pair")
+        write(test_pairs(words.select("doc_id")), "test_pair")
         _PREPARED[key] = (base, question, pairs, hot_questions(pairs.plain(spark)))
     return Prepared(spark, sf_dir, *_PREPARED[key])
