@@ -110,6 +110,13 @@ def jaccard(words_a, words_b, tags_a, tags_b) -> Column:
     return _ratio(multiset_intersection_size(tags_a, tags_b), union_size(words_a, words_b))
 
 
+def jaccard_repeats(words_a, words_b, repeats_a, repeats_b, odd_a, odd_b) -> Column:
+    """``jaccard`` by the distinct words (the first occurrences) and the second and later occurrences,
+    of which some are numbers and the others texts (``vectors.word_multisets``)."""
+    again = [F.greatest(multiset_intersection_size(a, b), F.lit(0)) for a, b in ((repeats_a, repeats_b), (odd_a, odd_b))]
+    return _ratio(multiset_intersection_size(words_a, words_b) + again[0] + again[1], union_size(words_a, words_b))
+
+
 def jaccard_set(words_a, words_b) -> Column:
     """Bounded set Jaccard |A n B| / |A u B|."""
     inter = F.size(F.array_intersect(_c(words_a), _c(words_b)))

@@ -21,7 +21,7 @@ METRICS = {
     "euclidean": lambda: M.euclidean("a_features", "b_features"),
     "euclidean_l2": lambda: M.euclidean_l2("a_features", "b_features"),
     "dot": lambda: M.dot("a_features", "b_features"),
-    "jaccard": lambda: M.jaccard("a_words", "b_words", "a_tags", "b_tags"),
+    "jaccard": lambda: M.jaccard_repeats("a_words", "b_words", "a_repeats", "b_repeats", "a_odd_repeats", "b_odd_repeats"),
     "jaccard_set": lambda: M.jaccard_set("a_words", "b_words"),
     "edit_distance": lambda: edit_distance("a_word_ids", "b_word_ids"),
     "q1_length": lambda: F.col("a_n_words"),
@@ -32,7 +32,7 @@ METRICS = {
 METRIC_INPUTS = {
     "cosine": ("features", "norm"), "chebyshev": ("features",), "manhattan": ("features",),
     "euclidean": ("features",), "euclidean_l2": ("features",), "dot": ("features",),
-    "jaccard": ("words", "tags"), "jaccard_set": ("words",), "edit_distance": ("word_ids",),
+    "jaccard": ("words", "repeats", "odd_repeats"), "jaccard_set": ("words",), "edit_distance": ("word_ids",),
     "q1_length": ("n_words",), "q2_length": ("n_words",),
 }
 
@@ -119,8 +119,14 @@ def assert_known(pairs: DataFrame, question: DataFrame) -> None:
         raise ValueError(f"{n} pair sides name a question that does not exist")
 
 
-def metric_columns(names) -> list[Column]:
-    return [METRICS[n]().alias(n) for n in names]
+#: Metrics by the columns that question features have where those of ``METRIC_INPUTS`` were not asked for.
+_BY_TAGS = {"jaccard": lambda: M.jaccard("a_words", "b_words", "a_tags", "b_tags")}
+
+
+def metric_columns(names, tags: bool = False) -> list[Column]:
+    """The metrics; ``tags``: of features with ``tags`` but without ``repeats``."""
+    by = METRICS | _BY_TAGS if tags else METRICS
+    return [by[n]().alias(n) for n in names]
 
 
 def pair_features(pairs: DataFrame, qf: DataFrame, feature_set="all", how: str = "inner",
@@ -131,4 +137,4 @@ def pair_features(pairs: DataFrame, qf: DataFrame, feature_set="all", how: str =
         raise ValueError("edit distance needs question_features(..., sequence=True)")
     base = [c for c in ("q1", "q2", "label") if c in pairs.columns] + list(keep or [])
     joined = join_questions(pairs, qf, how)
-    return joined.select(*base, *metric_columns(names))
+    return joined.select(*base, *metric_columns(names, "tags" in qf.columns and "repeats" not in qf.columns))

@@ -3,6 +3,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from pairlens.operators import pairs as P
 from pairlens.operators import vectors as V
 from pairlens.sources import testdata as T
 
@@ -51,3 +52,52 @@ def test_vectors_are_sent_as_32_bits_only_where_these_hold_them(spark):
     assert V.vector_facts(single).single and not V.vector_facts(double).single
     assert V.question_features(q, single, columns=["features"]).first().features == [1.0 + 2.0**-40, -5.0]
     assert V.question_features(q, double, columns=["features"]).first().features == [0.2, -6.0]
+
+
+def test_words_of_a_group_are_asked_for_once_and_not_as_rows_of_all_questions(spark, monkeypatch):
+    vectors = spark.createDataFrame([(i, [float(i)]) for i in range(50)], "wid bigint, features array<double>")
+    q = spark.createDataFrame([(i, [i % 50, i % 7, i % 7, None]) for i in range(400)] + [(None, [3]), (400, None)],
+                              "qid bigint, word_ids array<bigint>")
+    plan = plan_of(V.question_features(q, vectors, columns=["features"]))
+    assert "Generate" not in plan and "HashAggregate(keys=[g#" not in plan
+    for limit in (5, V.GROUP_WORDS):  # what is held goes out early, or once
+        monkeypatch.setattr(V, "GROUP_WORDS", limit)
+        got = {r.qid: r.features for r in V.question_features(q, vectors, columns=["features"]).collect()}
+        assert got == {i: [float(i % 50 + 2 * (i % 7))] for i in range(400)} | {None: [3.0], 400: [0.0]}
+
+
+def test_repeats_are_told_row_by_row(spark):
+    big = 1 << 50
+    rows = [(1, [3, 1, 3, 3, None, big, big, -2, -2]), (2, [3, 3, big, big, big, -2]), (3, []), (4, None), (None, [5, 5])]
+    q = spark.createDataFrame(rows, "qid bigint, word_ids array<bigint>")
+    vectors = spark.createDataFrame([(1, [1.0])], "wid bigint, features array<double>")
+    asked = V.question_features(q, vectors, columns=P.question_columns("jaccard"))
+    assert "Generate" not in plan_of(asked) and "collect_list" not in plan_of(asked)
+    got = {r.qid: (r.words, r.repeats, r.odd_repeats) for r in asked.collect()}
+    assert got[1] == ([-2, 1, 3, big], [3 << 20 | 2, 3 << 20 | 3], ["-2:2", f"{big}:2"])
+    assert got[3] == got[4] == ([], [], []) and got[None] == ([5], [5 << 20 | 2], [])
+    # The same value as by tags, NaN of two empty lists and unknown questions included.
+    pairs = spark.createDataFrame([(a, b) for a in (1, 2, 3, 4, 9) for b in (1, 2, 3, 9)], "q1 bigint, q2 bigint")
+    tags = V.question_features(q, vectors, columns=["words", "tags"])
+    values = [{(r.q1, r.q2): str(r.jaccard) for r in P.pair_features(pairs, qf, "jaccard", how="left").collect()} for qf in (asked, tags)]
+    assert values[0] == values[1] and values[0][1, 2] == str(5 / 4) and values[0][3, 3] == "nan" and values[0][1, 9] == "None"
+
+
+def test_a_bound_scorer_reads_features_in_place(spark):
+    from pairlens.plans.scoring import new_scorer
+
+    for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+        spark.conf.set(k, "-1")
+    try:
+        q = spark.createDataFrame([(i, [i % 5, i % 3]) for i in range(60)], "qid bigint, word_ids array<bigint>")
+        vectors = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(5)], "wid bigint, features array<double>")
+        pairs = spark.createDataFrame([(i, (i * 7) % 61) for i in range(62)], "q1 bigint, q2 bigint")
+        scorer = new_scorer(["cosine", "jaccard"], "lr").bind(q, vectors)
+        found = scorer.pair_features(pairs)
+        assert plan_of(found).count("Exchange hashpartitioning") == 2  # the pairs, by q1 and by q2
+        plain = scorer.bind_features(scorer.question_features).pair_features(pairs)
+        rows = [sorted(map(str, df.collect())) for df in (found, plain)]
+        assert rows[0] == rows[1] and len(rows[0]) == 62
+    finally:
+        for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+            spark.conf.unset(k)
