@@ -16,11 +16,15 @@ counts on both sides.  A class of sizes, a run and its counts are a *cell*; ever
 linked pair meets in some cell, and each cell has a tree of its own, whose leaves
 are packed by a range sort, so a cell with very many documents is spread out.
 
-Documents with equal sets are one node.  Nodes are first verified against one or
-two central nodes of their cells and linked ones are contracted; the tree join then
-looks only for links between different components, so a group of copies is never
-compared pair by pair.  Nothing is left out: a pair that is not looked at lies in
-one component or cannot be a link.
+Documents with equal sets are one node.  Nodes are first compared with one or two
+central nodes of their cells, by their points and where these allow a link by their
+full sets, and linked ones are contracted; the tree join then looks only for links
+between different components, so a group of copies is never compared pair by pair.
+Nothing is left out: a pair that is not looked at lies in one component or cannot be
+a link.
+
+What travels is kept small: cells leave the rows of a document only as (cell, row),
+points and sets are read for nodes that share a cell or may be linked.
 """
 
 from __future__ import annotations
@@ -32,9 +36,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairlens.llm.common import stored
+from pairlens.llm.common import small_side, stored
 from pairlens.llm.graph import components
-from pairlens.llm.shingling import Words, digest, linked, node_sets, shingles
+from pairlens.llm.shingling import Words, dealt, digest, linked, node_sets, shingles
 
 #: Coordinates of a point; groups of a run.
 GROUPS, RUN_GROUPS = 128, 32
@@ -275,6 +279,27 @@ def tree_join(entries: DataFrame, percent: int) -> DataFrame:
     return own.union(met.mapInPandas(between, "a long, b long")).distinct()
 
 
+def near_pairs(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) of ``pairs`` whose points allow a link; ``nodes`` tells (node, size, point)."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        target, size, counts = None, 0, None
+        for batch in batches:
+            out, own = [], _points(batch["point"]) if len(batch) else None
+            for i, (t, kind, node, n) in enumerate(zip(batch["target"], batch["kind"], batch["node"], batch["size"])):
+                if kind == 0:
+                    target, size, counts = t, n, own[i].copy()
+                elif t == target and _may_link(_common(own[i], counts), n, size, percent):
+                    out.append((node, t))
+            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return dealt(pairs, nodes.select("node", "size", "point")).select("target", "kind", "node", "size", "point").mapInPandas(
+        run, "a long, b long")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
+
 def similarity_join(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles and component_id of every row.
 
@@ -288,20 +313,25 @@ def similarity_join(docs: DataFrame, words: int = 3, percent: int = 90) -> DataF
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     base = stored(_described(texts, words, percent).withColumn("row", F.monotonically_increasing_id()), "described")
     usable = base.where("doc_id is not null and digest is not null")
-    firsts = usable.groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("least_id"))
-    nodes = stored(firsts.join(base.select(F.col("row").alias("node"), "doc_id", F.col("n_shingles").alias("size"), "point", "cells"),
-                               "node"), "join-nodes")
-    keyed = nodes.select(F.explode("cells").alias("key"), "node")
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("centre")).where("n > 1")
-    members = stored(keyed.join(shared, "key"), "cell-members")
+    firsts = stored(usable.groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("least_id")), "firsts")
+    # Cells of more than one row; then of more than one node, as copies of a node share its cells.
+    keyed = usable.select(F.explode("cells").alias("key"), F.col("row").alias("node"))
+    often = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    met = stored(keyed.join(often, "key").join(firsts.select("node"), "node", "left_semi"), "cell-rows")
+    shared = met.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("centre")).where("n > 1")
+    members = stored(met.join(shared, "key"), "cell-members")
+    described = base.select(F.col("row").alias("node"), "doc_id", "digest", F.col("n_shingles").alias("size"), "point")
+    nodes = stored(described.join(members.select("node").distinct(), "node", "left_semi"), "join-nodes")
 
     # Every node against the first node of its cells and of its largest cell.
     centres = members.groupBy("node").agg(F.min("centre").alias("c1"), F.max_by("centre", F.struct("n", "key")).alias("c2"))
-    pairs = centres.select(F.col("node").alias("a"), F.explode(F.array("c1", "c2")).alias("b")).where("a != b").distinct()
-    compared = members.select("node").distinct()
+    pairs = stored(centres.select(F.col("node").alias("a"), F.explode(F.array("c1", "c2")).alias("b")).where("a != b").distinct(),
+                   "centre-pairs")
+    near = stored(near_pairs(pairs, nodes, percent), "near-pairs")
+    compared = _ends(near)
     sets = stored(node_sets(texts, stored(nodes.join(compared, "node", "left_semi").select("node", "doc_id", "digest"), "compared"),
                             words), "node-sets")
-    links = stored(linked(pairs, sets, percent), "links")
+    links = stored(linked(near, sets, percent), "links")
     labels = stored(components(links), "labels")
 
     # What shares a cell but lies in different components goes into the tree.
@@ -312,11 +342,14 @@ def similarity_join(docs: DataFrame, words: int = 3, percent: int = 90) -> DataF
     open_ = open_.groupBy("n", "x0", "x1").agg(F.min("key").alias("key")).select("key")
     entries = stored(now.join(open_, "key").join(nodes.select("node", "size", "point"), "node"), "tree-entries")
     asked = stored(tree_join(entries, percent).join(pairs, ["a", "b"], "left_anti"), "surviving-pairs")
-    more = stored(linked(asked, sets, percent), "links")
+    ends = stored(_ends(asked), "asked-nodes")
+    fresh = stored(nodes.join(ends, "node", "left_semi").join(sets, "node", "left_anti").select("node", "doc_id", "digest"), "compared")
+    known = sets.join(small_side(ends), "node", "left_semi")
+    more = stored(linked(asked, known.union(node_sets(texts, fresh, words)), percent), "links")
     if not more.isEmpty():
         labels = stored(components(links.union(more)), "labels")
 
-    reach = nodes.select("digest", "node", "least_id").join(labels, "node", "left").withColumn(
+    reach = firsts.join(labels, "node", "left").withColumn(
         "component", F.coalesce("component", "node"))
     least = reach.groupBy("component").agg(F.min("least_id").alias("reached"))
     by_digest = reach.join(least, "component").select(F.col("digest").alias("d"), "reached")

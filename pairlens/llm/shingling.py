@@ -79,18 +79,23 @@ def node_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     return found.dropDuplicates(["node"])
 
 
-def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) of ``pairs`` whose full sets have 100 * common >= percent * union.
+def dealt(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """The (a, b) of ``pairs`` as rows (target = b, kind, node, what ``held`` says of the node), b itself (kind 0) before each a (kind 1).
 
-    The pairs of one b are dealt out by ``BLOCK`` partners; b's set travels once
-    with each block, the set of each a once with its pair.
+    The pairs of one b are dealt out by ``BLOCK`` partners; b's row travels once
+    with each block, the row of each a once with its pair.
     """
     salts = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("salts"))
     asked = pairs.join(salts, "b").select(F.col("a").alias("node"), F.col("b").alias("target"),
                                           F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"))
     targets = salts.select(F.col("b").alias("node"), F.col("b").alias("target"),
                            F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"))
+    return (asked.union(targets).join(held, "node").repartition("target", "salt")
+            .sortWithinPartitions("target", "salt", "kind").drop("salt"))
+
 
+def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) of ``pairs`` whose full sets have 100 * common >= percent * union."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         target, other = None, np.empty(0, np.uint64)
         for batch in batches:
@@ -105,6 +110,4 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                         out.append((node, t))
             yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return (asked.union(targets).join(sets, "node").repartition("target", "salt")
-            .sortWithinPartitions("target", "salt", "kind").select("target", "kind", "node", "set")
-            .mapInPandas(run, "a long, b long"))
+    return dealt(pairs, sets).select("target", "kind", "node", "set").mapInPandas(run, "a long, b long")

@@ -106,3 +106,34 @@ def test_edge_rows(spark):
     assert got(countjoin.similarity_join(df)) == by_hand(rows, 3, 90)
     assert countjoin.similarity_join(df.limit(0)).collect() == []
     assert got(countjoin.similarity_join(df.where("text is null"))) == [(1, 0, 1)]
+
+
+def test_sets_are_read_only_for_nodes_that_points_do_not_rule_out(spark, monkeypatch):
+    """Texts with half of their words in common meet in cells; only near copies and what they are compared with are read again."""
+    rnd = random.Random(8)
+    line = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(line[:20 + i % 3] + [f"y{rnd.randint(0, 10**6)}" for _ in range(15)])) for i in range(60)]
+    rows += [(100 + i, " ".join([f"z{i}"] + [f"v{j}" for j in range(60)])) for i in range(3)]
+    rows += [(100, rows[-3][1]), (101, rows[-2][1]), (200, rows[0][1])]  # copies
+    read, real = [], countjoin.node_sets
+
+    def watched(docs, nodes, words):
+        read.extend(r.doc_id for r in nodes.collect())
+        return real(docs, nodes, words)
+
+    monkeypatch.setattr(countjoin, "node_sets", watched)
+    # Every pair meets: a cell for all.
+    monkeypatch.setattr(countjoin, "cells", lambda s, classes: np.array([7], np.int64))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(countjoin.similarity_join(df)) == by_hand(rows, 3, 90)
+    assert set(read) >= {100, 101, 102} and len(read) == len(set(read)) and len(read) < 10
+
+
+def test_near_pairs_keeps_what_points_allow(spark):
+    rng = np.random.default_rng(5)
+    a = np.unique(rng.integers(0, 2**63, 200, dtype=np.uint64))
+    sets = [a, a[6:], np.unique(rng.integers(0, 2**63, 200, dtype=np.uint64)), a[:120]]
+    nodes = spark.createDataFrame([(i, len(s), bytearray(countjoin.point(s))) for i, s in enumerate(sets)], "node long, size long, point binary")
+    pairs = spark.createDataFrame([(1, 0), (2, 0), (3, 0), (3, 1)], "a long, b long")
+    assert [tuple(r) for r in countjoin.near_pairs(pairs, nodes, 90).collect()] == [(1, 0)]
+    assert countjoin.near_pairs(pairs.limit(0), nodes, 90).collect() == []
