@@ -23,8 +23,8 @@ from pyspark.sql.window import Window
 
 from pairlens.llm.common import partitions_for, stored
 
-#: Nodes of a shard and queries of a block: they bound what a task holds.
-SHARD_NODES, BLOCK_QUERIES = 8192, 1024
+#: Nodes of a shard and queries of a block (about): they bound what a task holds.
+SHARD_NODES, BLOCK_QUERIES = 8192, 8192
 #: Links per node and level (twice as many at the ground), candidates, and the width of a walk.
 LINKS, CANDIDATES, WIDTH = 16, 96, 128
 
@@ -211,32 +211,33 @@ def nearest(embeddings: DataFrame, every: int, k: int = 5, width: int = WIDTH) -
     index, shards = build_index(vectors, k)
     queries = vectors.where(F.col("vec_id") % every == 0).distinct()
     blocks = partitions_for(queries.count(), BLOCK_QUERIES)
-    # The stated query set against every shard, in blocks.
-    block = F.pmod(F.xxhash64("vec_id", "vector"), F.lit(blocks))
-    asked = (queries.groupBy("dim", block.alias("block"))
-             .agg(F.collect_list(F.struct("vec_id", "vector")).alias("queries"))
-             .select("dim", "queries", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for graph, queries_ in zip(batch["graph"], batch["queries"]):
-                with np.load(io.BytesIO(graph)) as z:
-                    g = {name: z[name] for name in z.files}
-                own = g["vectors"]
-                norms = np.sqrt((own * own).sum(1))
-                unit = (own / norms[:, None]).astype(np.float32)
-                out = []
-                for q in queries_:
-                    v = np.frombuffer(q["vector"], np.float64)
-                    found = search(g, unit, v, width)
-                    score = (own[found] * v).sum(1) / (norms[found] * np.sqrt((v * v).sum()))
-                    rows = [(-s, int(i)) for s, f in zip(score.tolist(), found.tolist())
-                            for i in g["ids"][f, :g["n"][f]] if i != q["vec_id"]]
-                    out += [(q["vec_id"], i, -s) for s, i in heapq.nsmallest(k, rows)]
-                yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
-
-    found = asked.join(index, ["dim", "shard"]).select("queries", "graph").mapInPandas(
-        run, "query_id long, vec_id long, score double")
+    # The stated query set against every shard, in blocks.  Queries times shards are many more rows than
+    # either, so they are dealt to their shard by a shuffle: a planner that knows the queries' size only
+    # would broadcast them all.  A graph is sent once for each block.
+    block = F.pmod(F.xxhash64("vec_id", "vector"), F.lit(blocks)).cast("int")
+    asked = queries.select("dim", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), block.alias("block"),
+                           "vec_id", "vector")
+    graphs = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+    def run(queries_: pd.DataFrame, graph: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(queries_) and len(graph):
+            with np.load(io.BytesIO(graph["graph"].iloc[0])) as z:
+                g = {name: z[name] for name in z.files}
+            own = g["vectors"]
+            norms = np.sqrt((own * own).sum(1))
+            unit = (own / norms[:, None]).astype(np.float32)
+            for vec_id, vector in zip(queries_["vec_id"], queries_["vector"]):
+                v = np.frombuffer(vector, np.float64)
+                found = search(g, unit, v, width)
+                score = (own[found] * v).sum(1) / (norms[found] * np.sqrt((v * v).sum()))
+                rows = [(-s, int(i)) for s, f in zip(score.tolist(), found.tolist())
+                        for i in g["ids"][f, :g["n"][f]] if i != vec_id]
+                out += [(vec_id, i, -s) for s, i in heapq.nsmallest(k, rows)]
+        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+
+    key = ("dim", "shard", "block")
+    found = asked.groupBy(*key).cogroup(graphs.groupBy(*key)).applyInPandas(run, "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -1,4 +1,5 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns, for every operator."""
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,3 +93,20 @@ def test_pages_and_vectors(spark):
     assert got[0, 1] == (3, 1.0) and got[0, 2] == (50, 1.0) and got[0, 3] == (100, 0.0) and got[0, 4] == (11, -1.0)
     assert (0, 5) not in got and got[50, 1] == (0, 1.0)
     assert neighbours.nearest(vectors.limit(0), 50, 5).collect() == []
+
+
+def test_queries_go_to_their_shards_by_a_shuffle(spark, monkeypatch):
+    """Queries times shards, far more than either, are not brought to the driver; every query meets every shard."""
+    monkeypatch.setattr(neighbours, "SHARD_NODES", 25)
+    monkeypatch.setattr(neighbours, "BLOCK_QUERIES", 4)
+    x = np.random.default_rng(3).normal(size=(300, 8))
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = neighbours.nearest(vectors, 20, 5)
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in found.collect()}
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for q in range(0, 300, 20):
+        s = unit @ unit[q]
+        s[q] = -2
+        assert [got[q, rank] for rank in range(1, 6)] == np.argsort(-s, kind="stable")[:5].tolist()
+    assert len(got) == 15 * 5
