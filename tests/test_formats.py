@@ -78,3 +78,26 @@ def test_file_order_across_many_part_files(spark, tmp_out):
     assert len(parts) > 1
     back = S.read_test_pairs(spark, f"{tmp_out}/many").orderBy("row_no").collect()
     assert [(r.q1, r.q2, r.row_no) for r in back] == [((i * 7919) % 10007, i + 3, i) for i in range(n)]
+
+
+def test_questions_written_compressed_are_the_same_lines(spark, tmp_out):
+    rows = [(i, [i, 7, 7], [ord(c) for c in f"the text of question {i} " * 40]) for i in range(200)]
+    question = spark.createDataFrame([*rows, (900, [], [])], "qid bigint, word_ids array<bigint>, char_ids array<bigint>")
+    sizes, lines, back = [], [], []
+    for codec in ("none", "gzip"):
+        path = f"{tmp_out}/{codec}"
+        K.write_questions(question, path, compression=codec)
+        sizes.append(sum(os.path.getsize(f"{path}/{f}") for f in os.listdir(path)))
+        lines.append(sorted(r.value for r in spark.read.text(path).collect()))
+        back.append(sorted(map(str, S.read_questions(spark, path).collect())))
+    assert lines[0] == lines[1] and back[0] == back[1] and len(back[0]) == 201 and sizes[1] < sizes[0] / 4
+
+
+def test_the_round_trip_of_questions_keeps_little_on_disk(spark, monkeypatch):
+    from pairlens.plans import catalog_more
+
+    paths = []
+    monkeypatch.setattr(catalog_more.K, "write_questions", lambda q, path, w=K.write_questions, **how: (paths.append(path), w(q, path, **how)))
+    assert catalog_more.q_question_text_roundtrip(spark, "/root/testdata/sf0.001").where("n_chars > 0").count() > 0
+    names = [f for f in os.listdir(paths[0].removeprefix("file:")) if f.startswith("part-")]
+    assert names and all(f.endswith(".gz") for f in names)
