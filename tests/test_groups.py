@@ -1,6 +1,8 @@
 """Word ids and word vectors go to groups of rows that lie together; tokens are not shuffled."""
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from pairlens.operators import pairs as P
@@ -101,3 +103,53 @@ def test_a_bound_scorer_reads_features_in_place(spark):
     finally:
         for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
             spark.conf.unset(k)
+
+
+def test_counts_say_what_repeats_say(spark):
+    big = 1 << 50
+    rows = [(1, [3, 1, 3, 3, None, big, big, -2, -2]), (2, [3, 3, big, big, big, -2]), (3, []), (4, None), (5, [7, 7, 7, 1, 1, 3])]
+    q = spark.createDataFrame(rows, "qid bigint, word_ids array<bigint>")
+    vectors = spark.createDataFrame([(1, [1.0, 2.0]), (3, [0.5, 0.25])], "wid bigint, features array<double>")
+    pairs = spark.createDataFrame([(a, b) for a in (1, 2, 3, 4, 5, 9) for b in (1, 2, 3, 5, 9)], "q1 bigint, q2 bigint")
+    names = ["cosine", "jaccard"]
+    kept = P.kept_columns(names)
+    assert "counts" in kept and "repeats" not in kept
+    found = [V.question_features(q, vectors, columns=[*c]) for c in (kept, P.question_columns(names), P.kept_columns(["jaccard"]))]
+    assert dict(found[0].dtypes)["words"] == "array<bigint>"
+    small = V.question_features(q.where("qid > 2"), vectors, columns=kept)  # ids that 32 bits hold
+    assert dict(small.dtypes)["words"] == "array<int>" and {r.qid: (r.words, r.counts) for r in small.collect()}[5] == ([1, 3, 7], [2, 1, 3])
+    assert [str(r.jaccard) for r in P.pair_features(pairs.where("q1 = 5 and q2 = 5"), small, "jaccard").collect()] == ["2.0"]
+    assert {r.qid: (r.words, r.counts) for r in found[0].collect()} == {r.qid: (r.words, r.counts) for r in found[2].collect()}
+    assert "Join" not in plan_of(found[0]).replace("BroadcastHashJoin", "").replace("SortMergeJoin", "", 1)  # words come with the sums
+    values = [{(r.q1, r.q2): str(r.jaccard) for r in P.pair_features(pairs, qf, "jaccard", how="left").collect()} for qf in found]
+    assert values[0] == values[1] == values[2] and values[0][1, 2] == str(5 / 4) and values[0][3, 3] == "nan" and values[0][1, 9] == "None"
+
+
+def test_groups_are_laid_out_without_another_shuffle(spark, monkeypatch):
+    from pairlens.operators.colocated import lay_out
+
+    monkeypatch.setattr(V, "GROUP_WORDS", 40)  # several groups for each bucket
+    q = spark.createDataFrame([(i, [i % 5, i % 3, 1]) for i in range(500)], "qid bigint, word_ids array<bigint>")
+    vectors = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(5)], "wid bigint, features array<double>")
+    columns = P.kept_columns(["cosine", "jaccard"])
+    assert V.in_groups(columns) and not V.in_groups(columns, sequence=True) and not V.in_groups(["qid", "features", "tags"])
+    assert not V.in_groups(["qid", "words", "counts"]) and not V.in_groups(["qid", "words", "features"])
+    features = V.question_features(q, vectors, columns=columns)
+    laid = lay_out(features, "qid", "groups", in_groups=True)
+    n = V.shuffle_partitions(q)
+    files = spark.read.parquet(laid.path).select(F.regexp_extract(F.input_file_name(), r"_(\d+)\.c", 1).cast("int").alias("file"),
+                                                 V.group_of("qid", n).alias("bucket"))
+    assert files.where("file <> bucket").count() == 0 and files.count() == 500
+    ids = laid.in_place(spark).groupBy("qid").count()
+    assert "Exchange" not in plan_of(ids) and ids.where("count = 1").count() == 500
+    assert sorted(map(str, laid.plain(spark).collect())) == sorted(map(str, features.collect()))
+
+
+def test_documents_go_to_their_group_packed(spark):
+    words = T.doc_words(texts(spark))
+    grouped = T.group_words(words)
+    coded = [r for r in plan_of(T.questions(words, T.vocabulary(grouped), grouped)).splitlines() if "_coded" in r]
+    assert coded and all("array<" not in r and "names" not in r for r in coded)
+    rows = pa.record_batch({"qid": [1, 2], "apart": [[1], []]})
+    assert V.unpacked(V.packed(rows)[0].as_buffer()) == pa.Table.from_batches([rows])
+    assert [V.shrunk(np.array(x, int)).dtype.itemsize for x in ([1, -128], [128], [1 << 20], [1 << 40], [])] == [1, 2, 4, 8, 1]
