@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from pairlens.operators import pairs as P
@@ -125,10 +126,11 @@ def test_counts_say_what_repeats_say(spark):
     assert values[0] == values[1] == values[2] and values[0][1, 2] == str(5 / 4) and values[0][3, 3] == "nan" and values[0][1, 9] == "None"
 
 
-def test_groups_are_laid_out_without_another_shuffle(spark, monkeypatch):
+@pytest.mark.parametrize("words", [40, 1500, 1 << 24])
+def test_groups_are_laid_out_without_another_shuffle(spark, monkeypatch, words):
     from pairlens.operators.colocated import lay_out
 
-    monkeypatch.setattr(V, "GROUP_WORDS", 40)  # several groups for each bucket
+    monkeypatch.setattr(V, "SUM_WORDS", words)  # several groups for each bucket, several buckets for each group
     q = spark.createDataFrame([(i, [i % 5, i % 3, 1]) for i in range(500)], "qid bigint, word_ids array<bigint>")
     vectors = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(5)], "wid bigint, features array<double>")
     columns = P.kept_columns(["cosine", "jaccard"])
@@ -153,3 +155,27 @@ def test_documents_go_to_their_group_packed(spark):
     rows = pa.record_batch({"qid": [1, 2], "apart": [[1], []]})
     assert V.unpacked(V.packed(rows)[0].as_buffer()) == pa.Table.from_batches([rows])
     assert [V.shrunk(np.array(x, int)).dtype.itemsize for x in ([1, -128], [128], [1 << 20], [1 << 40], [])] == [1, 2, 4, 8, 1]
+
+
+def test_vectors_go_to_few_groups_and_once_to_each(spark, monkeypatch):
+    n = V.shuffle_partitions(spark.range(1))
+    key = spark.range(3000)
+
+    def groups(words):
+        return key.select(V.sum_group("id", key, words).alias("g")).distinct().count()
+
+    floor = min(n, 2 * spark.sparkContext.defaultParallelism)
+    assert groups(0) == floor and groups(V.SUM_WORDS * n) == n and groups(V.SUM_WORDS * n + 1) == 2 * n
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert groups(0) == min(64, 2 * spark.sparkContext.defaultParallelism)
+        q = spark.createDataFrame([(i, [1, 2, i % 7]) for i in range(400)], "qid bigint, word_ids array<bigint>").repartition(64, "qid")
+        vectors = spark.createDataFrame([(i, [float(i)]) for i in range(7)], "wid bigint, features array<double>")
+        monkeypatch.setattr(V, "_added", lambda facts, *more, f=V._added: (lambda add: lambda a, b: (
+            add(a, b) if b["wid"].to_pandas().is_unique else 1 / 0))(f(facts, *more)))
+        got = {r.qid: r.features for r in V.question_features(q, vectors, columns=["features"]).collect()}
+        assert got == {i: [3.0 + i % 7] for i in range(400)}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", str(n))
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
